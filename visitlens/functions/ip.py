@@ -1,89 +1,72 @@
-"""Addresses as numbers: a family and two 64-bit halves, masked by shifting."""
+"""Addresses as fixed-width hexadecimal text, so that a network prefix is a text prefix."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-V4_TEXT = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}\z"
-V6_TEXT = r"^[0-9A-Fa-f:]*(:[0-9]{1,3}(\.[0-9]{1,3}){3})?\z"
+OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+V4_TEXT = rf"^({OCTET}\.){{3}}{OCTET}\z"
+# Hexadecimal groups of up to four digits with at most one double colon.
+V6_TEXT = r"(?i)^(?!.*::.*::)(?!.*[0-9a-f]{5})[0-9a-f]*:[0-9a-f:]*\z"
+V4_MAPPED_TEXT = r"(?i)^(0{0,4}:)+ffff:(?=[0-9]+\.)"
+V4_MAPPED_HEX = "0" * 20 + "ffff"
+
+V4_DIGITS = 8
+V6_DIGITS = 32
 
 
 def is_v6(ip: Column) -> Column:
     return ip.contains(":")
 
 
-def _v4_number(ip: Column) -> Column:
-    octets = F.transform(F.split(ip, r"\."), lambda x: x.cast("bigint"))
-    value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x)
-    return F.when(ip.rlike(V4_TEXT), F.when(F.array_max(octets) <= 255, value))
-
+def _v4_hex(ip: Column) -> Column:
+    octets = F.transform(F.split(ip, r"\."), lambda x: F.lpad(F.lower(F.hex(x.try_cast("bigint"))), 2, "0"))
+    return F.when(ip.rlike(V4_TEXT), F.array_join(octets, ""))
 
-def _hextets(ip: Column) -> Column:
-    """The eight 16-bit groups of an IPv6 text as numbers; NULL when it is not one."""
-    tail = F.regexp_extract(ip, r"([0-9]+(?:\.[0-9]+){3})\z", 1)
-    quad = _v4_number(tail)
-    as_groups = F.concat_ws(":", F.hex(F.shiftrightunsigned(quad, 16)), F.hex(quad.bitwiseAND(F.lit(0xFFFF))))
-    text = F.when(tail == "", ip).otherwise(F.concat(F.substr(ip, F.lit(1), F.length(ip) - F.length(tail)), as_groups))
 
-    def groups(part: Column) -> Column:
-        return F.filter(F.split(part, ":"), lambda g: g != "")
-
-    cut = F.instr(text, "::")
-    head = groups(F.when(cut > 0, F.substr(text, F.lit(1), cut - 1)).otherwise(text))
-    rest = F.when(cut > 0, groups(F.substr(text, cut + 2))).otherwise(F.array().cast("array<string>"))
-    missing = F.lit(8) - F.size(head) - F.size(rest)
-    full = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), rest)
-    numbers = F.transform(full, lambda g: F.conv(g, 16, 10).cast("bigint"))
-    return F.when(
-        ip.rlike(V6_TEXT) & (F.size(full) == 8) & (F.array_max(F.transform(full, F.length)) <= 4),
-        numbers,
-    )
+def _groups(ip: Column) -> Column:
+    return F.filter(F.split(ip, ":"), lambda g: g != "")
 
 
-def _join_groups(groups: Column, start: int) -> Column:
-    half = F.slice(groups, start, 4)
-    return F.aggregate(half, F.lit(0).cast("bigint"), lambda acc, g: F.shiftleft(acc, 16).bitwiseOR(g))
+def _v6_hex(ip: Column) -> Column:
+    """32 digits; the double colon is filled up to eight groups first."""
+    zeros = F.repeat(F.lit("0:"), F.lit(8) - F.size(_groups(ip)))
+    full = F.replace(ip, F.lit("::"), F.concat(F.lit(":"), zeros))
+    digits = F.array_join(F.transform(_groups(full), lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    return F.when(ip.rlike(V6_TEXT), digits)
 
 
-def address(ip: Column) -> Column:
-    """struct<family, hi, lo>; NULL for text that is not an address.
+def address_hex(ip: Column) -> Column:
+    """8 digits for IPv4 and 32 for IPv6; NULL for text that is neither.
 
-    IPv4 keeps its 32 bits in ``lo``. An IPv4-mapped IPv6 address counts as IPv4, as it does in
-    the geo databases.
+    An IPv4-mapped IPv6 address counts as IPv4, as it does in the geo databases.
     """
-    groups = _hextets(ip)
-    hi, lo = _join_groups(groups, 1), _join_groups(groups, 5)
-    v4 = _v4_number(ip)
-    mapped = (hi == 0) & (F.shiftrightunsigned(lo, 32) == 0xFFFF)
-    four = F.lit(4).cast("int")
-    six = F.lit(6).cast("int")
-
-    def parts(family: Column, a: Column, b: Column) -> Column:
-        return F.struct(family.alias("family"), a.alias("hi"), b.alias("lo"))
-
-    zero = F.lit(0).cast("bigint")
-    return (
-        F.when(v4.isNotNull(), parts(four, zero, v4))
-        .when(groups.isNull(), F.lit(None))
-        .when(mapped, parts(four, zero, lo.bitwiseAND(F.lit(0xFFFFFFFF))))
-        .otherwise(parts(six, hi, lo))
+    digits = F.when(is_v6(ip) & ~ip.contains("."), _v6_hex(ip)).otherwise(
+        _v4_hex(F.regexp_replace(ip, V4_MAPPED_TEXT, ""))
     )
+    mapped = F.regexp_replace(digits, f"^{V4_MAPPED_HEX}", "")
+    return F.when(F.length(mapped).isin(V4_DIGITS, V6_DIGITS), mapped)
 
 
-def _shift(c: Column, by: str) -> Column:
-    return F.call_function("shiftright", c, F.expr(by))
+# What stays of a hexadecimal digit when only its first 1, 2 or 3 bits count.
+DIGITS = "0123456789abcdef"
+KEEP_BITS = {1: "0000000088888888", 2: "000044448888cccc", 3: "0022446688aaccee"}
 
 
-def prefix_halves(addr: str, bits: str) -> tuple[Column, Column]:
-    """The first ``bits`` bits of an address as a pair of numbers, equal for equal prefixes."""
-    hi, lo, family = F.col(f"{addr}.hi"), F.col(f"{addr}.lo"), F.col(f"{addr}.family")
-    zero = F.lit(0).cast("bigint")
-    b = F.col(bits)
-    v4 = F.when(b > 0, _shift(lo, f"32 - {bits}")).otherwise(zero)
-    v6_hi = F.when(b >= 64, hi).when(b > 0, _shift(hi, f"64 - {bits}")).otherwise(zero)
-    v6_lo = F.when(b > 64, _shift(lo, f"128 - {bits}")).otherwise(zero)
-    return F.when(family == 4, zero).otherwise(v6_hi), F.when(family == 4, v4).otherwise(v6_lo)
+def prefix_of(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` bits of an address, as whole digits and a masked last one."""
+    whole = F.floor(bits / 4).cast("int")
+    rest = bits % 4
+    last = F.substr(digits, whole + 1, F.lit(1))
+    masked = F.lit("")
+    for n, kept in KEEP_BITS.items():
+        masked = F.when(rest == n, F.translate(last, DIGITS, kept)).otherwise(masked)
+    return F.concat(F.substr(digits, F.lit(1), whole), masked)
+
+
+def _short(group: Column) -> Column:
+    return F.regexp_replace(group, "^0{1,3}", "")
 
 
 def subnet_of(ip: Column, strict: bool = False) -> Column:
@@ -94,23 +77,20 @@ def subnet_of(ip: Column, strict: bool = False) -> Column:
     """
     v4 = F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))
     if strict:
-        first = F.transform(F.slice(_hextets(ip), 1, 4), lambda g: F.lower(F.hex(g)))
+        digits = _v6_hex(ip)
+        first = F.array(*[_short(F.substr(digits, F.lit(1 + 4 * i), F.lit(4))) for i in range(4)])
     else:
-        first = F.slice(F.filter(F.split(ip, ":"), lambda g: g != ""), 1, 4)
+        first = F.slice(_groups(ip), 1, 4)
     return F.when(is_v6(ip), F.concat(F.array_join(first, ":"), F.lit("::/64"))).otherwise(v4)
 
 
 def subnet24(ip: Column) -> Column:
     """The 24-bit network of an address of either family, in compressed lower-case text."""
-    groups = _hextets(ip)
-    first = F.lower(F.hex(F.get(groups, F.lit(0))))
-    second_number = F.get(groups, F.lit(1)).bitwiseAND(F.lit(0xFF00))
-    second = F.lower(F.hex(second_number))
-    v6 = (
-        F.when(second_number != 0, F.concat(first, F.lit(":"), second, F.lit("::/24")))
-        .when(first == "0", F.lit("::/24"))
-        .otherwise(F.concat(first, F.lit("::/24")))
-    )
+    digits = _v6_hex(ip)
+    first = _short(F.substr(digits, F.lit(1), F.lit(4)))
+    second = _short(F.concat(F.substr(digits, F.lit(5), F.lit(2)), F.lit("00")))
+    both = F.concat_ws(":", first, second)
+    v6 = F.regexp_replace(F.concat(both, F.lit("::/24")), "^(0:0|([0-9a-f]+):0)::", "$2::")
     v4 = F.concat(F.substring_index(ip, ".", 3), F.lit(".0/24"))
     return F.when(is_v6(ip), v6).otherwise(v4)
 

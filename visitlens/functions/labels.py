@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from visitlens.functions import rules
+from visitlens.functions.matching import fold, matches_any
 from visitlens.settings import DEFAULT, Settings
 
 
@@ -35,12 +36,14 @@ def no_agent(ua: Column | str = "user_agent") -> Column:
 
 def attack_class(path: Column) -> Column:
     """Attack label of a path, NULL when it looks harmless."""
-    shell = path.rlike(rules.any_of(rules.SHELL_PATHS)) & contains_any(F.lower(path), rules.SHELL_TERMS)
+    uri = fold(path)
+    # The terms are the rarer and cheaper test.
+    shell = contains_any(uri, rules.SHELL_TERMS) & matches_any(uri, rules.SHELL_PATHS)
     return (
-        F.when(path.rlike(rules.any_of(rules.CMS_PATHS)), "attack_wordpress_scanner")
+        F.when(matches_any(uri, rules.CMS_PATHS), "attack_wordpress_scanner")
         .when(shell, "attack_webshell_scanner")
-        .when(path.rlike(rules.any_of(rules.CONFIG_PATHS)), "attack_config_scanner")
-        .when(path.rlike(rules.any_of(rules.EXPLOIT_PATHS)), "attack_exploit_attempt")
+        .when(matches_any(uri, rules.CONFIG_PATHS), "attack_config_scanner")
+        .when(matches_any(uri, rules.EXPLOIT_PATHS), "attack_exploit_attempt")
     )
 
 

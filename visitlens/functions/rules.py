@@ -1,7 +1,7 @@
 """Rule tables as data. Everything in this module is a fixed value the labels are defined by.
 
-Patterns are Java regular expressions; ``any_of`` folds a family into one case-insensitive test so
-that a row pays one regex per family, and names are only looked up on rows the family has hit.
+Patterns are case-insensitive Java regular expressions; :mod:`visitlens.functions.matching` turns
+them into column tests.
 """
 
 from __future__ import annotations
@@ -70,8 +70,8 @@ CRAWLERS = (
 # First generation: no Applebot, and another name for the third one.
 CRAWLERS_V1 = tuple(("Yahoo" if n == "Yahoo-Slurp" else n, p) for n, p in CRAWLERS if n != "Applebot")
 
-GENERIC_CRAWLER = "bot|crawler|spider|scraper|curl|wget|python|java|http"
-BOT_WORDS = "bot|crawler|spider|scraper"
+GENERIC_CRAWLER = ("bot", "crawler", "spider", "scraper", "curl", "wget", "python", "java", "http")
+BOT_WORDS = ("bot", "crawler", "spider", "scraper")
 
 # --- Fixed values: uptime and availability monitors -----------------------------------------------
 MONITORS = (
@@ -343,11 +343,6 @@ REPORT_TOPICS = (
 )
 
 
-def any_of(patterns: Iterable[str]) -> str:
-    """One case-insensitive alternation over a family of patterns."""
-    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
-
-
 def whole_words(words: Iterable[str]) -> str:
     """Case-insensitive test for any of the words bounded by ASCII word edges."""
     return "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(words) + ")(?![A-Za-z0-9_])"

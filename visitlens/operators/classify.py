@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import rules
 from visitlens.functions.labels import attack_class, contains_any, no_agent
+from visitlens.functions.matching import first_match, fold, matches, matches_any
 from visitlens.functions.requests import first_value, has_any_header
 
+# Working column: the agent folded once per row.
+AGENT = "_agent"
 VERDICT_FIELDS = ("is_bot", "bot_classification", "bot_name", "detection_level", "detection_reason")
 
 ATTACKS = {
@@ -28,6 +31,7 @@ ATTACKS = {
 @dataclass(frozen=True)
 class Signals:
     ua: Column
+    agent: Column  # folded ``ua``
     path: Column
     provider: Column
     sec_fetch: Column
@@ -51,6 +55,7 @@ def signals_from_headers(columns, headers: str = "headers") -> Signals:
     accept = first_value("Accept", headers)
     return Signals(
         ua=F.col("user_agent"),
+        agent=F.col(AGENT),
         path=F.col("path"),
         provider=F.nullif(F.col("datacenter_provider"), F.lit("")),
         sec_fetch=has_any_header(rules.SEC_FETCH, headers),
@@ -59,7 +64,7 @@ def signals_from_headers(columns, headers: str = "headers") -> Signals:
         accepts_html=F.coalesce(accept.contains("text/html"), F.lit(False)),
         driver_header=has_any_header((rules.DEVTOOLS_HEADER, rules.WEBDRIVER_HEADER), headers),
         bot_header=has_any_header(("From", "X-Openai-Host-Hash", "X-Request-Id"), headers)
-        | F.coalesce(first_value("User-Agent", headers).rlike("(?i)bot|crawler"), F.lit(False)),
+        | F.coalesce(matches_any(fold(first_value("User-Agent", headers)), ("bot", "crawler")), F.lit(False)),
         request_count=count,
         span_seconds=span,
     )
@@ -72,6 +77,7 @@ def signals_from_flags(columns) -> Signals:
     never = F.lit(False)
     return Signals(
         ua=F.col("user_agent"),
+        agent=F.col(AGENT),
         path=F.col("path"),
         provider=F.nullif(F.col("datacenter_provider"), F.lit("")),
         sec_fetch=sec_fetch,
@@ -98,26 +104,17 @@ def verdict(is_bot: bool, label, name, level, reason) -> Column:
     )
 
 
-def first_name(ua: Column, named) -> Column:
-    """Name of the first pattern that hits; one folded test shields the name lookup."""
-    pairs = [(n, p) for n, p in named]
-    names = F.when(ua.rlike("(?i)" + pairs[0][1]), pairs[0][0])
-    for name, pattern in pairs[1:]:
-        names = names.when(ua.rlike("(?i)" + pattern), name)
-    return F.when(ua.rlike(rules.any_of(p for _, p in pairs)), names)
+def official_ai(agent: Column, names=rules.AI_AGENTS) -> Column:
+    return first_match(agent, [(n, n) for n in names])
 
 
-def official_ai(ua: Column, names=rules.AI_AGENTS) -> Column:
-    return first_name(ua, [(n, n) for n in names])
-
-
-def headless_agent(ua: Column) -> Column:
-    return ua.rlike(rules.any_of(rules.HEADLESS)) | ua.contains("webdriver")
+def headless_agent(ua: Column, agent: Column) -> Column:
+    return matches_any(agent, rules.HEADLESS) | ua.contains("webdriver")
 
 
 def is_headless(s: Signals) -> Column:
     """Needs an agent: a driver header alone does not count."""
-    return F.coalesce((s.ua != "") & (headless_agent(s.ua) | s.driver_header), F.lit(False))
+    return F.coalesce((s.ua != "") & (headless_agent(s.ua, s.agent) | s.driver_header), F.lit(False))
 
 
 def is_human(s: Signals) -> Column:
@@ -126,24 +123,22 @@ def is_human(s: Signals) -> Column:
     return s.sec_fetch & (s.client_hints | s.accepts_html) & s.provider.isNull() & ~is_headless(s) & ~too_fast
 
 
-def crawler(ua: Column) -> Column:
+def crawler(ua: Column, agent: Column) -> Column:
     """Name of a declared, headless or generic crawler."""
-    return (
-        F.coalesce(
-            first_name(ua, rules.CRAWLERS),
-            F.when(headless_agent(ua), "Headless-Browser"),
-            F.when(ua.rlike("(?i)" + rules.GENERIC_CRAWLER), "Generic-Crawler"),
-        )
+    return F.coalesce(
+        first_match(agent, rules.CRAWLERS),
+        F.when(headless_agent(ua, agent), "Headless-Browser"),
+        F.when(matches_any(agent, rules.GENERIC_CRAWLER), "Generic-Crawler"),
     )
 
 
-def monitor_by_agent(s: Signals) -> Column:
-    return first_name(s.ua, rules.MONITORS)
+def monitor_by_agent(agent: Column) -> Column:
+    return first_match(agent, rules.MONITORS)
 
 
 def hostname_challenge(s: Signals) -> Column:
     return F.coalesce(s.path.contains(rules.HOSTNAME_CHALLENGE_PATH), F.lit(False)) | F.coalesce(
-        s.ua.rlike("(?i)" + rules.HOSTNAME_CHALLENGE_AGENT), F.lit(False)
+        matches(s.agent, rules.HOSTNAME_CHALLENGE_AGENT), F.lit(False)
     )
 
 
@@ -174,18 +169,29 @@ def undetermined_text(s: Signals) -> Column:
     return F.coalesce(F.nullif(facts, F.lit("")), F.lit("Failed human verification checks"))
 
 
+def stages(s: Signals) -> dict[str, Column]:
+    """Working columns of the cascade, in order; each looks only at rows no earlier one claimed.
+
+    One column per family keeps every generated method small enough for the JVM to compile.
+    """
+    return {
+        "_human": F.when(is_human(s), "human"),
+        "_attack": attack_class(s.path),
+        "_ai": official_ai(s.agent),
+        "_crawler": crawler(s.ua, s.agent),
+        "_monitor": monitor_by_agent(s.agent),
+    }
+
+
 def verdict_v2(s: Signals) -> Column:
-    attack = attack_class(s.path)
-    ai = official_ai(s.ua)
-    crawl = crawler(s.ua)
-    monitor = monitor_by_agent(s)
+    """The cascade, over the columns of :func:`stages`."""
+    attack, ai, crawl, monitor = (F.col(c) for c in ("_attack", "_ai", "_crawler", "_monitor"))
     upper = F.upper(s.provider)
 
-    result = F.when(is_human(s), verdict(False, "human", None, None, "Passed all human verification checks"))
-    # One branch per attack label would repeat the path tests, so the label is looked up afterwards.
+    result = F.when(F.col("_human").isNotNull(), verdict(False, "human", None, None, "Passed all human verification checks"))
     attack_name = F.lit(None).cast("string")
     attack_reason = F.lit(None).cast("string")
-    for label, (name, reason) in reversed(ATTACKS.items()):
+    for label, (name, reason) in ATTACKS.items():
         attack_name = F.when(attack == label, name).otherwise(attack_name)
         attack_reason = F.when(attack == label, reason).otherwise(attack_reason)
     crawl_reason = (
@@ -236,17 +242,21 @@ def verdict_v2(s: Signals) -> Column:
     )
 
 
+def stages_v1(s: Signals) -> dict[str, Column]:
+    generic = F.when(matches_any(s.agent, rules.GENERIC_CRAWLER), "Generic-Bot")
+    return {
+        "_ai": official_ai(s.agent, rules.AI_AGENTS_V1),
+        "_crawler": F.coalesce(first_match(s.agent, rules.CRAWLERS_V1), generic),
+    }
+
+
 def verdict_v1(s: Signals) -> Column:
     """First generation: agent, then network, then behaviour, else human."""
-    ai = official_ai(s.ua, rules.AI_AGENTS_V1)
-    crawl = F.coalesce(
-        first_name(s.ua, rules.CRAWLERS_V1),
-        F.when(s.ua.rlike("(?i)" + rules.GENERIC_CRAWLER), "Generic-Bot"),
-    )
+    ai, crawl = F.col("_ai"), F.col("_crawler")
     browser = (
-        s.ua.rlike("(?i)Mozilla")
-        & s.ua.rlike(rules.any_of(rules.BROWSER_ENGINES))
-        & ~s.ua.rlike("(?i)" + rules.BOT_WORDS)
+        s.agent.contains("mozilla")
+        & matches_any(s.agent, rules.BROWSER_ENGINES)
+        & ~matches_any(s.agent, rules.BOT_WORDS)
     )
     upper = F.upper(s.provider)
     rate = F.when(s.span_seconds > 0, F.try_divide(s.request_count, s.span_seconds)).otherwise(F.lit(0.0))
@@ -256,8 +266,8 @@ def verdict_v1(s: Signals) -> Column:
     seconds = F.when(
         s.span_seconds == F.floor(s.span_seconds), s.span_seconds.cast("long").cast("string")
     ).otherwise(s.span_seconds.cast("string"))
-    per_second = F.format_number(F.floor(rate * 100 + 0.5) / 100, "0.00")
-    burst_reason = F.format_string("Burst pattern: %d req in %ss (%s/sec)", s.request_count, seconds, per_second)
+    per_second = F.floor(rate * 100 + 0.5) / 100
+    burst_reason = F.format_string("Burst pattern: %d req in %ss (%.2f/sec)", s.request_count, seconds, per_second)
     training_name = F.concat(upper, F.lit("-Training-Agent"))
     trains = s.provider.isNotNull() & browser & ~s.sec_fetch
     return (
@@ -281,6 +291,17 @@ def verdict_v1(s: Signals) -> Column:
     )
 
 
+def _classify(df: DataFrame, s: Signals, families: dict[str, Column], label: Column, into: str) -> DataFrame:
+    df = df.withColumn(AGENT, fold(s.ua))
+    open_rows = F.lit(True)
+    for name, found in families.items():
+        df = df.withColumn(name, F.when(open_rows, found))
+        open_rows = open_rows & F.col(name).isNull()
+    # Behind a generator the label is computed once; a filter on it would otherwise be pushed down
+    # as a second copy of the whole cascade.
+    return df.select("*", F.explode(F.array(label)).alias(into)).drop(AGENT, *families)
+
+
 def _signals(df: DataFrame, headers: str) -> Signals:
     return signals_from_flags(df.columns) if headers == "flags" else signals_from_headers(df.columns, headers)
 
@@ -295,11 +316,12 @@ def classify_v2(df: DataFrame, path_aware: bool = True, headers: str = "headers"
     s = _signals(df, headers)
     if not path_aware:
         s = replace(s, path=F.lit(None).cast("string"))
-    return df.withColumn(into, verdict_v2(s))
+    return _classify(df, s, stages(s), verdict_v2(s), into)
 
 
 def classify_v1(df: DataFrame, headers: str = "headers", into: str = "cls") -> DataFrame:
-    return df.withColumn(into, verdict_v1(_signals(df, headers)))
+    s = _signals(df, headers)
+    return _classify(df, s, stages_v1(s), verdict_v1(s), into)
 
 
 def unpack(df: DataFrame, cls: str = "cls") -> DataFrame:

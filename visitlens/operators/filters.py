@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from visitlens.functions import rules
 from visitlens.functions.ip import in_subnet
 from visitlens.functions.labels import col, either, ilike_any
+from visitlens.functions.matching import fold, matches_any
 from visitlens.functions.requests import request_line
 from visitlens.settings import DEFAULT, Settings
 
@@ -82,8 +83,8 @@ def keep_sites(df: DataFrame, sites=DEFAULT.listed_hosts) -> DataFrame:
 
 
 def drop_scanners(df: DataFrame) -> DataFrame:
-    uri = request_line(F.col("path"), F.col("query_string"))
-    return df.where(~uri.rlike(rules.any_of(rules.SCANNER_URIS)))
+    uri = fold(request_line(F.col("path"), F.col("query_string")))
+    return df.where(~matches_any(uri, rules.SCANNER_URIS))
 
 
 def org_like(words, org: Column | str = "asn_org") -> Column:

@@ -11,24 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.functions.ip import address, prefix_halves
+from visitlens.functions.ip import V4_DIGITS, address_hex, prefix_of
 from visitlens.operators.skew import spread_join
 
 # Short prefixes cover many addresses; both sides of the lookup are spread by this many salts.
 PREFIX_SALTS = 16
-KEYS = ("family", "bits", "net_hi", "net_lo")
+KEYS = ("family", "bits", "prefix")
+
+
+def _family(digits: str):
+    return F.when(F.length(digits) == V4_DIGITS, 4).otherwise(6)
 
 
 def networks(df: DataFrame, cidr: str = "network") -> DataFrame:
-    """Adds the numeric key of a CIDR column; rows whose text is not a CIDR block are dropped."""
-    df = (
-        df.withColumn("_addr", address(F.substring_index(F.col(cidr), "/", 1)))
+    """Replaces a CIDR column by its key columns; rows that are no CIDR block are dropped."""
+    return (
+        df.withColumn("_hex", address_hex(F.substring_index(F.col(cidr), "/", 1)))
         .withColumn("bits", F.substring_index(F.col(cidr), "/", -1).try_cast("int"))
-        .withColumn("family", F.col("_addr.family"))
-        .where("_addr is not null and bits between 0 and if(family = 4, 32, 128)")
+        .withColumn("family", _family("_hex"))
+        .where("_hex is not null and bits between 0 and if(family = 4, 32, 128)")
+        .withColumn("prefix", prefix_of(F.col("_hex"), F.col("bits")))
+        .drop("_hex", cidr)
     )
-    hi, lo = prefix_halves("_addr", "bits")
-    return df.withColumn("net_hi", hi).withColumn("net_lo", lo).drop("_addr", cidr)
 
 
 def lookup(addresses: DataFrame, table: DataFrame, into: str, key: str = "client_ip") -> DataFrame:
@@ -37,16 +41,15 @@ def lookup(addresses: DataFrame, table: DataFrame, into: str, key: str = "client
     ``table`` comes from :func:`networks`; its other columns become the struct ``into``.
     """
     attributes = [c for c in table.columns if c not in KEYS]
-    lengths = table.select(F.col("family").alias("_family"), "bits").distinct()
+    lengths = table.select("family", "bits").distinct()
     tries = (
-        addresses.select(key)
-        .withColumn("_addr", address(F.col(key)))
-        .where("_addr is not null")
+        addresses.select(key, address_hex(F.col(key)).alias("_hex"))
+        .where("_hex is not null")
+        .withColumn("family", _family("_hex"))
         .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(PREFIX_SALTS)).cast("int"))
-        .join(F.broadcast(lengths), F.col("_addr.family") == F.col("_family"))
+        .join(F.broadcast(lengths), "family")
+        .select(key, "family", "bits", prefix_of(F.col("_hex"), F.col("bits")).alias("prefix"), "_salt")
     )
-    hi, lo = prefix_halves("_addr", "bits")
-    tries = tries.select(key, "_salt", F.col("_family").alias("family"), "bits", hi.alias("net_hi"), lo.alias("net_lo"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PREFIX_SALTS - 1))))
     hits = tries.join(copies, [*KEYS, "_salt"])
     return hits.groupBy(key).agg(F.max_by(F.struct(*attributes), "bits").alias(into))

@@ -39,16 +39,17 @@ def split_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Data
     """
     text = F.col(value)
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = lines.where(is_access_log(text)).select(
-        text.alias("line"), F.from_json(text, PARSED, options).alias("log")
-    )
+    # ``inline`` puts the parsed fields behind a generator, where a filter on them cannot be pushed
+    # back into repeated parses of the line.
+    record = F.inline(F.array(F.from_json(text, PARSED, options)))
+    parsed = lines.where(is_access_log(text)).select(text.alias("line"), record)
     usable = (
-        F.col(f"log.{CORRUPT}").isNull()
-        & to_event_time(F.col("log.ts")).isNotNull()
-        & F.coalesce(client_ip_expr("edge", "log.request"), client_ip_expr("backfill", "log.request")).isNotNull()
+        F.col(CORRUPT).isNull()
+        & to_event_time(F.col("ts")).isNotNull()
+        & F.coalesce(client_ip_expr("edge"), client_ip_expr("backfill")).isNotNull()
     )
     usable = F.coalesce(usable, F.lit(False))
-    good = parsed.where(usable).select("log.*").drop(CORRUPT)
+    good = parsed.where(usable).drop("line", CORRUPT)
     return good, parsed.where(~usable).select("line")
 
 
