@@ -105,7 +105,7 @@ w0 AS (
          WHEN u % 12 = 0 THEN {moment('2024-01-30 08:00:00', '(e % 1000) * 100000')}
          WHEN u % 12 = 6 THEN {moment('2024-01-10 08:00:00', '(e % 1000) * 100000')}
          WHEN u % 6 = 1 THEN {moment('2024-01-25 00:00:00', '(e % 5000) * 100000000')}
-         WHEN u % 6 = 2 THEN {moment('2024-01-30 20:00:00', '(e % 40) * 30000000')}
+         WHEN u % 6 = 2 THEN {moment('2024-01-30 20:00:00', '(e % 40) * 10000000')}
          ELSE ts END AS "timestamp",
     value / 1000.0 AS duration,
     CASE WHEN u = 0 THEN '184.82.29.117' WHEN u = 1 THEN '123.25.101.101'
@@ -731,3 +731,562 @@ web(
     "retained_days",
     f"""SELECT {DAY} AS event_date, count(*) AS count FROM web WHERE CAST("timestamp" AS DATE) > DATE '2024-01-21' GROUP BY 1""",
 )
+
+# --- Labels: the cascade over a relation ``sig`` of signals
+def named(column: str, pairs) -> str:
+    cases = []
+    for name, pattern in pairs:
+        if "(?!" in pattern:  # RE2 has no lookahead
+            test = f"({column} ILIKE '%applebot%' AND {column} NOT ILIKE '%applebot-extended%')"
+        else:
+            test = f"regexp_matches({column}, '{re2(pattern)}', 'i')"
+        cases.append(f"WHEN {test} THEN '{name}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+ROOTS = inside(R.ROOT_PATHS)
+HEADLESS = f"({hit('ua', R.HEADLESS)} OR contains(ua, 'webdriver'))"
+SHELL = f"({hit('path', R.SHELL_PATHS)} AND (" + " OR ".join(f"contains(lower(path), '{t}')" for t in R.SHELL_TERMS) + "))"
+BROWSER = "(contains(ua, 'Mozilla') AND (" + " OR ".join(f"contains(ua, '{b}')" for b in R.BROWSER_ENGINES) + "))"
+RULED = f"""ruled AS (SELECT *,
+    CASE WHEN sf AND (ch OR html) AND prov IS NULL AND NOT coalesce(ua <> '' AND ({HEADLESS} OR drv), false) AND NOT fast THEN 'human'
+      WHEN {hit('path', R.CMS_PATHS)} THEN 'cms' WHEN {SHELL} THEN 'shell'
+      WHEN {hit('path', R.CONFIG_PATHS)} THEN 'config' WHEN {hit('path', R.EXPLOIT_PATHS)} THEN 'exploit'
+      WHEN {hit('ua', R.AI_AGENTS)} THEN 'ai'
+      WHEN {named('ua', R.CRAWLERS)} IS NOT NULL THEN 'crawler'
+      WHEN {HEADLESS} THEN 'headless'
+      WHEN {hit('ua', R.GENERIC_CRAWLER)} THEN 'generic'
+      WHEN {hit('ua', [p for _, p in R.MONITORS])} THEN 'monitor'
+      WHEN contains(path, '.well-known/cf-custom-hostname-challenge')
+        OR regexp_matches(ua, 'Cloudflare.*Custom.*Hostname', 'i') THEN 'challenge'
+      WHEN prov IS NOT NULL AND coalesce(ua, '') = '' AND path IN {ROOTS} THEN 'dc-monitor'
+      WHEN prov IS NOT NULL AND coalesce(length(ua), 0) <= 50 AND path <> '' AND path NOT IN {ROOTS} THEN 'dc-crawler'
+      WHEN prov IS NOT NULL AND {BROWSER} AND NOT sf THEN 'stealth'
+      ELSE 'open' END AS rule FROM sig)"""
+LABELLED = f"""lab AS (SELECT *,
+    CASE rule WHEN 'human' THEN 'human' WHEN 'cms' THEN 'attack_wordpress_scanner' WHEN 'shell' THEN 'attack_webshell_scanner'
+      WHEN 'config' THEN 'attack_config_scanner' WHEN 'exploit' THEN 'attack_exploit_attempt' WHEN 'ai' THEN 'ai_official'
+      WHEN 'crawler' THEN 'web_crawler' WHEN 'headless' THEN 'web_crawler' WHEN 'generic' THEN 'web_crawler'
+      WHEN 'monitor' THEN 'monitoring_service' WHEN 'challenge' THEN 'monitoring_service'
+      WHEN 'dc-monitor' THEN 'monitoring_service' WHEN 'dc-crawler' THEN 'ai_stealth' WHEN 'stealth' THEN 'ai_stealth'
+      ELSE 'bot_undetermined' END AS cls,
+    CASE rule WHEN 'cms' THEN 'WordPress-Scanner' WHEN 'shell' THEN 'WebShell-Scanner' WHEN 'config' THEN 'Config-Scanner'
+      WHEN 'exploit' THEN 'Exploit-Scanner' WHEN 'ai' THEN {named('ua', [(n, n) for n in R.AI_AGENTS])}
+      WHEN 'crawler' THEN {named('ua', R.CRAWLERS)} WHEN 'headless' THEN 'Headless-Browser'
+      WHEN 'generic' THEN 'Generic-Crawler' WHEN 'monitor' THEN {named('ua', R.MONITORS)}
+      WHEN 'challenge' THEN 'Cloudflare-Verify' WHEN 'dc-monitor' THEN upper(prov) || '-Monitor'
+      WHEN 'dc-crawler' THEN upper(prov) || '-Crawler' WHEN 'stealth' THEN upper(prov) || '-Stealth-AI'
+      WHEN 'open' THEN 'Undetermined-Bot' END AS name,
+    CASE WHEN rule IN ('cms', 'shell', 'config', 'exploit', 'ai', 'crawler', 'headless', 'generic') THEN 1
+      WHEN rule IN ('monitor', 'challenge', 'dc-monitor', 'dc-crawler', 'stealth') THEN 2 WHEN rule = 'open' THEN 3 END AS lvl,
+    CASE rule WHEN 'human' THEN 'Passed all human verification checks' WHEN 'cms' THEN 'WordPress vulnerability scanning'
+      WHEN 'shell' THEN 'Web shell / backdoor scanning' WHEN 'config' THEN 'Configuration file / database scanner'
+      WHEN 'exploit' THEN 'Active exploit attempt detected' WHEN 'ai' THEN 'Official AI bot declared in User-Agent'
+      WHEN 'crawler' THEN 'Traditional web crawler' WHEN 'headless' THEN 'Headless browser automation detected'
+      WHEN 'generic' THEN 'Generic bot/crawler pattern in User-Agent' WHEN 'monitor' THEN 'Uptime/monitoring service'
+      WHEN 'challenge' THEN 'Cloudflare custom hostname verification'
+      WHEN 'dc-monitor' THEN prov || ' availability check (no UA, simple path)'
+      WHEN 'dc-crawler' THEN prov || ' datacenter + no UA + content path (systematic crawling)'
+      WHEN 'stealth' THEN 'Datacenter + browser UA + missing Sec-Fetch headers'
+      ELSE coalesce(nullif(concat_ws(', ', CASE WHEN coalesce(ua, '') = '' THEN 'No User-Agent' END, 'Datacenter: ' || prov,
+             CASE WHEN NOT sfs THEN 'Missing Sec-Fetch headers' END), ''), 'Failed human verification checks') END AS reason
+  FROM ruled)"""
+SF_ON, CH_ON = "coalesce(has_sec_fetch_headers, false)", "coalesce(has_client_hints, false)"
+
+
+def flags(source: str = "web", prov: str = "datacenter_provider") -> str:
+    return f"""sig AS (SELECT *, user_agent AS ua, {prov} AS prov, {SF_ON} AS sf, {SF_ON} AS sfs, {CH_ON} AS ch, false AS html,
+      false AS drv, false AS fast FROM {source})"""
+
+
+def headers(source: str = "web", fast: str = "false", path: str = "path") -> str:
+    return f"""sig AS (SELECT * EXCLUDE (path), {path} AS path, user_agent AS ua, datacenter_provider AS prov, {SF_ON} AS sf,
+      {SF_ON} AND e % 4 <> 0 AS sfs, {CH_ON} AS ch, e % 2 = 0 AS html, e % 29 = 0 AS drv, {fast} AS fast FROM {source})"""
+
+
+LAB = (RULED, LABELLED)
+LABEL_ROW = """SELECT id, cls <> 'human' AS is_bot, cls AS bot_classification, name AS bot_name, lvl AS detection_level,
+  reason AS detection_reason FROM lab"""
+web("labels_from_flags", LABEL_ROW, flags(), *LAB)
+web("labels_from_headers", LABEL_ROW, headers(), *LAB)
+web(
+    "labels_without_path",
+    "SELECT cls AS bot_classification, name AS bot_name, reason AS detection_reason, count(*) AS count FROM lab GROUP BY 1, 2, 3",
+    headers(path="CAST(NULL AS VARCHAR)"),
+    *LAB,
+)
+SESS = f"""sess AS (SELECT client_ip, count(*) AS request_count, {span()} AS span_seconds FROM web WHERE {recent('7d')} GROUP BY 1)"""
+web(
+    "labels_with_sessions",
+    "SELECT cls AS bot_classification, name AS bot_name, count(*) AS count FROM lab GROUP BY 1, 2",
+    SESS,
+    "joined AS (SELECT * FROM web LEFT JOIN sess USING (client_ip))",
+    headers("joined", "coalesce(span_seconds > 0 AND request_count / span_seconds > 0.5, false)"),
+    *LAB,
+)
+web("address_sessions", "SELECT * FROM sess", SESS)
+
+V1 = f"""v1 AS (SELECT *, CASE
+    WHEN {hit('user_agent', R.AI_AGENTS_V1)} THEN 'official_ai'
+    WHEN {named('user_agent', R.CRAWLERS_V1)} IS NOT NULL OR {hit('user_agent', R.GENERIC_CRAWLER)} THEN 'web_crawler'
+    WHEN datacenter_provider IS NOT NULL AND browser AND NOT bot_hdr THEN 'stealth_ai'
+    WHEN datacenter_provider IS NOT NULL AND browser AND NOT {SF_ON} THEN 'ai_training' ELSE 'human' END AS cls
+  FROM (SELECT *, regexp_matches(user_agent, 'Mozilla', 'i') AND {hit('user_agent', R.BROWSER_ENGINES)}
+      AND NOT {hit('user_agent', R.BOT_WORDS)} AS browser,
+      (e % 17 = 0 OR e % 19 = 0 OR coalesce(regexp_matches(user_agent, 'bot|crawler', 'i'), false)) AS bot_hdr
+    FROM web JOIN (SELECT client_ip, count(*) AS n, {span()} AS s FROM web GROUP BY 1) USING (client_ip)))"""
+web(
+    "first_generation_labels",
+    f"""SELECT cls <> 'human' AS is_bot, cls AS bot_classification,
+      CASE cls WHEN 'official_ai' THEN {named('user_agent', [(x, x) for x in R.AI_AGENTS_V1])}
+        WHEN 'web_crawler' THEN coalesce({named('user_agent', R.CRAWLERS_V1)}, 'Generic-Bot')
+        WHEN 'stealth_ai' THEN upper(datacenter_provider) || '-Stealth'
+        WHEN 'ai_training' THEN upper(datacenter_provider) || '-Training-Agent' END AS bot_name,
+      CASE cls WHEN 'human' THEN NULL WHEN 'stealth_ai' THEN 2 WHEN 'ai_training' THEN 3 ELSE 1 END AS detection_level,
+      count(*) AS count FROM v1 GROUP BY 1, 2, 3, 4""",
+    V1,
+)
+web(
+    "first_generation_reasons",
+    """SELECT cls AS bot_classification, CASE WHEN cls <> 'ai_training' THEN NULL
+        WHEN (s > 0 AND n / s > 0.5) OR (s < 120 AND n > 20) THEN 'Burst pattern'
+        ELSE 'Datacenter IP + browser UA + missing Sec-Fetch headers' END AS reason_kind, count(*) AS count
+    FROM v1 GROUP BY 1, 2""",
+    V1,
+)
+web(
+    "mapped_labels",
+    f"""SELECT CASE bot_classification WHEN 'official_ai' THEN 'ai_official' WHEN 'stealth_ai' THEN 'ai_stealth'
+        WHEN 'ai_training' THEN 'ai_stealth' ELSE bot_classification END AS mapped, {GROUP} AS traffic_group,
+      {DISPLAY} AS display, {ATTACK} AS attack, count(*) AS count FROM web GROUP BY 1, 2, 3, 4""",
+)
+web("agent_families", f"SELECT {FAMILY} AS family, {REASON} AS reason, count(*) AS count FROM web GROUP BY 1, 2")
+
+
+def provider(asn: str, org: str, extra: dict[int, str]) -> str:
+    known = {**R.DATACENTER_ASNS, **extra}
+    cases = " ".join(f"WHEN {n} THEN '{p}'" for n, p in known.items())
+    words = "|".join(R.HOSTING_WORDS)
+    return rf"coalesce(CASE {asn} {cases} END, CASE WHEN regexp_matches({org}, '\b({words})\b', 'i') THEN 'hosting' END)"
+
+
+web(
+    "provider_of_networks",
+    f"""SELECT asn, asn_org, {provider('asn', 'asn_org', {64502: 'homelab'})} AS datacenter_provider, count(*) AS count
+    FROM web GROUP BY 1, 2, 3""",
+)
+_KNOWN = {**R.DATACENTER_ASNS, 64502: "homelab", 8075: "azure-new"}
+web(
+    "known_networks",
+    f"""SELECT asn, provider, count(*) AS count FROM web JOIN (VALUES
+      {', '.join(f"({n}, '{p}')" for n, p in _KNOWN.items())}) d(n, provider) ON asn = n GROUP BY 1, 2""",
+)
+
+# --- Relabelling
+CHANGED = "cls IS DISTINCT FROM bot_classification"
+web(
+    "full_rerun",
+    f"""SELECT id, bot_classification AS old_class, cls AS new_class, cls AS bot_classification, name AS bot_name,
+      lvl AS detection_level, cls <> 'human' AS is_bot FROM lab WHERE {CHANGED} OR name IS DISTINCT FROM bot_name""",
+    flags(),
+    *LAB,
+)
+web(
+    "transitions",
+    f"""SELECT bot_classification AS old_class, cls AS new_class, count(*) AS count FROM lab
+    WHERE {CHANGED} OR name IS DISTINCT FROM bot_name GROUP BY 1, 2""",
+    flags(),
+    *LAB,
+)
+web(
+    "applied_changes",
+    f"""SELECT cls AS bot_classification, name AS bot_name,
+      CASE WHEN {CHANGED} OR name IS DISTINCT FROM bot_name THEN lvl ELSE detection_level END AS detection_level,
+      cls <> 'human' AS is_bot, count(*) AS count FROM lab GROUP BY 1, 2, 3, 4""",
+    flags(),
+    *LAB,
+)
+web(
+    "undetermined_rerun",
+    f"""SELECT id, bot_classification AS old_class, cls AS new_class, cls AS bot_classification, name AS bot_name,
+      cls <> 'human' AS is_bot FROM lab WHERE {UND} AND client_ip NOT IN {XIP} AND {CHANGED}""",
+    flags(),
+    *LAB,
+)
+web(
+    "training_agents",
+    """SELECT id, bot_classification AS old_class, 'ai_training' AS new_class, 'ai_training' AS bot_classification,
+      upper(p) || '-Training-Agent' AS bot_name, 3 AS detection_level FROM web JOIN cand USING (client_ip)
+    WHERE bot_classification = 'human' AND datacenter_provider IS NOT NULL AND has_sec_fetch_headers = false""",
+    f"""cand AS (SELECT client_ip, min(datacenter_provider) AS p FROM web
+      WHERE datacenter_provider IS NOT NULL AND bot_classification = 'human' AND ({NO_AGENT} OR (
+        user_agent ILIKE '%Mozilla%' AND {ilike_any('user_agent', ('Chrome', 'Safari', 'Firefox'))}
+        AND NOT {ilike_any('user_agent', ('bot', 'crawler', 'spider'))} AND has_sec_fetch_headers = false)) GROUP BY 1)""",
+)
+_MON = """SELECT id, bot_classification AS old_class, 'monitoring_service' AS new_class,
+  'monitoring_service' AS bot_classification FROM """
+web(
+    "as_monitoring",
+    f"""{_MON} lab l WHERE {UNDX} AND cls = 'monitoring_service' AND EXISTS (SELECT 1 FROM pats p WHERE
+      p.client_ip = l.client_ip AND p.user_agent IS NOT DISTINCT FROM l.user_agent AND p.path = l.path
+      AND p.datacenter_provider IS NOT DISTINCT FROM l.datacenter_provider
+      AND p.has_sec_fetch_headers IS NOT DISTINCT FROM l.has_sec_fetch_headers
+      AND p.has_client_hints IS NOT DISTINCT FROM l.has_client_hints)""",
+    PATTERNS,
+    flags(),
+    *LAB,
+)
+web("as_monitoring_uncapped", f"{_MON} lab WHERE {UNDX} AND cls = 'monitoring_service'", flags(), *LAB)
+
+
+def step(n: int, rule: str, label: str, name: str, level: int, group: str | None = None) -> str:
+    """One relabelling step over the labels the previous step left."""
+    source = f"s{n - 1}"
+    test = f"l = 'human' AND coalesce({rule}, false)"
+    joined = source if group is None else f"{source} LEFT JOIN ({group.format(source)}) g USING (client_ip)"
+    return f"""s{n} AS (SELECT id, client_ip, "timestamp", asn_org, datacenter_provider,
+      CASE WHEN {test} THEN '{label}' ELSE l END AS l, CASE WHEN {test} THEN {name} ELSE nm END AS nm,
+      CASE WHEN {test} THEN {level} ELSE lv END AS lv, chg OR {test} AS chg FROM {joined})"""
+
+
+STEPS = (
+    """s0 AS (SELECT id, client_ip, "timestamp", asn_org, datacenter_provider, bot_classification AS l, bot_name AS nm,
+      detection_level AS lv, false AS chg FROM web)""",
+    step(1, ilike_any("asn_org", R.ORG_CHEAP_HOSTS), "stealth_ai", "'Cheap-Hosting-Scraper'", 2),
+    step(
+        2,
+        "hit",
+        "stealth_ai",
+        "'Burst-Pattern-Bot'",
+        3,
+        f"""SELECT client_ip, true AS hit FROM {{}} WHERE l = 'human' AND {recent('7d')} GROUP BY 1
+          HAVING count(*) >= 5 AND {span()} > 0 AND count(*) / {span()} > 0.2""",
+    ),
+    step(
+        3,
+        "hit",
+        "stealth_ai",
+        "'Cloudflare-WARP-Bot'",
+        2,
+        f"""SELECT client_ip, true AS hit FROM {{}} WHERE l = 'human' AND asn_org = 'Cloudflare, Inc.'
+          AND client_ip LIKE '2a06:98c0:%' GROUP BY 1 HAVING count(*) < 20 AND {span()} < 3600""",
+    ),
+    step(4, "asn_org ILIKE '%Tencent%'", "stealth_ai", "'Tencent-Cloud-Bot'", 2),
+    step(
+        5,
+        "hit",
+        "web_crawler",
+        "'Corporate-Proxy-Crawler'",
+        2,
+        f"""SELECT client_ip, true AS hit FROM {{}} WHERE l = 'human' AND (asn_org ILIKE '%Kaspersky%'
+          OR asn_org IN ('PJSC MegaFon', 'Rostelecom')) GROUP BY 1 HAVING count(*) >= 5 AND {span()} < 300""",
+    ),
+    step(
+        6,
+        "hit",
+        "stealth_ai",
+        "upper(p) || '-Stealth'",
+        2,
+        """SELECT client_ip, min(datacenter_provider) AS p, true AS hit FROM (SELECT client_ip, datacenter_provider FROM {}
+          WHERE l = 'human' AND datacenter_provider IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1""",
+    ),
+)
+web(
+    "human_patterns",
+    """SELECT id, 'human' AS old_class, l AS new_class, l AS bot_classification, nm AS bot_name, lv AS detection_level
+    FROM s6 WHERE chg""",
+    *STEPS,
+)
+NEW_ASNS = inside(R.NEW_HOSTING_ASNS)
+web(
+    "hosting_networks",
+    f"""SELECT id, bot_classification AS old_class, nc AS new_class,
+      CASE WHEN miss THEN 'hosting' ELSE datacenter_provider END AS datacenter_provider, nc AS bot_classification,
+      CASE WHEN nc IS DISTINCT FROM bot_classification THEN nc <> 'human' ELSE is_bot END AS is_bot
+    FROM (SELECT *, coalesce(datacenter_provider, '') = '' AS miss,
+            CASE WHEN bot_classification = 'human' THEN cls ELSE bot_classification END AS nc FROM lab)
+    WHERE asn IN {NEW_ASNS} AND (miss OR nc IS DISTINCT FROM bot_classification)""",
+    flags(prov="'hosting'"),
+    *LAB,
+)
+
+
+def expanded(name: str, source: str, *ctes: str) -> None:
+    unsure = f"coalesce(bot_classification IN ('human', 'bot_undetermined'), false) AND {CHANGED}"
+    web(
+        name,
+        f"""SELECT id, bot_classification AS old_class, CASE WHEN hit THEN cls ELSE bot_classification END AS new_class,
+          prov AS datacenter_provider, CASE WHEN hit THEN cls ELSE bot_classification END AS bot_classification,
+          CASE WHEN hit THEN name ELSE bot_name END AS bot_name,
+          CASE WHEN hit THEN lvl ELSE detection_level END AS detection_level,
+          CASE WHEN hit THEN cls <> 'human' ELSE is_bot END AS is_bot
+        FROM (SELECT *, {unsure} AS hit FROM lab) WHERE prov IS NOT NULL""",
+        *ctes,
+        flags(source, "newprov"),
+        *LAB,
+    )
+
+
+TODO = f"""todo AS (SELECT *, {provider('asn', 'asn_org', {})} AS newprov FROM web
+  WHERE datacenter_provider IS NULL AND asn IS NOT NULL)"""
+expanded("expanded_networks", "todo", TODO)
+V4 = "(u > 1 AND u % 10 <> 9)"
+FOUND = f"CASE WHEN {V4} THEN CAST(u % 8 + 1 AS INT) WHEN u % 20 = 19 THEN {B.WARP_NETWORK} END"
+FOUND_NET = f"""fnet AS (SELECT *, {pick([n[0] for n in B.NETWORKS], 'fi')} AS fasn, {pick([n[1] for n in B.NETWORKS], 'fi')} AS forg
+  FROM (SELECT *, {FOUND} AS fi FROM web))"""
+expanded(
+    "expanded_networks_by_address",
+    "todo",
+    FOUND_NET,
+    f"""todo AS (SELECT *, {provider('fasn', 'forg', {})} AS newprov FROM fnet
+      WHERE datacenter_provider IS NULL AND asn IS NOT NULL)""",
+)
+
+# --- Lookups
+web(
+    "network_lookup",
+    f"""SELECT id, client_ip, fasn AS asn, forg AS asn_org, {provider('fasn', 'forg', {})} AS datacenter_provider FROM fnet""",
+    FOUND_NET,
+)
+A, Bb, Cc = "u % 4", "u % 8", "u % 250"
+GEO = f"""geo AS (SELECT *,
+    CASE WHEN {V4} THEN CASE WHEN {Cc} % 10 = 0 THEN 'HH' WHEN {Bb} % 2 = 0 THEN concat('A', {A}) ELSE 'ZZ' END
+      WHEN u % 20 = 9 THEN CASE WHEN (u % 7 + u % 5) % 2 = 0 THEN 'VW' ELSE 'VV' END END AS gcountry,
+    CASE WHEN {V4} THEN CASE WHEN {Cc} % 10 = 0 THEN concat('Host-', {Cc}) WHEN {Bb} % 2 = 0 THEN concat('City-', {A}, '-', {Bb}) END
+      WHEN u % 20 = 9 AND (u % 7 + u % 5) % 2 = 0 THEN concat('Six-', u % 7, '-', u % 5) END AS gcity,
+    nullif(CASE WHEN {V4} THEN CASE WHEN {Cc} % 10 = 0 THEN {Cc} WHEN {Bb} % 2 = 0 THEN {A} * 10 + {Bb} ELSE 1.5 END
+      WHEN u % 20 = 9 THEN CASE WHEN (u % 7 + u % 5) % 2 = 0 THEN u % 7 ELSE 6.25 END END::DOUBLE, 0) AS glat,
+    nullif(CASE WHEN {V4} THEN CASE WHEN {Cc} % 10 = 0 THEN -({Cc}) WHEN {Bb} % 2 = 0 THEN {Bb} - 90 ELSE 0 END
+      WHEN u % 20 = 9 THEN CASE WHEN (u % 7 + u % 5) % 2 = 0 THEN u % 5 ELSE 7.75 END END::DOUBLE, 0) AS glon
+  FROM {{}})"""
+web(
+    "geo_lookup",
+    "SELECT id, client_ip, gcountry AS country, gcity AS city, glat AS latitude, glon AS longitude FROM geo",
+    GEO.format("web"),
+)
+web(
+    "geo_lookup_header_first",
+    """SELECT coalesce(CASE WHEN e % 2 = 0 THEN 'DE' END, gcountry) AS country, gcity AS city, count(*) AS count
+    FROM geo GROUP BY 1, 2""",
+    GEO.format("web"),
+)
+
+# --- Parsing: what a line keeps of the event it was rendered from
+GOOD = "e % 97 <> 0 AND e % 47 <> 0"
+HOST = "CASE WHEN e % 53 <> 0 THEN site ELSE 'unknown' END"
+MS = 'make_timestamp((epoch_us("timestamp") // 1000) * 1000)'
+_AGENT = "nullif(user_agent, '')"
+
+
+def parsed(extra: str) -> str:
+    return f"""SELECT {ts(MS)} AS "timestamp", CASE WHEN e % 61 <> 0 THEN duration ELSE 0.0::DOUBLE END AS duration, client_ip, cf_ray,
+      {HOST} AS site, CASE WHEN e % 59 <> 0 THEN method ELSE 'GET' END AS method, status,
+      CASE WHEN e % 67 <> 0 THEN response_size ELSE 0 END AS response_size,
+      CASE WHEN e % 5 = 0 THEN 'https://example.org/' END AS referer, {extra} FROM web WHERE {GOOD}"""
+
+
+web(
+    "parsed_requests",
+    parsed(
+        f"""path, query_string, CAST(NULL AS VARCHAR) AS content_type, {_AGENT} AS user_agent,
+        CAST(NULL AS VARCHAR) AS accept_language"""
+    ),
+)
+web(
+    "historical_requests",
+    parsed(
+        f"""concat(path, CASE WHEN query_string IS NOT NULL THEN concat('?', query_string, '?rest') END) AS path,
+        CAST(NULL AS VARCHAR) AS query_string, coalesce({_AGENT}, '') AS user_agent,
+        CASE WHEN e % 2 = 0 THEN 'DE' END AS header_country"""
+    )
+    + f""" AND {HOST} IN {inside([FIRST, SECOND, THIRD, 'console.example.net', f'www.{FIRST}', f'www.{SECOND}',
+        f'www.{THIRD}', 'www.console.example.net'])} AND (e % 3 = 0 OR e % 41 <> 5)""",
+)
+web("bad_lines", "SELECT CAST(e AS VARCHAR) AS id FROM web WHERE e % 97 = 0")
+web(
+    "recent_records",
+    f"""SELECT CAST(CAST({MS} AS DATE) AS VARCHAR) AS day, count(*) AS count FROM web WHERE {GOOD}
+      AND {MS} >= TIMESTAMP '2024-01-20' GROUP BY 1""",
+)
+web(
+    "proxy_addresses",
+    """SELECT id, CASE e % 4 WHEN 0 THEN client_ip WHEN 1 THEN client_ip WHEN 2 THEN 'r-' || client_ip
+      ELSE 's-' || client_ip END AS address FROM web""",
+)
+ORACLES["page_uris"] = r"""SELECT page_id, replace(regexp_extract(url, '^[a-z]+://([^/]+)', 1), 'www.', '') AS site,
+  coalesce(nullif(split_part(rest, '?', 1), ''), '/') AS path, nullif(split_part(rest, '?', 2), '') AS query
+  FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]+(.*)$', 1) AS rest FROM pages)"""
+web(
+    "address_subnets",
+    """SELECT DISTINCT client_ip,
+      CASE WHEN u % 20 = 19 AND u > 1 THEN concat('2a06:98c0:3600:', u % 9973, '::/64')
+           WHEN u % 10 = 9 THEN concat('2001:db8:', u % 7, ':', u % 5, '::/64') ELSE subnet END AS as_written,
+      CASE WHEN u % 20 = 19 THEN '2a06:98c0:3600:0::/64'
+           WHEN u % 10 = 9 THEN concat('2001:db8:', u % 7, ':', u % 5, '::/64') ELSE subnet END AS expanded,
+      CASE WHEN u % 20 = 19 THEN '2a06:9800::/24' WHEN u % 10 = 9 THEN '2001:d00::/24' ELSE subnet END AS network24
+    FROM web""",
+)
+ANY_ATTACK = f"coalesce({hit('path', R.CMS_PATHS)} OR {SHELL} OR {hit('path', R.CONFIG_PATHS)} OR {hit('path', R.EXPLOIT_PATHS)}, false)"
+web(
+    "request_flags",
+    f"""SELECT id, {SF_ON} AS sec_fetch_v1,
+      ({' OR '.join(f"starts_with(path, '{p}')" for p in R.EXPLOIT_PREFIXES_V1)}) AS exploit_v1,
+      ({SF_ON} OR e % 11 = 0) AS has_sec_fetch_headers, {CH_ON} AS has_client_hints, ({CH_ON} AND is_mobile) AS is_mobile,
+      CASE WHEN e % 17 = 0 THEN 'bot@example.org' END AS bot_from_email,
+      CASE WHEN e % 19 = 0 THEN concat('h', e % 7) END AS openai_host_hash, e % 23 = 0 AS has_cf_worker,
+      CASE WHEN e % 23 = 0 THEN 'worker.example.net' END AS cf_worker_domain, {ANY_ATTACK} AS is_exploit_attempt FROM web""",
+)
+
+# --- Filters
+SCANNER = hit("concat(path, CASE WHEN query_string IS NOT NULL THEN '?' || query_string END)", R.SCANNER_URIS)
+WANTED = f"""client_ip <> {HOME} AND site NOT IN ('intranet.example.net', 'old.example.net', 'www.old.example.net')
+  AND NOT {SCANNER}"""
+web(
+    "ingest_filters",
+    f"""SELECT site, path, count(*) AS count FROM web WHERE {WANTED} AND client_ip NOT IN (
+      SELECT client_ip FROM web WHERE client_ip LIKE '%7' AND e % 2 = 0) GROUP BY 1, 2""",
+)
+web(
+    "unloaded_days",
+    f"""SELECT {DAY} AS event_date, count(*) AS count FROM web WHERE CAST("timestamp" AS DATE) NOT IN (
+      SELECT CAST("timestamp" AS DATE) FROM web WHERE day("timestamp") % 2 = 0 AND site = 'other.example.net') GROUP BY 1""",
+)
+web(
+    "network_filters",
+    f"""SELECT count(*) FILTER (WHERE {ilike_any('asn_org', R.ORG_SUSPECT)}) AS suspect,
+      count(*) FILTER (WHERE {ilike_any('asn_org', R.ORG_PROXY_SELLERS)}) AS sellers,
+      count(*) FILTER (WHERE {ilike_any('asn_org', R.ORG_CHEAP_HOSTS)}) AS cheap,
+      count(*) FILTER (WHERE asn IN {NEW_ASNS}) AS new_hosting,
+      count(*) FILTER (WHERE client_ip LIKE '2a06:98c0:%') AS warp FROM web""",
+)
+BUILT = f"""src AS (SELECT * EXCLUDE (site, "timestamp", datacenter_provider, user_agent), {HOST} AS site,
+    {MS} AS "timestamp", {provider('fasn', 'forg', {})} AS datacenter_provider, {_AGENT} AS user_agent
+  FROM fnet WHERE {GOOD}),
+  kept AS (SELECT * FROM src WHERE {WANTED})"""
+web(
+    "built_events",
+    f"""SELECT gcountry AS country, datacenter_provider, cls AS bot_classification, name AS bot_name,
+      {ANY_ATTACK} AS is_exploit_attempt, count(*) AS count FROM lab GROUP BY 1, 2, 3, 4, 5""",
+    FOUND_NET,
+    BUILT,
+    GEO.format("kept"),
+    headers("geo"),
+    *LAB,
+)
+web(
+    "streamed_ingestion",
+    "SELECT cls AS bot_classification, name AS bot_name, count(*) AS count FROM lab GROUP BY 1, 2",
+    FOUND_NET,
+    BUILT,
+    headers("kept"),
+    *LAB,
+)
+
+# --- Text routing
+_SCORES = [
+    (
+        topic,
+        "("
+        + f"CASE WHEN contains(t, '{name.lower()}') THEN 3 ELSE 0 END"
+        + "".join(f" + CASE WHEN contains(t, '{w}') THEN 2 ELSE 0 END" for w in words)
+        + ")",
+    )
+    for topic, name, words in R.REPORT_TOPICS
+]
+ORACLES["routed_text"] = (
+    "SELECT conv_id, turn, CASE "
+    + " ".join(f"WHEN best > 0 AND s{i} = best THEN '{t}'" for i, (t, _) in enumerate(_SCORES))
+    + " END AS report, best AS score FROM (SELECT *, greatest("
+    + ", ".join(f"s{i}" for i in range(len(_SCORES)))
+    + ") AS best FROM (SELECT conv_id, turn, "
+    + ", ".join(f"{s} AS s{i}" for i, (_, s) in enumerate(_SCORES))
+    + " FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)))"
+)
+
+# --- Sinks
+_CLUSTERS = f"""clu AS (SELECT subnet, bot_classification, datacenter_provider, asn, asn_org, count(*) AS total_requests,
+    count(DISTINCT client_ip) AS unique_ips, array_to_string(list_sort(list(DISTINCT country)
+      FILTER (WHERE country IS NOT NULL)), '; ') AS countries
+  FROM web WHERE {scope('7d')} GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 10
+  ORDER BY total_requests DESC, subnet, bot_classification NULLS FIRST, datacenter_provider NULLS FIRST, asn NULLS FIRST,
+    asn_org NULLS FIRST LIMIT 200)"""
+web(
+    "csv_export_rows",
+    """SELECT subnet AS "Subnet", bot_classification AS "Bot Classification", datacenter_provider AS "Datacenter Provider",
+      CAST(asn AS VARCHAR) AS "Asn", asn_org AS "Asn Org", CAST(total_requests AS VARCHAR) AS "Total Requests",
+      CAST(unique_ips AS VARCHAR) AS "Unique Ips", countries AS "Countries" FROM clu""",
+    _CLUSTERS,
+)
+web("sorted_report", "SELECT subnet, unique_ips, total_requests FROM clu", _CLUSTERS)
+web(
+    "progress_row",
+    f"""SELECT {ts('max("timestamp")')} AS last_processed_timestamp, arg_max(cf_ray, "timestamp") AS last_cf_ray,
+      count(*) AS records_processed FROM web""",
+)
+web("progress_mark", f"SELECT {ts('max(\"timestamp\")')} AS last_processed_timestamp FROM web")
+web(
+    "backfilled_columns",
+    """SELECT count(path) AS n_path, CAST(0 AS BIGINT) AS n_query_string, CAST(0 AS BIGINT) AS n_is_mobile,
+      CAST(0 AS BIGINT) AS n_has_client_hints, count(asn) AS n_asn, CAST(0 AS BIGINT) AS workers FROM web""",
+)
+web("stored_events", f"SELECT {DAY} AS event_date, count(*) AS count, count(DISTINCT id) AS ids FROM web GROUP BY 1")
+
+# --- Streaming: rows still behind the watermark at the end of the input are not written
+MARK = "(SELECT max(\"timestamp\") - INTERVAL 1 HOUR FROM web)"
+web(
+    "streamed_timeline",
+    f"""SELECT {ts('d')} AS time_bucket, site, n AS requests FROM (SELECT date_trunc('day', "timestamp")::TIMESTAMP AS d,
+      {SITE} AS site, count(*) AS n FROM web GROUP BY 1, 2) WHERE d + INTERVAL 1 DAY <= {MARK}""",
+)
+web(
+    "streamed_sessions",
+    f"""SELECT client_ip, {ts('min("timestamp")')} AS session_start, count(*) AS request_count, {span()} AS span_seconds
+    FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY client_ip ORDER BY "timestamp", id) AS sid
+      FROM (SELECT *, coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY client_ip ORDER BY "timestamp", id)
+          > INTERVAL 30 MINUTE, true) AS gap FROM web))
+    GROUP BY client_ip, sid HAVING max("timestamp") + INTERVAL 30 MINUTE <= {MARK}""",
+)
+web("streamed_unique", "SELECT site, count(*) AS count FROM web GROUP BY 1")
+
+# --- Search intelligence
+QT, CAT, PRI = "concat('care ', e % 23)", "concat('cat-', e % 23 % 3)", "CASE WHEN e % 23 % 2 = 0 THEN 'high' ELSE 'normal' END"
+SEARCH = f"""se AS (SELECT e AS search_id, {QT} AS query_text, {CAT} AS category, {PRI} AS priority, "timestamp" AS d,
+    (e % 23 + e) % 4 < e % 23 % 5 AS ai, e % 6 = 0 AS place, e % 35 = 0 AS brand FROM web),
+  op AS (SELECT {QT} AS query_text, CASE WHEN e % 2 = 0 THEN 'new' ELSE 'done' END AS status, path AS url FROM web WHERE status = 404),
+  ci AS (SELECT e AS search_id, p AS position, concat('site', (e * p) % 37, '.example') AS domain
+    FROM (SELECT e, unnest(generate_series(1, e % 8 + 1)) AS p FROM web)),
+  og AS (SELECT domain, position + 2 AS position FROM ci WHERE position % 2 = 1 AND search_id % 3 = 0)"""
+web(
+    "search_overview",
+    f"""SELECT count(*) AS total_searches, count(DISTINCT query_text) AS queries_tracked,
+      count(*) FILTER (WHERE ai) AS ai_overviews_found, count(*) FILTER (WHERE place) AS place_mentions,
+      count(*) FILTER (WHERE brand) AS brand_mentions, {ts('min(d)')} AS first_search_date, {ts('max(d)')} AS last_search_date,
+      (SELECT count(*) FROM op) AS platform_opportunities,
+      {pct('count(*) FILTER (WHERE ai)', 'count(*)', 1)} AS ai_overview_percentage FROM se""",
+    SEARCH,
+)
+web(
+    "search_queries",
+    f"""SELECT *, CASE WHEN ai_percentage > 80 THEN 'high' WHEN ai_percentage > 50 THEN 'medium' ELSE 'low' END AS band FROM (
+      SELECT query_text, category, priority, count(*) AS total_searches, count(*) FILTER (WHERE ai) AS ai_overview_count,
+        {ts('max(d)')} AS last_search, coalesce(any_value(n), 0) AS opportunity_count,
+        {pct('count(*) FILTER (WHERE ai)', 'count(*)', 0)} AS ai_percentage
+      FROM se LEFT JOIN (SELECT query_text, count(*) AS n FROM op GROUP BY 1) USING (query_text) GROUP BY 1, 2, 3)""",
+    SEARCH,
+)
+web(
+    "ai_overviews",
+    f"""SELECT search_id, query_text, {ts('d')} AS search_date, e8 AS citation_count,
+      array_to_string((SELECT list(domain ORDER BY position) FROM ci WHERE ci.search_id = n.search_id)[1:5], ',') AS citations
+    FROM (SELECT *, search_id % 8 + 1 AS e8 FROM se WHERE ai ORDER BY d DESC, search_id LIMIT 5) n""",
+    SEARCH,
+)
+web(
+    "citations_by_domain",
+    f"""SELECT c.domain, citation_count, avg_position, avg_organic_position, avg_organic_position IS NOT NULL AS appears_in_organic
+    FROM (SELECT domain, count(*) AS citation_count, {rnd('avg(position)', 1)} AS avg_position FROM ci GROUP BY 1
+          ORDER BY citation_count DESC, domain LIMIT 20) c
+    LEFT JOIN (SELECT domain, {rnd('avg(position)', 1)} AS avg_organic_position FROM og GROUP BY 1) o USING (domain)""",
+    SEARCH,
+)
+web("new_opportunities", "SELECT query_text, url, count(*) AS count FROM op WHERE status = 'new' GROUP BY 1, 2", SEARCH)
