@@ -121,7 +121,7 @@ w0 AS (
     CASE WHEN u % 14 <> 13 THEN ((u % 25) * 15000 - 200000 + (k % 4) * 11) / 10000.0::DOUBLE END AS latitude,
     CASE WHEN u % 14 <> 13 THEN ((u % 25) * 32500 - 1000000 + (k % 3) * 17) / 10000.0::DOUBLE END AS longitude,
     concat('ray-', e) AS cf_ray,
-    {pick([n[0] for n in B.NETWORKS], NET)} AS asn,
+    CAST({pick([n[0] for n in B.NETWORKS], NET)} AS BIGINT) AS asn,
     {pick([n[1] for n in B.NETWORKS], NET)} AS asn_org,
     {pick([n[2] for n in B.NETWORKS], NET)} AS datacenter_provider,
     {pick(SITES, 'e % 14')} AS site,
@@ -129,7 +129,7 @@ w0 AS (
     CASE WHEN u % 6 = 1 THEN concat('/posts/page-', e % 500, '.html')
          ELSE {pick(B.PATHS, f'k % {len(B.PATHS)}')} END AS path,
     CASE WHEN k % 5 = 0 THEN concat('page=', k) END AS query_string,
-    CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS status,
+    CAST(CASE WHEN event_type = 'error' THEN 404 ELSE 200 END AS BIGINT) AS status,
     CAST(floor(value * 100 + 0.5) AS BIGINT) AS response_size,
     {pick(B.AGENTS, f'u % {len(B.AGENTS)}')} AS user_agent,
     CASE WHEN u % 13 <> 5 THEN u % 3 = 0 END AS has_sec_fetch_headers,
@@ -151,10 +151,10 @@ web AS (
          WHEN bot_classification = 'monitoring_service' THEN 'UptimeRobot'
          WHEN bot_classification = 'bot_undetermined' THEN 'Undetermined-Bot'
          WHEN bot_classification LIKE 'attack_%' THEN 'Scanner' END AS bot_name,
-    CASE WHEN bot_classification IN ('ai_official', 'official_ai', 'web_crawler')
+    CAST(CASE WHEN bot_classification IN ('ai_official', 'official_ai', 'web_crawler')
               OR bot_classification LIKE 'attack_%' THEN 1
          WHEN bot_classification IN ('ai_stealth', 'stealth_ai', 'monitoring_service') THEN 2
-         WHEN bot_classification = 'bot_undetermined' THEN 3 END AS detection_level
+         WHEN bot_classification = 'bot_undetermined' THEN 3 END AS BIGINT) AS detection_level
   FROM w1
 )"""
 
@@ -777,8 +777,8 @@ LABELLED = f"""lab AS (SELECT *,
       WHEN 'challenge' THEN 'Cloudflare-Verify' WHEN 'dc-monitor' THEN upper(prov) || '-Monitor'
       WHEN 'dc-crawler' THEN upper(prov) || '-Crawler' WHEN 'stealth' THEN upper(prov) || '-Stealth-AI'
       WHEN 'open' THEN 'Undetermined-Bot' END AS name,
-    CASE WHEN rule IN ('cms', 'shell', 'config', 'exploit', 'ai', 'crawler', 'headless', 'generic') THEN 1
-      WHEN rule IN ('monitor', 'challenge', 'dc-monitor', 'dc-crawler', 'stealth') THEN 2 WHEN rule = 'open' THEN 3 END AS lvl,
+    CAST(CASE WHEN rule IN ('cms', 'shell', 'config', 'exploit', 'ai', 'crawler', 'headless', 'generic') THEN 1
+      WHEN rule IN ('monitor', 'challenge', 'dc-monitor', 'dc-crawler', 'stealth') THEN 2 WHEN rule = 'open' THEN 3 END AS BIGINT) AS lvl,
     CASE rule WHEN 'human' THEN 'Passed all human verification checks' WHEN 'cms' THEN 'WordPress vulnerability scanning'
       WHEN 'shell' THEN 'Web shell / backdoor scanning' WHEN 'config' THEN 'Configuration file / database scanner'
       WHEN 'exploit' THEN 'Active exploit attempt detected' WHEN 'ai' THEN 'Official AI bot declared in User-Agent'
@@ -842,7 +842,7 @@ web(
         WHEN 'web_crawler' THEN coalesce({named('user_agent', R.CRAWLERS_V1)}, 'Generic-Bot')
         WHEN 'stealth_ai' THEN upper(datacenter_provider) || '-Stealth'
         WHEN 'ai_training' THEN upper(datacenter_provider) || '-Training-Agent' END AS bot_name,
-      CASE cls WHEN 'human' THEN NULL WHEN 'stealth_ai' THEN 2 WHEN 'ai_training' THEN 3 ELSE 1 END AS detection_level,
+      CAST(CASE cls WHEN 'human' THEN NULL WHEN 'stealth_ai' THEN 2 WHEN 'ai_training' THEN 3 ELSE 1 END AS BIGINT) AS detection_level,
       count(*) AS count FROM v1 GROUP BY 1, 2, 3, 4""",
     V1,
 )
@@ -916,7 +916,7 @@ web(
 web(
     "training_agents",
     """SELECT id, bot_classification AS old_class, 'ai_training' AS new_class, 'ai_training' AS bot_classification,
-      upper(p) || '-Training-Agent' AS bot_name, 3 AS detection_level FROM web JOIN cand USING (client_ip)
+      upper(p) || '-Training-Agent' AS bot_name, CAST(3 AS BIGINT) AS detection_level FROM web JOIN cand USING (client_ip)
     WHERE bot_classification = 'human' AND datacenter_provider IS NOT NULL AND has_sec_fetch_headers = false""",
     f"""cand AS (SELECT client_ip, min(datacenter_provider) AS p FROM web
       WHERE datacenter_provider IS NOT NULL AND bot_classification = 'human' AND ({NO_AGENT} OR (
@@ -1032,7 +1032,7 @@ TODO = f"""todo AS (SELECT *, {provider('asn', 'asn_org', {})} AS newprov FROM w
 expanded("expanded_networks", "todo", TODO)
 V4 = "(u > 1 AND u % 10 <> 9)"
 FOUND = f"CASE WHEN {V4} THEN CAST(u % 8 + 1 AS INT) WHEN u % 20 = 19 THEN {B.WARP_NETWORK} END"
-FOUND_NET = f"""fnet AS (SELECT *, {pick([n[0] for n in B.NETWORKS], 'fi')} AS fasn, {pick([n[1] for n in B.NETWORKS], 'fi')} AS forg
+FOUND_NET = f"""fnet AS (SELECT *, CAST({pick([n[0] for n in B.NETWORKS], 'fi')} AS BIGINT) AS fasn, {pick([n[1] for n in B.NETWORKS], 'fi')} AS forg
   FROM (SELECT *, {FOUND} AS fi FROM web))"""
 expanded(
     "expanded_networks_by_address",
@@ -1196,7 +1196,7 @@ _SCORES = [
 ORACLES["routed_text"] = (
     "SELECT conv_id, turn, CASE "
     + " ".join(f"WHEN best > 0 AND s{i} = best THEN '{t}'" for i, (t, _) in enumerate(_SCORES))
-    + " END AS report, best AS score FROM (SELECT *, greatest("
+    + " END AS report, CAST(best AS BIGINT) AS score FROM (SELECT *, greatest("
     + ", ".join(f"s{i}" for i in range(len(_SCORES)))
     + ") AS best FROM (SELECT conv_id, turn, "
     + ", ".join(f"{s} AS s{i}" for i, (_, s) in enumerate(_SCORES))

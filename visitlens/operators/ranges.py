@@ -35,34 +35,37 @@ def networks(df: DataFrame, cidr: str = "network") -> DataFrame:
     )
 
 
-def lookup(addresses: DataFrame, table: DataFrame, into: str, key: str = "client_ip") -> DataFrame:
-    """(key, into) for every distinct address that lies in a block of ``table``.
+def lookup(addresses: DataFrame, tables: dict[str, DataFrame], key: str = "client_ip") -> DataFrame:
+    """One struct column per network table for every row of ``addresses``, NULL where none covers it.
 
-    ``table`` comes from :func:`networks`; its other columns become the struct ``into``.
+    ``addresses`` has one row per address; its other columns are kept. Tables come from
+    :func:`networks`. All of them are tried together, so the addresses are read and shuffled once.
     """
-    attributes = [c for c in table.columns if c not in KEYS]
-    lengths = table.select("family", "bits").distinct()
+    carried = [c for c in addresses.columns if c != key]
+    blocks = None
+    for name, table in tables.items():
+        attributes = F.struct(*[c for c in table.columns if c not in KEYS]).alias(name)
+        part = table.select(*KEYS, F.lit(name).alias("_table"), attributes)
+        blocks = part if blocks is None else blocks.unionByName(part, allowMissingColumns=True)
+    lengths = blocks.select("family", "bits").distinct()
     tries = (
-        addresses.select(key, address_hex(F.col(key)).alias("_hex"))
-        .where("_hex is not null")
+        addresses.withColumn("_hex", address_hex(F.col(key)))
         .withColumn("family", _family("_hex"))
         .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(PREFIX_SALTS)).cast("int"))
-        .join(F.broadcast(lengths), "family")
-        .select(key, "family", "bits", prefix_of(F.col("_hex"), F.col("bits")).alias("prefix"), "_salt")
+        .join(F.broadcast(lengths), "family", "left")
+        .withColumn("prefix", prefix_of(F.col("_hex"), F.col("bits")))
+        .drop("_hex")
     )
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PREFIX_SALTS - 1))))
-    hits = tries.join(copies, [*KEYS, "_salt"])
-    return hits.groupBy(key).agg(F.max_by(F.struct(*attributes), "bits").alias(into))
+    copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PREFIX_SALTS - 1))))
+    hits = tries.join(copies, [*KEYS, "_salt"], "left")
+    longest = [F.max_by(n, F.when(F.col("_table") == n, F.col("bits"))).alias(n) for n in tables]
+    return hits.groupBy(key, *carried).agg(*longest)
 
 
 def attach(events: DataFrame, tables: dict[str, DataFrame], key: str = "client_ip") -> DataFrame:
     """Adds one struct column per network table, NULL where no block covers the address.
 
-    One pass finds the distinct addresses with their row counts; the counts tell which addresses
-    to spread when the attributes are joined back.
+    One pass finds the distinct addresses, whose attributes are then joined back to the events.
     """
     per_ip = events.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    found = per_ip
-    for name, table in tables.items():
-        found = found.join(lookup(per_ip, table, name, key), key, "left")
-    return spread_join(events, found, key, "_rows", "left")
+    return spread_join(events, lookup(per_ip, tables, key), key, "_rows", "left")

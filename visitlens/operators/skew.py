@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HOT_ROWS = 2_000_000
@@ -10,6 +10,12 @@ HOT_KEYS = 1_000
 SALTS = 64
 
 
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether adaptive execution cuts oversized join partitions in this session."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(name, "true").lower() == "true" for name in names)
+
+
 def spread_join(
     events: DataFrame,
     per_key: DataFrame,
@@ -20,10 +26,14 @@ def spread_join(
 ) -> DataFrame:
     """Join on ``key`` with the events of heavy keys spread over many tasks.
 
-    ``per_key`` has one row per key and says in ``weight`` how many events the key has. At most
-    ``HOT_KEYS`` of the keys above ``hot_rows`` are salted, so the broadcast list of hot keys has
-    a fixed bound; any further ones join unsalted and stay correct. ``weight`` is not returned.
+    ``per_key`` has one row per key and says in ``weight`` how many events the key has; ``weight``
+    is not returned. Adaptive execution splits the events of a heavy key at run time. In a session
+    without it the keys above ``hot_rows`` are salted, which costs a second aggregation of the
+    keys: at most ``HOT_KEYS`` of them, so the broadcast list has a fixed bound; any further ones
+    join unsalted and stay correct.
     """
+    if splits_skew(events.sparkSession):
+        return events.join(per_key.drop(weight), key, how)
     hot = (
         per_key.where(F.col(weight) >= hot_rows)
         .orderBy(F.col(weight).desc(), key)

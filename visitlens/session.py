@@ -12,7 +12,8 @@ SETTINGS = {
     # The label cascade generates more code than the JVM compiles in one method; beyond this size
     # Spark evaluates it in smaller pieces, which is faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Plans are assembled from many small expressions; recording a call site for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
