@@ -26,8 +26,10 @@ def search_overview(searches: DataFrame, opportunities: DataFrame) -> DataFrame:
         F.max("search_date").alias("last_search_date"),
     )
     found = opportunities.agg(requests("platform_opportunities"))
-    joined = totals.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return joined.withColumn("ai_overview_percentage", percent("ai_overviews_found", "total_searches", 1))
+    # Two single rows with disjoint columns, folded into one.
+    rows = totals.unionByName(found, allowMissingColumns=True)
+    row = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+    return row.withColumn("ai_overview_percentage", percent("ai_overviews_found", "total_searches", 1))
 
 
 def search_queries(searches: DataFrame, opportunities: DataFrame) -> DataFrame:
