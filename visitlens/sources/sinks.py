@@ -71,19 +71,26 @@ def csv_ready(df: DataFrame) -> DataFrame:
     return title_names(df.select(*columns))
 
 
+def quoted(value: Column) -> Column:
+    """A CSV field: quotes doubled and the value quoted, nothing at all for NULL."""
+    return F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """The lines of a CSV file, heading first; every value is quoted, NULL stays empty."""
+    text = csv_ready(df)
+    heading = ",".join('"' + c.replace('"', '""') + '"' for c in text.columns)
+    fields = [F.coalesce(quoted(F.col(f"`{c}`")), F.lit("")) for c in text.columns]
+    rows = text.select(F.concat_ws(",", *fields).alias("value"))
+    return df.sparkSession.createDataFrame([(heading,)], "value string").coalesce(1).union(rows)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """Writes CSV files with a header; quotes inside values are doubled, every value is quoted."""
-    (
-        csv_ready(df)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("quoteAll", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", None)
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    """Writes the lines as part files that, joined in name order, are one CSV file.
+
+    Spark's CSV writer cannot leave NULL unquoted among quoted values, so lines are written as text.
+    """
+    csv_lines(df).write.mode("overwrite").text(path)
 
 
 def sort_for_display(df: DataFrame, column: str) -> DataFrame:
