@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.ip import V4_DIGITS, address_hex, prefix_of
-from visitlens.operators.skew import spread_join
+from visitlens.operators.skew import splits_skew, spread_join
 
 # Short prefixes cover many addresses; both sides of the lookup are spread by this many salts.
 PREFIX_SALTS = 16
@@ -36,12 +36,11 @@ def networks(df: DataFrame, cidr: str = "network") -> DataFrame:
 
 
 def lookup(addresses: DataFrame, tables: dict[str, DataFrame], key: str = "client_ip") -> DataFrame:
-    """One struct column per network table for every row of ``addresses``, NULL where none covers it.
+    """One struct column per network table for every address that some table covers.
 
-    ``addresses`` has one row per address; its other columns are kept. Tables come from
-    :func:`networks`. All of them are tried together, so the addresses are read and shuffled once.
+    ``addresses`` has one row per address. Tables come from :func:`networks`. All of them are
+    tried together, so the addresses are read and shuffled once, and only hits are aggregated.
     """
-    carried = [c for c in addresses.columns if c != key]
     blocks = None
     for name, table in tables.items():
         attributes = F.struct(*[c for c in table.columns if c not in KEYS]).alias(name)
@@ -49,17 +48,18 @@ def lookup(addresses: DataFrame, tables: dict[str, DataFrame], key: str = "clien
         blocks = part if blocks is None else blocks.unionByName(part, allowMissingColumns=True)
     lengths = blocks.select("family", "bits").distinct()
     tries = (
-        addresses.withColumn("_hex", address_hex(F.col(key)))
+        addresses.select(key, address_hex(F.col(key)).alias("_hex"))
+        .where("_hex is not null")
         .withColumn("family", _family("_hex"))
         .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(PREFIX_SALTS)).cast("int"))
-        .join(F.broadcast(lengths), "family", "left")
+        .join(F.broadcast(lengths), "family")
         .withColumn("prefix", prefix_of(F.col("_hex"), F.col("bits")))
         .drop("_hex")
     )
     copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PREFIX_SALTS - 1))))
-    hits = tries.join(copies, [*KEYS, "_salt"], "left")
+    hits = tries.join(copies, [*KEYS, "_salt"])
     longest = [F.max_by(n, F.when(F.col("_table") == n, F.col("bits"))).alias(n) for n in tables]
-    return hits.groupBy(key, *carried).agg(*longest)
+    return hits.groupBy(key).agg(*longest)
 
 
 def attach(events: DataFrame, tables: dict[str, DataFrame], key: str = "client_ip") -> DataFrame:
@@ -68,4 +68,8 @@ def attach(events: DataFrame, tables: dict[str, DataFrame], key: str = "client_i
     One pass finds the distinct addresses, whose attributes are then joined back to the events.
     """
     per_ip = events.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return spread_join(events, lookup(per_ip, tables, key), key, "_rows", "left")
+    found = lookup(per_ip, tables, key)
+    if splits_skew(events.sparkSession):
+        return events.join(found, key, "left")
+    # Salting needs the weight of uncovered addresses as well.
+    return spread_join(events, per_ip.join(found, key, "left"), key, "_rows", "left")

@@ -95,12 +95,13 @@ def training_agents(events: DataFrame, fix_is_bot: bool = False) -> DataFrame:
         & sec_fetch_off
     )
     hosted = events.where(_is("human") & provider.isNotNull())
+    # Counting per (address, provider) first leaves few strings to take the smallest of.
+    by_provider = hosted.groupBy("client_ip", "datacenter_provider").agg(
+        F.count_if(posing | no_agent()).alias("_candidates"), F.count_if(sec_fetch_off).alias("_rows")
+    )
     per_ip = (
-        hosted.groupBy("client_ip")
-        .agg(
-            F.min(F.when(posing | no_agent(), provider)).alias("_provider"),
-            F.count_if(sec_fetch_off).alias("_rows"),
-        )
+        by_provider.groupBy("client_ip")
+        .agg(F.min(F.when(F.col("_candidates") > 0, provider)).alias("_provider"), F.sum("_rows").alias("_rows"))
         .where("_provider is not null")
     )
     df = spread_join(hosted.where(sec_fetch_off), per_ip, "client_ip", "_rows", "inner")

@@ -37,8 +37,7 @@ def rank_then_detail(
     winners = winners.select(*[F.col(k).alias(f"_{k}") for k in keys], count)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     rows = df.join(F.broadcast(winners), same)
-    result = rows.groupBy(*keys, count).agg(*details)
-    return result.orderBy(*largest_first(count, keys))
+    return top(rows.groupBy(*keys, count).agg(*details), count, keys, limit)
 
 
 def first_values(df: DataFrame, keys, value: str, n: int, name: str) -> DataFrame:

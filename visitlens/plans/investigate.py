@@ -80,12 +80,15 @@ def hosting_humans(events: DataFrame, words=rules.ORG_SUSPECT, sample: int = 3)
     ``sample_ips`` shows the first few addresses; :func:`hosting_human_ips` lists them all.
     """
     rows = events.where(f"{RESIDENTIAL_HUMAN} and asn_org is not null").where(ilike_any("asn_org", words))
-    groups = rows.groupBy("asn_org").agg(
-        requests("request_count"),
+    parts = rows.groupBy("asn_org", "client_ip", "path").agg(
+        requests("n"), F.bool_and("has_sec_fetch_headers").alias("sec_fetch"), F.bool_and("has_client_hints").alias("hints")
+    )
+    groups = parts.groupBy("asn_org").agg(
+        F.sum("n").alias("request_count"),
         distinct("client_ip", "unique_ips"),
         distinct("path", "unique_paths"),
-        F.bool_and("has_sec_fetch_headers").alias("all_have_sec_fetch"),
-        F.bool_and("has_client_hints").alias("all_have_hints"),
+        F.bool_and("sec_fetch").alias("all_have_sec_fetch"),
+        F.bool_and("hints").alias("all_have_hints"),
     )
     samples = first_values(rows, ["asn_org"], "client_ip", sample, "sample_ips")
     joined = groups.join(samples, "asn_org", "left").withColumn("asn_in_name", asn_from_org("asn_org"))
@@ -130,19 +133,26 @@ def _most_common(rows: DataFrame, value: str, name: str) -> DataFrame:
 def ip_profile(events: DataFrame, ips=rules.REVIEW_IPS) -> DataFrame:
     """Fifteen behaviour measures per reviewed address, all addresses in one pass each."""
     rows = events.where(F.col("client_ip").isin(*ips)) if ips is not None else events
-    profile = rows.groupBy("client_ip").agg(
-        requests("request_count"),
+    attributes = ("asn_org", "datacenter_provider", "city", "country", "bot_classification", "bot_name")
+    # Text maxima sort their input, so rows are first combined per path and attributes by hashing.
+    parts = rows.groupBy("client_ip", "path", *attributes).agg(
+        requests("n"),
+        F.min("timestamp").alias("first"),
+        F.max("timestamp").alias("last"),
+        count_where(F.col("has_sec_fetch_headers"), "sec_fetch"),
+        count_where(F.col("has_client_hints"), "hints"),
+    )
+    profile = parts.groupBy("client_ip").agg(
+        F.sum("n").alias("request_count"),
         distinct("path", "unique_paths"),
-        active_seconds().alias("duration_seconds"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        count_where(F.col("has_sec_fetch_headers"), "has_sec_fetch_count"),
-        count_where(F.col("has_client_hints"), "has_client_hints_count"),
-        *[
-            F.max(c).alias(c)
-            for c in ("asn_org", "datacenter_provider", "city", "country", "bot_classification", "bot_name")
-        ],
+        F.min("first").alias("first_seen"),
+        F.max("last").alias("last_seen"),
+        F.sum("sec_fetch").alias("has_sec_fetch_count"),
+        F.sum("hints").alias("has_client_hints_count"),
+        *[F.max(c).alias(c) for c in attributes],
     )
+    span = seconds_between(F.col("first_seen"), F.col("last_seen"))
+    profile = profile.withColumn("duration_seconds", span)
     profile = profile.join(_most_common(rows, "user_agent", "most_common_ua"), "client_ip", "left")
     profile = profile.join(_most_common(rows, "site", "most_visited_site"), "client_ip", "left")
     return profile.withColumn("requests_per_second", req_rate("request_count", "duration_seconds"))

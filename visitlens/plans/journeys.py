@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions import rules
 from visitlens.functions.labels import funnel_stage, norm_site
-from visitlens.functions.metrics import distinct, requests
+from visitlens.functions.metrics import requests
 from visitlens.operators.filters import in_range
 from visitlens.settings import DEFAULT, Settings
 
@@ -29,7 +29,12 @@ def journeys(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     parts = rows.groupBy("subnet", "site", "bot_classification", "bot_name").agg(
         requests("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
     )
-    visitors = rows.groupBy("subnet").agg(distinct("client_ip", "unique_ips"), F.min("client_ip").alias("_ip"))
+    visitors = (
+        rows.select("subnet", "client_ip")
+        .distinct()
+        .groupBy("subnet")
+        .agg(F.count("client_ip").alias("unique_ips"), F.min("client_ip").alias("_ip"))
+    )
     totals = parts.groupBy("subnet").agg(
         F.min("first").alias("first_seen"),
         F.max("last").alias("last_seen"),
@@ -77,11 +82,8 @@ def behavior_patterns(events: DataFrame, settings: Settings = DEFAULT, as_of=Non
     Evidence arrays hold the distinct sites and paths of the flagged addresses only.
     """
     rows = events.withColumn("site", norm_site()).where("client_ip is not null")
-    per_path = rows.groupBy("client_ip", "site", "path").agg(
-        requests("n"),
-        F.min("timestamp").alias("first"),
-        F.max("timestamp").alias("last"),
-        F.min("subnet").alias("subnet"),
+    per_path = rows.groupBy("client_ip", "subnet", "site", "path").agg(
+        requests("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
     )
     span = (F.unix_micros(F.max("last")) - F.unix_micros(F.min("first"))) / 1e6
     per_ip = per_path.groupBy("client_ip").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.labels import no_agent, ua_family, undetermined_reason
@@ -35,20 +35,38 @@ def _share(condition, name: str):
 FROM_DATACENTER = "datacenter_provider is not null"
 
 
-def overview(events: DataFrame, ips=DEFAULT.home_ips) -> DataFrame:
-    """Eleven measures and the shares printed beside them, in one row."""
-    row = undetermined(events, ips).agg(
+def totals(df: DataFrame, distincts: dict[str, str], counted: dict[str, Column]) -> DataFrame:
+    """Requests, first and last time, distinct counts and conditional counts in one row.
+
+    Several distinct counts multiply the rows they are computed on, so rows are first combined per
+    combination of the counted columns.
+    """
+    parts = df.groupBy(*distincts).agg(
         requests("total_requests"),
-        distinct("client_ip", "unique_ips"),
-        distinct("path", "unique_paths"),
-        distinct("user_agent", "unique_user_agents"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
-        count_where(F.expr(FROM_DATACENTER), "from_datacenters"),
-        count_where(F.col("datacenter_provider").isNull(), "from_residential"),
-        count_where(F.col("has_sec_fetch_headers"), "with_sec_fetch"),
-        count_where(F.col("has_client_hints"), "with_client_hints"),
-        count_where(no_agent(), "no_user_agent"),
+        *[count_where(condition, name) for name, condition in counted.items()],
+    )
+    return parts.agg(
+        *[F.sum(name).alias(name) for name in ("total_requests", *counted)],
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        *[distinct(c, name) for c, name in distincts.items()],
+    ).na.fill(0)
+
+
+def overview(events: DataFrame, ips=DEFAULT.home_ips) -> DataFrame:
+    """Eleven measures and the shares printed beside them, in one row."""
+    row = totals(
+        undetermined(events, ips),
+        {"client_ip": "unique_ips", "path": "unique_paths", "user_agent": "unique_user_agents"},
+        {
+            "from_datacenters": F.expr(FROM_DATACENTER),
+            "from_residential": F.col("datacenter_provider").isNull(),
+            "with_sec_fetch": F.col("has_sec_fetch_headers"),
+            "with_client_hints": F.col("has_client_hints"),
+            "no_user_agent": no_agent(),
+        },
     )
     shares = ("from_datacenters", "from_residential", "with_sec_fetch", "with_client_hints", "no_user_agent")
     return row.withColumns({f"{c}_pct": percent(c, "total_requests", 1) for c in shares})
@@ -56,17 +74,15 @@ def overview(events: DataFrame, ips=DEFAULT.home_ips) -> DataFrame:
 
 def signal_overview(events: DataFrame) -> DataFrame:
     """Ten measures with the missing signals counted."""
-    return undetermined(events).agg(
-        requests("total_requests"),
-        distinct("client_ip", "unique_ips"),
-        distinct("path", "unique_paths"),
-        distinct("site", "sites_affected"),
-        F.min("timestamp").alias("first_seen"),
-        F.max("timestamp").alias("last_seen"),
-        count_where(~F.col("has_sec_fetch_headers"), "missing_sec_fetch"),
-        count_where(~F.col("has_client_hints"), "missing_client_hints"),
-        count_where(no_agent(), "no_user_agent"),
-        count_where(F.expr(FROM_DATACENTER), "from_datacenter"),
+    return totals(
+        undetermined(events),
+        {"client_ip": "unique_ips", "path": "unique_paths", "site": "sites_affected"},
+        {
+            "missing_sec_fetch": ~F.col("has_sec_fetch_headers"),
+            "missing_client_hints": ~F.col("has_client_hints"),
+            "no_user_agent": no_agent(),
+            "from_datacenter": F.expr(FROM_DATACENTER),
+        },
     )
 
 
@@ -232,13 +248,18 @@ def by_weekday(events: DataFrame) -> DataFrame:
 def fast_ips(events: DataFrame, as_of, limit: int = 10, min_rate: float = 0.1) -> DataFrame:
     """Addresses of the last 7 days above a request rate, fastest first."""
     df = since(undetermined(events), 7 * 24, as_of)
-    per_ip = df.groupBy("client_ip").agg(
-        requests("request_count"),
-        active_seconds().alias("duration_seconds"),
-        distinct("path", "unique_paths"),
-        F.max("datacenter_provider").alias("datacenter"),
-        F.max("user_agent").alias("sample_ua"),
-    )
+    per_ip = df.groupBy("client_ip").agg(requests("request_count"), active_seconds().alias("duration_seconds"))
     rate = F.try_divide("request_count", "duration_seconds")
-    fast = per_ip.where((F.col("duration_seconds") > 0) & (rate > min_rate))
-    return fast.orderBy(rate.desc(), "client_ip").limit(limit)
+    order = (rate.desc(), F.col("client_ip"))
+    fast = per_ip.where((F.col("duration_seconds") > 0) & (rate > min_rate)).orderBy(*order).limit(limit)
+    # The attributes are only gathered for the addresses listed.
+    details = (
+        df.join(F.broadcast(fast), "client_ip")
+        .groupBy("client_ip", "request_count", "duration_seconds")
+        .agg(
+            distinct("path", "unique_paths"),
+            F.max("datacenter_provider").alias("datacenter"),
+            F.max("user_agent").alias("sample_ua"),
+        )
+    )
+    return details.orderBy(*order).limit(limit)
