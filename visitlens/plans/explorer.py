@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visitlens.functions.metrics import count_where, distinct, fixed_round, requests, sorted_values
 from visitlens.operators.filters import scope
+from visitlens.operators.scoring import route_text
 from visitlens.plans.common import rank_then_detail, top
 from visitlens.plans.dashboard import class_counts
 from visitlens.settings import DEFAULT, Settings
@@ -147,3 +148,10 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
     "asn-analysis": asn_analysis,
     "geographic-clusters": geographic_clusters,
 }
+
+
+def explore(events: DataFrame, command: str, as_of, **params) -> DataFrame | None:
+    """Runs the report a command asks for; None when it names none."""
+    asked = events.sparkSession.createDataFrame([(command,)], "text string")
+    report = route_text(asked).first()["report"]
+    return None if report is None else REPORTS[report](events, as_of, **params)

@@ -121,3 +121,9 @@ def group_counts(events: DataFrame) -> DataFrame:
 def rows_between(events: DataFrame, start: dt.datetime | str, end: dt.datetime | str) -> DataFrame:
     """How many events a time window already holds."""
     return between_times(events, start, end).agg(requests())
+
+
+def register_views(events: DataFrame) -> None:
+    """Publishes the two standing summaries as temporary views for SQL users."""
+    bot_summary(events).createOrReplaceTempView("bot_summary")
+    daily_stats(events).createOrReplaceTempView("daily_stats")
