@@ -29,9 +29,9 @@ def rows_of(names, rows):
     return sorted([tuple(normal(r[i]) for i in order) for r in rows], key=lambda r: tuple(str(x) for x in r))
 
 
-def compare(spark, con, sf_dir, name):
+def compare(spark, con, sf_dir, name, df=None):
     started = time.time()
-    df = QUERIES[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir) if df is None else df
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - started
     if name not in ORACLES:

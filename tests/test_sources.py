@@ -176,6 +176,18 @@ def test_changes_write_nulls_too(spark):
     assert (after[2].bot_classification, after[2].bot_name, after[2].is_bot) == ("bot_undetermined", "old", True)
 
 
+def test_copies_of_an_event_are_not_multiplied(spark):
+    twice = sinks.to_stored(events(spark).unionAll(events(spark)))
+    changes = twice.select("id", "event_date", "timestamp", F.lit("human").alias("bot_classification"))
+    after = C.apply_changes(twice, changes)
+    assert after.count() == 12 and after.where("bot_classification = 'human'").count() == 12
+
+
+def test_compacted_append(spark, tmp_path):
+    sinks.append_events(events(spark, 50), str(tmp_path / "e"), compact=True)
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 50
+
+
 def test_only_touched_days_are_rewritten(spark, tmp_path):
     path, out = str(tmp_path / "events"), str(tmp_path / "patched")
     sinks.append_events(events(spark), path)

@@ -105,6 +105,15 @@ def test_rows_before_the_mark_are_left_out(spark, tmp_path, job):
     assert {r.cf_ray for r in run(spark, tmp_path, late).collect()} == {"r2", "r3"}
 
 
+def test_starting_mark(spark):
+    now = dt.datetime(2024, 1, 2)
+    assert G.starting_mark(None, now) == dt.datetime(2024, 1, 1, 23)
+    rows = [(dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 1))]
+    progress = spark.createDataFrame(rows, "last_processed_timestamp timestamp, created_at timestamp")
+    assert G.starting_mark(progress, now) == dt.datetime(2024, 1, 1)
+    assert G.starting_mark(progress.limit(0), now) == dt.datetime(2024, 1, 1, 23)
+
+
 def _stream(spark, tmp_path, rows):
     path = str(tmp_path / "src")
     spark.createDataFrame(rows, "timestamp timestamp, client_ip string, site string").write.parquet(path)

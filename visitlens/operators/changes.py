@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOOKKEEPING = ("id", "event_date", "old_class", "new_class")
+# An id is a 64-bit hash; over very many events only id and time together name one of them.
+ROW_KEYS = ("id", "event_date", "timestamp")
 
 
 def apply_changes(events: DataFrame, changes: DataFrame) -> DataFrame:
-    """Events with the changed columns replaced, NULL included, on rows named by ``id``.
+    """Events with the changed columns replaced, NULL included, on the rows a change set names.
 
-    Every column of ``changes`` that the events also have is written. Both sides have one row per
-    id, so the join key is not skewed.
+    Every column of ``changes`` that the events also have is written. The key names single rows,
+    so the join is not skewed; copies of one event share a change, which is kept once.
     """
-    written = [c for c in changes.columns if c in events.columns and c not in ("id", "event_date")]
-    patch = changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in written])
-    joined = events.join(patch, "id", "left")
+    keys = [k for k in ROW_KEYS if k in changes.columns and k in events.columns]
+    written = [c for c in changes.columns if c in events.columns and c not in keys]
+    patch = changes.select(*keys, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in written])
+    joined = events.join(patch.dropDuplicates(keys), keys, "left")
     return joined.select(
         *[
             F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in written else F.col(c)

@@ -1,7 +1,7 @@
 """Relabelling runs. Each returns a change set for :mod:`visitlens.operators.changes`.
 
-A change set has ``id``, ``event_date`` when the events carry it, ``old_class``, ``new_class`` and
-the columns the run writes, which differ from run to run. The set-based runs leave ``is_bot``
+A change set has ``id``, with ``event_date`` and ``timestamp`` for events of the stored table,
+``old_class``, ``new_class`` and the columns the run writes, which differ from run to run. The set-based runs leave ``is_bot``
 untouched unless ``fix_is_bot`` is given.
 
 Rules about an address are aggregated once per address and joined back, so an address that owns a
@@ -41,7 +41,7 @@ def _is(label: str) -> Column:
 def _changed(df: DataFrame, new_class: Column, written: dict[str, Column], fix_is_bot: bool = False) -> DataFrame:
     if fix_is_bot:
         written = {**written, "is_bot": new_class != "human"}
-    keys = ["id"] + (["event_date"] if "event_date" in df.columns else [])
+    keys = ["id", "event_date", "timestamp"] if "event_date" in df.columns else ["id"]
     return df.select(
         *keys,
         F.col("bot_classification").alias("old_class"),

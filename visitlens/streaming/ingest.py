@@ -23,7 +23,7 @@ from visitlens.operators.filters import (
 )
 from visitlens.schema import STORED_EVENT
 from visitlens.settings import DEFAULT, Settings
-from visitlens.sources.dims import read_bans
+from visitlens.sources.dims import last_mark, read_bans
 from visitlens.sources.logs import parse_logs, split_lines, stream_logs
 from visitlens.sources.sinks import batch_metrics, to_stored
 
@@ -53,6 +53,12 @@ def build_events(
     return df.withColumnRenamed("headers", "headers_json")
 
 
+def starting_mark(progress: DataFrame | None, now: dt.datetime) -> dt.datetime:
+    """Where to take up ingestion: the newest progress mark, or an hour ago on the first run."""
+    row = None if progress is None else last_mark(progress).first()
+    return row[0] if row and row[0] else now - dt.timedelta(hours=1)
+
+
 def dedup_stream(df: DataFrame, keys=("id",), delay: str = "1 hour") -> DataFrame:
     """Drops repeats of a key seen within the watermark delay; later rows count as late."""
     return df.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
