@@ -15,6 +15,7 @@ from visitlens.functions import rules
 from visitlens.functions.labels import attack_class, contains_any, no_agent
 from visitlens.functions.matching import first_match, fold, matches, matches_any
 from visitlens.functions.requests import first_value, has_any_header
+from visitlens.operators.once import computed_once
 
 # Working column: the agent folded once per row.
 AGENT = "_agent"
@@ -297,9 +298,7 @@ def _classify(df: DataFrame, s: Signals, families: dict[str, Column], label: Col
     for name, found in families.items():
         df = df.withColumn(name, F.when(open_rows, found))
         open_rows = open_rows & F.col(name).isNull()
-    # Behind a generator the label is computed once; a filter on it would otherwise be pushed down
-    # as a second copy of the whole cascade.
-    return df.select("*", F.explode(F.array(label)).alias(into)).drop(AGENT, *families)
+    return computed_once(df, into, label).drop(AGENT, *families)
 
 
 def _signals(df: DataFrame, headers: str) -> Signals:

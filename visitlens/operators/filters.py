@@ -12,6 +12,7 @@ from visitlens.functions.ip import in_subnet
 from visitlens.functions.labels import col, either, ilike_any
 from visitlens.functions.matching import fold, matches_any
 from visitlens.functions.requests import request_line
+from visitlens.operators.once import computed_once
 from visitlens.settings import DEFAULT, Settings
 
 RANGES = {"6h": 6, "24h": 24, "7d": 7 * 24, "30d": 30 * 24}
@@ -83,8 +84,8 @@ def keep_sites(df: DataFrame, sites=DEFAULT.listed_hosts) -> DataFrame:
 
 
 def drop_scanners(df: DataFrame) -> DataFrame:
-    uri = fold(request_line(F.col("path"), F.col("query_string")))
-    return df.where(~matches_any(uri, rules.SCANNER_URIS))
+    df = computed_once(df, "_uri", fold(request_line(F.col("path"), F.col("query_string"))))
+    return df.where(~matches_any(F.col("_uri"), rules.SCANNER_URIS)).drop("_uri")
 
 
 def org_like(words, org: Column | str = "asn_org") -> Column:
