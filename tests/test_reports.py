@@ -5,13 +5,11 @@ from pyspark.sql import functions as F
 
 from visitlens.functions.labels import asn_from_org, funnel_stage, norm_site
 from visitlens.functions.metrics import req_rate
-from visitlens.operators import filters as P
 from visitlens.operators.ranges import networks
 from visitlens.operators.reclassify import as_monitoring, human_patterns, training_agents
 from visitlens.operators.scoring import dominant_class, route_text
 from visitlens.plans import backfill, dashboard, explorer, journeys, summaries
 from visitlens.settings import DEFAULT
-from visitlens.sources import sinks
 from visitlens.sources.bindings import AS_OF, web_events
 
 SF = "/root/testdata/sf0.001"
