@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.llm import huffman
+from visitlens.llm import curriculum, exact_dedup, huffman, propagation
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,24 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.encode_and_read(documents(spark, sf_dir), tokenizer_path())
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts and the row of each group that stays."""
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, and the training position of its first copy."""
+    return curriculum.mixed(documents(spark, sf_dir))
+
+
+def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards with equal texts together."""
+    return propagation.sharded(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_curriculum": op3_curriculum,
+    "op5_balanced_shards": op5_balanced_shards,
 }

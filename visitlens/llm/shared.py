@@ -43,11 +43,14 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, parts: int =
     The key must not be null in ``groups``. ``groups`` must be cheap to read twice (a staged table).
     """
     limit = max(1, total(groups, F.col(size)) // parts)
-    hot = groups.filter(F.col(size) > limit)
-    rest = groups.filter(F.col(size) <= limit)
     extra = [c for c in groups.columns if c != key]
-    first = rows.join(F.broadcast(hot.withColumnsRenamed({c: f"hot_{c}" for c in extra})), key, "left")
-    both = first.join(rest, [first[key] == rest[key], first[f"hot_{size}"].isNull()], "left").drop(rest[key])
+    hot = groups.filter(F.col(size) > limit).withColumnsRenamed({c: f"hot_{c}" for c in extra})
+    rest = groups.filter(F.col(size) <= limit).withColumn("spread", F.lit(0)).withColumnRenamed(key, "rest_key")
+    # Rows of a heavy key have their answer already: they go anywhere, to find nothing.
+    anywhere = F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int") + 1
+    first = rows.join(F.broadcast(hot), key, "left")
+    first = first.withColumn("row_spread", F.when(F.col(f"hot_{size}").isNull(), 0).otherwise(anywhere))
+    both = first.join(rest, (F.col(key) == F.col("rest_key")) & (F.col("row_spread") == F.col("spread")), "left")
     return both.select(*rows.columns, *[F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in extra])
 
 
