@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from visitlens.llm import curriculum, exact_dedup, huffman, propagation
+from visitlens.llm import curriculum, exact_dedup, gam, huffman, propagation
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +34,11 @@ def op3_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mixed(documents(spark, sf_dir))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text."""
+    return gam.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards with equal texts together."""
     return propagation.sharded(documents(spark, sf_dir))
@@ -44,5 +48,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_curriculum": op3_curriculum,
+    "op4_quality": op4_quality,
     "op5_balanced_shards": op5_balanced_shards,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,25 +55,46 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, parts: int =
     return both.select(*rows.columns, *[F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in extra])
 
 
-def may_contain(rows: DataFrame, row_hash: str, keys: DataFrame, key_hash: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Drops rows whose 64-bit hash is surely not among ``keys``, by a broadcast bitmap of fixed size.
-
-    It only saves traffic before a join that decides: it keeps every row with a partner.
-    """
+def with_maybe(rows: DataFrame, row_hash: str, keys: DataFrame, key_hash: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Adds ``maybe``: false where a row's 64-bit hash is surely not among ``keys``, by a broadcast bitmap of fixed size."""
     slot = F.pmod(F.col(key_hash), F.lit(bits))
-    maps = (
-        keys.groupBy((slot / _ROW_BITS).cast("long").alias("map_no"))
-        .agg(F.bitmap_construct_agg(F.pmod(slot, F.lit(_ROW_BITS))).alias("map_bits"))
-    )
-    at = F.pmod(F.col(row_hash), F.lit(bits))
+    maps = keys.groupBy((slot / _ROW_BITS).cast("long").alias("map_no")).agg(
+        F.bitmap_construct_agg(F.pmod(slot, F.lit(_ROW_BITS))).alias("map_bits")
+    )
     byte = F.conv(F.hex(F.expr("substring(map_bits, cast(map_at % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("long")
     return (
-        rows.withColumn("map_at", at)
+        rows.withColumn("map_at", F.pmod(F.col(row_hash), F.lit(bits)))
         .withColumn("map_no", (F.col("map_at") / _ROW_BITS).cast("long"))
-        .join(F.broadcast(maps), "map_no")
-        .filter(F.getbit(byte, (F.col("map_at") % 8).cast("int")) == 1)
-        .select(*rows.columns)
-    )
+        .join(F.broadcast(maps), "map_no", "left")
+        .select(*rows.columns, F.coalesce(F.getbit(byte, (F.col("map_at") % 8).cast("int")) == 1, F.lit(False)).alias("maybe"))
+    )
+
+
+def may_contain(rows: DataFrame, row_hash: str, keys: DataFrame, key_hash: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose hash may be among ``keys``. It only saves traffic before a join that decides."""
+    return with_maybe(rows, row_hash, keys, key_hash, bits).filter("maybe").drop("maybe")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text hash (``row_key`` of ``gone``, a staged table) are listed.
+
+    Rows that are surely not listed pass by; only the others are shuffled.
+    """
+    keyed = docs.withColumn("row_key", row_key())
+    marked = with_maybe(keyed, "row_key", gone, "row_key")
+    rest = marked.filter("maybe").join(gone.select("row_key").distinct(), "row_key", "left_anti")
+    return marked.filter("not maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+
+
+def row_key() -> Column:
+    """A 64-bit key of doc_id and text; rows that repeat both share it."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words of a text: lower case for A-Z, split at ASCII white space."""
+    words = text.encode().lower().split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
