@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm import curriculum, exact_dedup, gam, huffman, propagation
+from visitlens.llm import curriculum, exact_dedup, gam, huffman, propagation, spaced_seeds
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,16 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagation.sharded(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold text of the benchmark, and of which items."""
+    return spaced_seeds.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_curriculum": op3_curriculum,
     "op4_quality": op4_quality,
     "op5_balanced_shards": op5_balanced_shards,
+    "op9_decontamination": op9_decontamination,
 }
