@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm import curriculum, exact_dedup, gam, huffman, propagation, spaced_seeds
+from visitlens.llm import curriculum, exact_dedup, gam, huffman, pii, propagation, spaced_seeds
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -56,4 +61,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_balanced_shards": op5_balanced_shards,
     "op9_decontamination": op9_decontamination,
+    "op10_personal_data": op10_personal_data,
 }
