@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm import curriculum, exact_dedup, gam, huffman, pii, propagation, spaced_seeds
+from visitlens.llm import curriculum, exact_dedup, gam, huffman, ngram_join, pii, propagation, spaced_seeds
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op5_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propagation.sharded(documents(spark, sf_dir))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the component of near copies that each belongs to."""
+    return ngram_join.members(documents(spark, sf_dir)).drop("row_key")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold text of the benchmark, and of which items."""
     return spaced_seeds.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_curriculum": op3_curriculum,
     "op4_quality": op4_quality,
     "op5_balanced_shards": op5_balanced_shards,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
 }
