@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm import curriculum, exact_dedup, gam, huffman, ngram_join, pii, propagation, spaced_seeds
+from visitlens.llm import curriculum, exact_dedup, gam, huffman, ngram_join, pii, propagation, spaced_seeds, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.members(documents(spark, sf_dir)).drop("row_key")
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without strings of 200 bytes that occur twice."""
+    return suffix_dedup.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold text of the benchmark, and of which items."""
     return spaced_seeds.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_balanced_shards": op5_balanced_shards,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_repeated_strings": op7_repeated_strings,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
 }
