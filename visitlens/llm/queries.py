@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm import curriculum, exact_dedup, gam, huffman, ngram_join, pii, propagation, spaced_seeds, suffix_dedup
+from visitlens.llm import curriculum, exact_dedup, gam, html_text, huffman, ngram_join, pii, propagation, spaced_seeds, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(documents(spark, sf_dir)).drop("kept")
 
 
+def op8_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold text of the benchmark, and of which items."""
     return spaced_seeds.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_balanced_shards": op5_balanced_shards,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_repeated_strings": op7_repeated_strings,
+    "op8_visible_text": op8_visible_text,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
 }
