@@ -23,8 +23,8 @@ from visitlens.llm.shared import stage, word_hashes
 SAMPLE = 60_000
 #: Score from which a text counts as good.
 GOOD = 0.7
-BINS, PAIR_BINS, PAIRS = 48, 12, 12
-ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 150, 60, 0.15, 5.0
+BINS, PAIR_BINS, PAIRS = 48, 16, 12
+ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 150, 60, 0.15, 20.0
 
 FEATURES = [
     "log_bytes", "log_words", "bytes_a_word", "words_a_line", "capitals", "digits", "commas_and_stops", "symbols", "bars",
