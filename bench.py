@@ -48,6 +48,8 @@ HEADLINE = (
     "routed_text",
 )
 
+SMALLER = {"sf0.1": "sf0.01", "sf0.01": "sf0.001"}
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -63,13 +65,16 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    def run(name: str) -> float:
+    def run(name: str, folder: str = sf_dir) -> float:
         started = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         return round(time.perf_counter() - started, 3)
 
     run(HEADLINE[0])
     seconds = {name: run(name) for name in HEADLINE}
+    # The same queries on a tenth of the rows show how they scale.
+    small_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), SMALLER.get(os.path.basename(sf_dir.rstrip("/")), ""))
+    small = round(sum(run(name, small_dir) for name in HEADLINE), 3) if os.path.basename(small_dir) else None
     result = {
         "metric": "total query time",
         "value": round(sum(seconds.values()), 3),
@@ -77,6 +82,8 @@ def main() -> None:
         "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "cpus": int(cpus),
+        "smaller_total": small,
+        "scaling": round(sum(seconds.values()) / small, 2) if small else None,
     }
     print(json.dumps(result))
     spark.stop()

@@ -31,7 +31,7 @@ from visitlens.plans import undetermined as N
 from visitlens.sources import bindings as B
 from visitlens.sources import dims, logs, sinks
 from visitlens.streaming import ingest as G
-from visitlens.streaming.scratch import shared_dir
+from visitlens.streaming.scratch import shared_dir, staged
 
 AS_OF = B.AS_OF
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,7 +142,9 @@ on_web("undetermined_fast_ips", N.fast_ips, AS_OF)
 
 # Investigations
 on_web("unlisted_orgs", I.unlisted_orgs)
-on_web("org_category_listing", I.category_listing, {"hosting_vps": 1, "suspicious": 1})
+on_web("org_category_listing", I.category_listing)
+on_web("org_category_listing_cut", I.category_listing, {"hosting_vps": 1, "suspicious": 1})
+on_web("org_category_listing_full", I.category_listing, {})
 on_web("org_category_totals", I.category_totals)
 on_web("hosting_humans", I.hosting_humans)
 on_web("hosting_human_ips", I.hosting_human_ips)
@@ -155,7 +157,19 @@ on_web("path_traversal", I.path_traversal, AS_OF)
 on_web("sleepless_humans", I.sleepless_humans, AS_OF)
 on_web("residential_humans", I.residential_humans, AS_OF)
 on_web("suspicious_visitors", I.suspicious_visitors, AS_OF)
+on_web("suspicious_visitors_listed", I.suspicious_visitors, AS_OF, limit=20)
 on_web("undetermined_patterns", I.undetermined_patterns)
+on_web("undetermined_patterns_top", I.undetermined_patterns, cap=500)
+on_web("reviewed_profiles", I.ip_profile)
+on_web("reviewed_paths", I.sample_paths)
+
+# Evidence of listed groups as rows
+on_web("burst_paths", X.burst_paths, AS_OF, "6h", threshold=20)
+on_web("suspect_paths", I.suspect_evidence, "path")
+on_web("suspect_agents", I.suspect_evidence, "user_agent")
+on_web("undetermined_ip_agents", N.active_ip_agents)
+on_web("journey_sites", J.journey_sites)
+on_web("pattern_evidence", J.pattern_evidence)
 
 # Journeys and declared tables
 on_web("journeys", J.journeys)
@@ -181,7 +195,7 @@ on_web("full_rerun", U.full_rerun)
 on_web("undetermined_rerun", U.undetermined_rerun)
 on_web("training_agents", U.training_agents)
 on_web("as_monitoring", U.as_monitoring)
-on_web("as_monitoring_uncapped", U.as_monitoring, cap=None)
+on_web("as_monitoring_top", U.as_monitoring, cap=500)
 on_web("human_patterns", U.human_patterns, AS_OF)
 on_web("hosting_networks", U.hosting_networks)
 on_web("expanded_networks", U.expanded_networks)
@@ -206,6 +220,36 @@ def applied_changes(spark, sf):
     return after.groupBy("bot_classification", "bot_name", "detection_level", "is_bot").agg(requests())
 
 
+@query
+def applied_in_place(spark, sf):
+    """The same labels without a change set, as one pass over the rows."""
+    after = U.applied(B.web_events(spark, sf), "full_rerun")
+    return after.groupBy("bot_classification", "bot_name", "detection_level", "is_bot").agg(requests())
+
+
+@query
+def row_jobs_in_place(spark, sf):
+    """Labels that the other row-local runs leave, one run at a time."""
+    web, parts = B.web_events(spark, sf), None
+    for job in ("undetermined_rerun", "as_monitoring", "hosting_networks"):
+        after = U.applied(web, job).groupBy("bot_classification").agg(requests()).select(F.lit(job).alias("job"), "*")
+        parts = after if parts is None else parts.unionByName(after)
+    return parts
+
+
+@query
+def rewritten_days(spark, sf):
+    """Two loads, a relabelling run that ends in the table, and its commit once more."""
+    path, out = shared_dir(spark, "events"), shared_dir(spark, "patched")
+    web = B.web_events(spark, sf)
+    sinks.append_events(web.where("id % 2 = 0"), path, load_id=-1)
+    sinks.append_events(web.where("id % 2 = 1"), path, load_id=-2)
+    C.relabel(spark, path, U.full_rerun(sinks.read_events(spark, path)), out)
+    C.commit_partitions(spark, out, path)
+    after = sinks.read_events(spark, path)
+    return after.groupBy("bot_classification", "bot_name", "detection_level", "is_bot").agg(requests())
+
+
 # Labels
 @query
 def labels_from_flags(spark, sf):
@@ -300,11 +344,35 @@ def bad_lines(spark, sf):
     return bad.select(F.regexp_extract("line", "(?:cut off |ray-)([0-9]+)", 1).alias("id"))
 
 
+@query
+def odd_times(spark, sf):
+    """Lines with times in other units, far ahead or before 1970: they are bad lines, and the rest is read."""
+    e, ip = F.col("id"), F.col("client_ip")
+    odd = F.when(e % 5 == 0, 1.7e12).when(e % 5 == 1, 1.7e15).when(e % 5 == 2, 1e17).when(e % 5 == 3, -1.0)
+    seconds = F.coalesce(odd, F.unix_micros("timestamp") / 1e6).alias("ts")
+    record = F.struct(F.lit("http.log.access.log0").alias("logger"), seconds, F.struct(ip.alias("client_ip")).alias("request"))
+    read = logs.read_lines(B.web_events(spark, sf).select(F.to_json(record).alias("value")))
+    day = F.coalesce(F.to_date(R.to_event_time(F.col("ts"))).cast("string"), F.lit("bad"))
+    return read.groupBy("usable", day.alias("day")).agg(requests())
+
+
+def _log_files(spark: SparkSession, sf: str) -> str:
+    path = shared_dir(spark, "logs")
+    B.raw_lines(B.web_events(spark, sf)).write.text(path)
+    return path
+
+
 @query
 def recent_records(spark, sf):
-    good, _ = logs.split_lines(B.raw_lines(B.web_events(spark, sf)))
-    day = R.to_event_time(F.col("ts"))
-    return good.where(day >= F.lit("2024-01-20").cast("timestamp")).groupBy(F.to_date(day).alias("day")).agg(requests())
+    """The scan itself, from a progress mark on."""
+    good, _ = logs.read_logs(spark, _log_files(spark, sf), since="2024-01-20 00:00:00")
+    return good.groupBy(F.to_date(R.to_event_time(F.col("ts"))).alias("day")).agg(requests())
+
+
+@query
+def records_of_days(spark, sf):
+    good = logs.read_logs_range(spark, _log_files(spark, sf), "2024-01-10", "2024-01-12")
+    return good.groupBy(F.to_date(R.to_event_time(F.col("ts"))).alias("day")).agg(requests())
 
 
 @query
@@ -401,11 +469,22 @@ def network_lookup(spark, sf):
     return enrich_asn(web, networks(B.asn_networks(spark, sf)))
 
 
+@query
+def range_files(spark, sf):
+    """Both network tables written, read back by their readers and used for the lookups."""
+    path = shared_dir(spark, "ranges")
+    B.geo_networks(spark, sf).write.parquet(f"{path}/geo")
+    B.asn_networks(spark, sf).write.option("header", True).csv(f"{path}/asn.csv")
+    web = B.web_events(spark, sf).select("id", "client_ip")
+    found = enrich(web, dims.read_geo_ranges(spark, f"{path}/geo"), dims.read_asn_ranges(spark, f"{path}/asn.csv"))
+    return found.groupBy("country", "asn", "asn_org").agg(requests())
+
+
 @query
 def built_events(spark, sf):
-    """Log lines all the way to labelled events."""
+    """Log lines all the way to labelled events; they are parsed once."""
     good, _ = logs.split_lines(B.raw_lines(B.web_events(spark, sf)))
-    parsed = G.wanted(logs.parse_logs(good))
+    parsed = staged(G.wanted(logs.parse_logs(good)), "parsed")
     events = G.build_events(parsed, networks(B.geo_networks(spark, sf)), networks(B.asn_networks(spark, sf)))
     keys = ("country", "datacenter_provider", "bot_classification", "bot_name", "is_exploit_attempt")
     return sinks.to_stored(events).groupBy(*keys).agg(requests())
@@ -422,6 +501,14 @@ def csv_export_rows(spark, sf):
     return sinks.csv_ready(X.subnet_clusters(B.web_events(spark, sf), AS_OF, "7d"))
 
 
+@query
+def csv_export(spark, sf):
+    """The lines of the written CSV file."""
+    path = shared_dir(spark, "csv")
+    sinks.export_csv(X.subnet_clusters(B.web_events(spark, sf), AS_OF, "7d"), path)
+    return spark.read.text(path)
+
+
 @query
 def progress_row(spark, sf):
     row = sinks.batch_metrics(B.web_events(spark, sf))
@@ -476,21 +563,32 @@ def _drain(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
 
 @query
 def streamed_timeline(spark, sf):
+    """Windows the stream has closed, completed by those still open at the end of the input."""
     out = _drain(G.timeline_stream(_web_stream(spark, sf), "1 day"), spark, "timeline")
-    return out.select("time_bucket", "site", "requests")
+    return G.with_open(out, G.timeline_stream(B.web_events(spark, sf), "1 day"), ["time_bucket", "site"])
 
 
 @query
 def streamed_sessions(spark, sf):
-    return _drain(G.sessions_stream(_web_stream(spark, sf), "30 minutes"), spark, "sessions")
+    out = _drain(G.sessions_stream(_web_stream(spark, sf), "30 minutes"), spark, "sessions")
+    return G.with_open(out, G.sessions_stream(B.web_events(spark, sf), "30 minutes"), ["client_ip", "session_start"])
 
 
 @query
 def streamed_unique(spark, sf):
-    """Every event sent twice, stored once."""
-    twice = _web_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    out = _drain(G.dedup_stream(twice, delay="60 days").select("id", "site"), spark, "unique")
-    return out.groupBy("site").agg(requests())
+    """Every event sent twice, and once more without a ray id and with another status and agent: two are left."""
+    thrice = _web_stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))))
+    other = F.col("copy") > 2
+    thrice = thrice.withColumns(
+        {
+            "cf_ray": F.when(F.col("id") % 2 == 0, F.col("cf_ray")),
+            "status": F.when(other, F.col("status") + 1).otherwise(F.col("status")),
+            "user_agent": F.when(other, F.concat(F.coalesce("user_agent", F.lit("")), F.lit("+"))).otherwise(F.col("user_agent")),
+        }
+    )
+    keyed = thrice.withColumn("event", F.col("id")).withColumn("id", R.event_key([*thrice.columns, "event"]))
+    out = _drain(G.dedup_stream(keyed, delay="60 days").select("event", "site", "status"), spark, "unique")
+    return out.groupBy("site", "status").agg(requests())
 
 
 @query
@@ -506,7 +604,53 @@ def streamed_ingestion(spark, sf):
         networks=networks(B.asn_networks(spark, sf)),
     )
     G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
-    return spark.read.parquet(job.events_path).groupBy("bot_classification", "bot_name").agg(requests())
+    return sinks.read_events(spark, job.events_path).groupBy("bot_classification", "bot_name").agg(requests())
+
+
+def _job(spark: SparkSession, sf: str, root: str, **more) -> G.Ingestion:
+    geo, asn = networks(B.geo_networks(spark, sf)), networks(B.asn_networks(spark, sf))
+    return G.Ingestion(f"{root}/events", f"{root}/progress", f"{root}/state", geo, asn, **more)
+
+
+@query
+def banned_ingestion(spark, sf):
+    """Ingestion with a ban list, and its bad lines set aside."""
+    root, web = shared_dir(spark, "ingest"), B.web_events(spark, sf)
+    B.raw_lines(web).write.text(f"{root}/logs")
+    bans = B.ban_decisions(web).agg(F.to_json(F.sort_array(F.collect_set(F.struct("value")))).alias("value"))
+    bans.coalesce(1).write.text(f"{root}/bans")
+    job = _job(spark, sf, root, bans_path=f"{root}/bans", bad_path=f"{root}/bad")
+    G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
+    kept = sinks.read_events(spark, job.events_path).agg(F.lit("kept").alias("kind"), requests())
+    return kept.unionByName(spark.read.text(job.bad_path).agg(F.lit("bad").alias("kind"), requests()))
+
+
+@query
+def late_ingestion(spark, sf):
+    """Three log files, one a batch, each older than the one before, and the first once more: all stored, once."""
+    root, web = shared_dir(spark, "late"), B.web_events(spark, sf)
+    days = ("timestamp >= '2024-01-20'", "timestamp >= '2024-01-10' and timestamp < '2024-01-20'", "timestamp < '2024-01-10'")
+    job = _job(spark, sf, root, max_files=1)
+    for part in (*days, days[0]):
+        B.raw_lines(web.where(part)).coalesce(1).write.mode("append").text(f"{root}/logs")
+        G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
+    return sinks.read_events(spark, job.events_path).groupBy("event_date").agg(requests())
+
+
+@query
+def shared_table(spark, sf):
+    """One table that a load, the stream, a relabelling run and the stream again have written, read in one go."""
+    root, web = shared_dir(spark, "shared"), B.web_events(spark, sf)
+    job = _job(spark, sf, root)
+    for _ in range(2):
+        sinks.append_events(web.where("id % 3 = 0"), job.events_path, load_id=-1)
+    B.raw_lines(web.where("id % 3 = 1")).write.text(f"{root}/logs")
+    G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
+    C.relabel(spark, job.events_path, U.full_rerun(sinks.read_events(spark, job.events_path)), f"{root}/patched")
+    B.raw_lines(web.where("id % 3 = 2")).write.mode("append").text(f"{root}/logs")
+    G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
+    loaded = (F.col("batch_id") < 0).alias("loaded")
+    return sinks.read_events(spark, job.events_path).groupBy("event_date", loaded).agg(requests())
 
 
 # Search intelligence, over searches derived from the events

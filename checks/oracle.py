@@ -554,6 +554,11 @@ web(
     ORGS,
     CATS,
 )
+ORACLES["org_category_listing_cut"] = ORACLES["org_category_listing"]
+ORACLES["org_category_listing_full"] = ORACLES["org_category_listing"].replace("WHERE rank <= 1 OR", "WHERE true OR")
+ORACLES["org_category_listing"] = ORACLES["org_category_listing"].replace(
+    "rank <= 1 OR", "rank <= CASE category WHEN 'hosting_vps' THEN 30 WHEN 'suspicious' THEN 20 ELSE rank END OR"
+)
 TRACKED = "category IN ('major_cloud', 'cdn_proxy', 'telecom_cloud', 'hosting_vps')"
 web(
     "org_category_totals",
@@ -669,11 +674,47 @@ web(
     TRAVERSE,
     SLEEPLESS,
 )
+ORACLES["suspicious_visitors_listed"] = ORACLES["suspicious_visitors"]
+ORACLES["suspicious_visitors"] = ORACLES["suspicious_visitors"].replace("LIMIT 20", "")
+REVIEWED_IPS = f"client_ip IN {inside(R.REVIEW_IPS)}"
+web("reviewed_profiles", f"SELECT * FROM full_profile WHERE {REVIEWED_IPS}", PROFILE, MODES, FULL)
+ORACLES["reviewed_paths"] = f"SELECT * FROM ({ORACLES['sample_paths']}) WHERE {REVIEWED_IPS}"
+
+# --- Evidence as rows
+def evidence(name: str, keys: str, value: str, condition: str, having: str, limit: int, time: str = "") -> None:
+    """Requests per listed group and value; NULL values are no evidence."""
+    columns = [k.strip() for k in keys.split(",")]
+    order = ", ".join(f"{k} NULLS FIRST" for k in columns)
+    same = " AND ".join(f"g.{k} IS NOT DISTINCT FROM r.{k}" for k in columns)
+    shown = ", ".join(f"r.{k}" if k != "time_bucket" else ts("r.time_bucket") + " AS time_bucket" for k in columns)
+    web(
+        name,
+        f"""SELECT {shown}, r.{value}, count(*) AS count FROM rows r JOIN listed g ON {same}
+        WHERE r.{value} IS NOT NULL GROUP BY ALL""",
+        f"rows AS (SELECT *{time} FROM web WHERE {condition})",
+        f"listed AS (SELECT {keys} FROM rows GROUP BY {keys} {having} ORDER BY count(*) DESC, {order} LIMIT {limit})",
+    )
+
+
+evidence(
+    "burst_paths", "time_bucket, client_ip, subnet, bot_classification, datacenter_provider", "path", scope("6h"),
+    "HAVING count(*) >= 20", 200, """, date_trunc('hour', "timestamp") AS time_bucket""",
+)
+_SUSPECTS = f"{RES_HUMAN} AND {ilike_any('asn_org', R.ORG_PROXY_SELLERS)}"
+for _name, _value in (("suspect_paths", "path"), ("suspect_agents", "user_agent")):
+    evidence(_name, "client_ip, asn_org, has_sec_fetch_headers, has_client_hints, country", _value, _SUSPECTS, "", 10)
+evidence(
+    "undetermined_ip_agents", "client_ip, datacenter_provider, country, asn_org, has_sec_fetch_headers, has_client_hints",
+    "user_agent", UNDX, "", 20,
+)
+web("journey_sites", "SELECT subnet, replace(site, 'www.', '') AS site, count(*) AS count FROM web WHERE subnet IS NOT NULL GROUP BY 1, 2")
+web("pattern_evidence", "SELECT client_ip, replace(site, 'www.', '') AS site, path, count(*) AS count FROM web GROUP BY 1, 2, 3")
 PKEYS = "client_ip, user_agent, path, datacenter_provider, has_sec_fetch_headers, has_client_hints"
 PORDER = ", ".join(f"{c.strip()} NULLS FIRST" for c in PKEYS.split(","))
 PATTERNS = f"""pats AS (SELECT {PKEYS}, count(*) AS request_count FROM web WHERE {UNDX} GROUP BY {PKEYS}
   ORDER BY request_count DESC, {PORDER} LIMIT 500)"""
-web("undetermined_patterns", "SELECT * FROM pats", PATTERNS)
+web("undetermined_patterns_top", "SELECT * FROM pats", PATTERNS)
+web("undetermined_patterns", "SELECT * FROM pats", PATTERNS.replace("LIMIT 500", ""))
 
 # --- Journeys
 SITE = "replace(site, 'www.', '')"
@@ -906,6 +947,8 @@ web(
     flags(),
     *LAB,
 )
+for _name in ("applied_in_place", "rewritten_days"):
+    ORACLES[_name] = ORACLES["applied_changes"]
 web(
     "undetermined_rerun",
     f"""SELECT id, bot_classification AS old_class, cls AS new_class, cls AS bot_classification, name AS bot_name,
@@ -926,7 +969,7 @@ web(
 _MON = """SELECT id, bot_classification AS old_class, 'monitoring_service' AS new_class,
   'monitoring_service' AS bot_classification FROM """
 web(
-    "as_monitoring",
+    "as_monitoring_top",
     f"""{_MON} lab l WHERE {UNDX} AND cls = 'monitoring_service' AND EXISTS (SELECT 1 FROM pats p WHERE
       p.client_ip = l.client_ip AND p.user_agent IS NOT DISTINCT FROM l.user_agent AND p.path = l.path
       AND p.datacenter_provider IS NOT DISTINCT FROM l.datacenter_provider
@@ -936,7 +979,7 @@ web(
     flags(),
     *LAB,
 )
-web("as_monitoring_uncapped", f"{_MON} lab WHERE {UNDX} AND cls = 'monitoring_service'", flags(), *LAB)
+web("as_monitoring", f"{_MON} lab WHERE {UNDX} AND cls = 'monitoring_service'", flags(), *LAB)
 
 
 def step(n: int, rule: str, label: str, name: str, level: int, group: str | None = None) -> str:
@@ -1102,6 +1145,16 @@ web(
     + f""" AND {HOST} IN {inside([FIRST, SECOND, THIRD, 'console.example.net', f'www.{FIRST}', f'www.{SECOND}',
         f'www.{THIRD}', 'www.console.example.net'])} AND (e % 3 = 0 OR e % 41 <> 5)""",
 )
+web(
+    "odd_times",
+    f"""SELECT e % 5 = 4 AS usable, CASE WHEN e % 5 = 4 THEN {DAY} ELSE 'bad' END AS day, count(*) AS count FROM web
+    GROUP BY 1, 2""",
+)
+web(
+    "records_of_days",
+    f"""SELECT CAST(CAST({MS} AS DATE) AS VARCHAR) AS day, count(*) AS count FROM web WHERE {GOOD}
+      AND {MS} >= TIMESTAMP '2024-01-10' AND {MS} < TIMESTAMP '2024-01-13' GROUP BY 1""",
+)
 web("bad_lines", "SELECT CAST(e AS VARCHAR) AS id FROM web WHERE e % 97 = 0")
 web(
     "recent_records",
@@ -1182,6 +1235,34 @@ web(
     *LAB,
 )
 
+web(
+    "late_ingestion",
+    f"SELECT {DAY} AS event_date, count(*) AS count FROM kept GROUP BY 1",
+    FOUND_NET,
+    BUILT,
+)
+web(
+    "shared_table",
+    f"""SELECT {DAY} AS event_date, true AS loaded, count(*) AS count FROM web WHERE e % 3 = 0 GROUP BY 1
+    UNION ALL SELECT {DAY}, false, count(*) FROM kept WHERE e % 3 <> 0 GROUP BY 1""",
+    FOUND_NET,
+    BUILT,
+)
+web(
+    "banned_ingestion",
+    """SELECT 'kept' AS kind, count(*) AS count FROM kept
+      WHERE client_ip NOT IN (SELECT client_ip FROM web WHERE client_ip LIKE '%7' AND e % 2 = 0)
+    UNION ALL SELECT 'bad', count(*) FROM web WHERE e % 97 = 0""",
+    FOUND_NET,
+    BUILT,
+)
+web(
+    "range_files",
+    "SELECT gcountry AS country, fasn AS asn, forg AS asn_org, count(*) AS count FROM geo GROUP BY 1, 2, 3",
+    FOUND_NET,
+    GEO.format("fnet"),
+)
+
 # --- Text routing
 _SCORES = [
     (
@@ -1217,6 +1298,16 @@ web(
       CAST(unique_ips AS VARCHAR) AS "Unique Ips", countries AS "Countries" FROM clu""",
     _CLUSTERS,
 )
+_FIELD = "coalesce('\"' || replace(CAST({} AS VARCHAR), '\"', '\"\"') || '\"', '')"
+_COLUMNS = ("subnet", "bot_classification", "datacenter_provider", "asn", "asn_org", "total_requests", "unique_ips", "countries")
+web(
+    "csv_export",
+    """SELECT '"Subnet","Bot Classification","Datacenter Provider","Asn","Asn Org","Total Requests","Unique Ips","Countries"' AS value
+    UNION ALL SELECT """
+    + " || ',' || ".join(_FIELD.format(c) for c in _COLUMNS)
+    + " FROM clu",
+    _CLUSTERS,
+)
 web("sorted_report", "SELECT subnet, unique_ips, total_requests FROM clu", _CLUSTERS)
 web(
     "progress_row",
@@ -1231,12 +1322,11 @@ web(
 )
 web("stored_events", f"SELECT {DAY} AS event_date, count(*) AS count, count(DISTINCT id) AS ids FROM web GROUP BY 1")
 
-# --- Streaming: rows still behind the watermark at the end of the input are not written
-MARK = "(SELECT max(\"timestamp\") - INTERVAL 1 HOUR FROM web)"
+# --- Streaming
 web(
     "streamed_timeline",
-    f"""SELECT {ts('d')} AS time_bucket, site, n AS requests FROM (SELECT date_trunc('day', "timestamp")::TIMESTAMP AS d,
-      {SITE} AS site, count(*) AS n FROM web GROUP BY 1, 2) WHERE d + INTERVAL 1 DAY <= {MARK}""",
+    f"""SELECT {ts('d')} AS time_bucket, site, count, requests FROM (SELECT date_trunc('day', "timestamp")::TIMESTAMP AS d,
+      {SITE} AS site, count(DISTINCT client_ip) AS count, count(*) AS requests FROM web GROUP BY 1, 2)""",
 )
 web(
     "streamed_sessions",
@@ -1244,9 +1334,16 @@ web(
     FROM (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY client_ip ORDER BY "timestamp", id) AS sid
       FROM (SELECT *, coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY client_ip ORDER BY "timestamp", id)
           > INTERVAL 30 MINUTE, true) AS gap FROM web))
-    GROUP BY client_ip, sid HAVING max("timestamp") + INTERVAL 30 MINUTE <= {MARK}""",
+    GROUP BY client_ip, sid""",
+)
+web(
+    "streamed_unique",
+    """SELECT site, status, count(*) AS count FROM (
+      SELECT DISTINCT site, status, CASE WHEN e % 2 = 0 THEN cf_ray END, "timestamp", client_ip, path, query_string, method,
+        response_size, duration, user_agent FROM web
+      UNION ALL SELECT DISTINCT site, status + 1, CASE WHEN e % 2 = 0 THEN cf_ray END, "timestamp", client_ip, path,
+        query_string, method, response_size, duration, concat(coalesce(user_agent, ''), '+') FROM web) GROUP BY 1, 2""",
 )
-web("streamed_unique", "SELECT site, count(*) AS count FROM web GROUP BY 1")
 
 # --- Search intelligence
 QT, CAT, PRI = "concat('care ', e % 23)", "concat('cat-', e % 23 % 3)", "CASE WHEN e % 23 % 2 = 0 THEN 'high' ELSE 'normal' END"
@@ -1290,3 +1387,11 @@ web(
     SEARCH,
 )
 web("new_opportunities", "SELECT query_text, url, count(*) AS count FROM op WHERE status = 'new' GROUP BY 1, 2", SEARCH)
+
+# --- Row-local relabelling runs applied in place: the change sets above put over the rows
+_BASE = "WITH " + WEB + " SELECT id, bot_classification FROM web"
+ORACLES["row_jobs_in_place"] = " UNION ALL ".join(
+    f"""SELECT '{job}' AS job, CASE WHEN c.id IS NULL THEN b.bot_classification ELSE c.bot_classification END AS bot_classification,
+      count(*) AS count FROM ({_BASE}) b LEFT JOIN ({ORACLES[job]}) c ON b.id = c.id GROUP BY 1, 2"""
+    for job in ("undetermined_rerun", "as_monitoring", "hosting_networks")
+)

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from visitlens.functions.requests import client_ip_expr
+from visitlens.functions.requests import client_ip_expr, event_key
 from visitlens.operators import changes as C
 from visitlens.operators import filters as P
 from visitlens.schema import PROGRESS, STORED_EVENT, WEB_EVENT
@@ -142,7 +142,14 @@ def test_stored_layout(spark, tmp_path):
     sinks.append_events(events(spark).withColumn("id", F.col("id") + 100), path)
     table = spark.read.parquet(path)
     assert table.count() == 12 and table.select("event_date").distinct().count() == 3
-    assert set(table.columns) == {f.name for f in STORED_EVENT.fields}
+    assert set(table.columns) == {f.name for f in STORED_EVENT.fields} | {"batch_id"}
+    sinks.append_events(events(spark), path, load_id=-5)
+    sinks.append_events(events(spark), path, load_id=-5)
+    assert spark.read.parquet(path).count() == 18 and sinks.read_events(spark, path).count() == 18
+    with pytest.raises(ValueError):
+        sinks.append_events(events(spark), path, load_id=0)
+    assert sinks.read_days(spark, path, ["1999-01-01"]) is None
+    assert sinks.read_days(spark, path, ["2024-01-02", "1999-01-01"]).count() == 6
     row = table.first()
     assert row.has_cf_worker is False and row.asn is None
     recent = P.since(table, 24, "2024-01-03 12:00:00")
@@ -195,6 +202,30 @@ def test_only_touched_days_are_rewritten(spark, tmp_path):
     patched = spark.read.parquet(out)
     assert {str(r.event_date) for r in patched.select("event_date").distinct().collect()} == {"2024-01-01", "2024-01-03"}
     assert patched.count() == 4 and patched.where("bot_classification = 'human'").count() == 2
+    assert sinks.read_events(spark, path).where("bot_classification = 'human'").count() == 0
+    for _ in range(2):
+        C.commit_partitions(spark, out, path)
+    after = sinks.read_events(spark, path)
+    assert after.count() == 6 and after.where("bot_classification = 'human'").count() == 2
+
+
+def test_key_tells_requests_apart(spark):
+    base = dict(cf_ray=None, timestamp=dt.datetime(2024, 1, 1), client_ip="10.0.0.1", site="s", path="/", query_string=None, method="GET")
+    base |= dict(status=200, response_size=5, duration=0.5, user_agent="a", referer=None, accept_language=None)
+    others = [{}, {"status": 404}, {"user_agent": "b"}, {"response_size": 6}, {"duration": 0.6}, {"referer": "a", "user_agent": None}]
+    others += [{"referer": None, "user_agent": None}, {"accept_language": "a", "user_agent": None}]
+    schema = "cf_ray string, timestamp timestamp, client_ip string, site string, path string, query_string string, method string, "
+    schema += "status int, response_size long, duration double, user_agent string, referer string, accept_language string"
+    df = spark.createDataFrame([tuple((base | o).values()) for o in others], schema)
+    assert df.select(event_key(df.columns)).distinct().count() == len(others)
+
+
+@pytest.mark.parametrize("ts", [1.7e12, 1.7e15, 1e17, -1.0, 253402300800.0])
+def test_odd_times_are_bad_lines(spark, ts):
+    lines = [json.dumps({"logger": "http.log.access", "ts": t, "request": {"client_ip": "10.0.0.1"}}) for t in (ts, 1.7e9, 0.0)]
+    good, bad = logs.split_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert good.count() == 2 and [r.line for r in bad.collect()] == lines[:1]
+    assert logs.parse_logs(good).count() == 2
 
 
 def test_csv_text(spark, tmp_path):

@@ -63,10 +63,12 @@ def test_batches_add_up_and_repeats_do_not(spark, tmp_path, job):
 
 def test_replayed_batch_replaces_itself(spark, tmp_path, job):
     good, _ = logs.split_lines(spark.createDataFrame([(line(i),) for i in range(5)], "value string"))
-    batch = logs.parse_logs(good).withColumn("id", G.event_key())
+    batch = logs.parse_logs(good)
+    batch = batch.withColumn("id", G.event_key(batch.columns))
     G.write_batch(batch, 0, job)
     G.write_batch(batch, 0, job)
     G.write_batch(batch.limit(2).withColumn("id", F.col("id") + 1), 1, job)
+    G.write_batch(batch, 2, job)
     assert spark.read.parquet(job.events_path).groupBy("batch_id").count().orderBy("batch_id").collect() == [(0, 5), (1, 2)]
 
 
@@ -145,16 +147,64 @@ def test_sessions_close_after_the_gap(spark, tmp_path):
     assert got == [(2, 600.0), (3, 1200.0)]
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
-    class Cluster:
+def test_scratch_folder_comes_from_the_configuration(spark):
+    assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+    class Unset:
         class conf:
             @staticmethod
             def get(name, default=None):
-                return default
+                return {"spark.sql.warehouse.dir": "hdfs:///warehouse/"}.get(name, default)
 
-        class sparkContext:
-            master = "yarn"
+    assert shared_dir(Unset, "x").startswith("hdfs:///warehouse/x-")
 
-    with pytest.raises(RuntimeError):
-        shared_dir(Cluster, "x")
-    assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+def test_late_rows_are_stored(spark, tmp_path, job):
+    from dataclasses import replace
+
+    slow = replace(job, max_files=1)
+    for part, at in enumerate((7200, 3600, -7200, -90_000)):
+        put(tmp_path, f"{part}.log", [line(100 * part + i, at=at + i) for i in range(10)])
+        run(spark, tmp_path, slow)
+    assert spark.read.parquet(job.events_path).count() == 40
+    put(tmp_path, "again.log", [line(i, at=7200 + i) for i in range(10)])
+    assert run(spark, tmp_path, slow).count() == 40
+
+
+def test_requests_without_a_ray_id_are_kept_apart(spark, tmp_path, job):
+    def bare(status, agent):
+        request = {"client_ip": "10.0.0.1", "host": "h", "uri": "/", "headers": {"User-Agent": [agent]}}
+        return json.dumps({"logger": "http.log.access", "ts": BASE, "status": status, "request": request})
+
+    put(tmp_path, "1.log", [bare(200, "a"), bare(404, "a"), bare(200, "b"), bare(200, "a")])
+    assert run(spark, tmp_path, job).count() == 3
+
+
+def test_bad_lines_of_ingestion_are_set_aside(spark, tmp_path, job):
+    from dataclasses import replace
+
+    put(tmp_path, "1.log", [line(1), "http.log.access oops"])
+    run(spark, tmp_path, replace(job, bad_path=f"{job.events_path}-bad"))
+    assert [r.value for r in spark.read.text(f"{job.events_path}-bad").collect()] == ["http.log.access oops"]
+
+
+def test_ingestion_takes_up_at_the_mark(spark, tmp_path, job):
+    from dataclasses import replace
+
+    marked = replace(job, since="mark")
+    now = dt.datetime.now()
+    assert abs(G.beginning(spark, marked) - (now - dt.timedelta(hours=1))) < dt.timedelta(minutes=1)
+    put(tmp_path, "1.log", [line(1), line(2)])
+    run(spark, tmp_path, job)
+    assert G.beginning(spark, marked) == dt.datetime(2024, 1, 1, 12, 0, 2)
+
+
+def test_open_windows_complete_the_result(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t + dt.timedelta(minutes=m), f"10.0.0.{m % 3}", "guide.example.org") for m in range(0, 300, 7)]
+    stream = _stream(spark, tmp_path, rows)
+    out = _drain(spark, G.timeline_stream(stream, "1 hour"))
+    batch = G.timeline_stream(spark.read.parquet(str(tmp_path / "src")), "1 hour")
+    whole = G.with_open(out, batch, ["time_bucket", "site"])
+    assert 0 < out.count() < 5 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, batch.collect()))
+    assert all(r["count"] == 3 for r in out.collect())

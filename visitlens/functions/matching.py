@@ -38,8 +38,28 @@ def _literal_head(pattern: str) -> tuple[str, str]:
     return head.lower(), rest
 
 
+def _alternative(pattern: str) -> bool:
+    depth, i, in_class = 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return True
+        i += 1
+    return False
+
+
 def matches(folded: Column, pattern: str) -> Column:
-    """Whether a folded text contains a match of the pattern."""
+    """Whether a folded text contains a match of the pattern, which must not be an alternative at top level."""
+    if _alternative(pattern):
+        raise ValueError(f"state the branches of {pattern!r} as patterns of their own")
     anchored = pattern.startswith("^")
     head, rest = _literal_head(pattern.removeprefix("^"))
     found = folded.startswith(head) if anchored else folded.contains(head)

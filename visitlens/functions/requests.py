@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from visitlens.functions import rules
 from visitlens.functions.labels import attack_class
 
 
+# Seconds at the end of the year 9999.
+END_OF_TIME = 253_402_300_800
+# What tells one request from another.
+LOGGED = (
+    "cf_ray",
+    "timestamp",
+    "client_ip",
+    "site",
+    "path",
+    "query_string",
+    "method",
+    "status",
+    "response_size",
+    "duration",
+    "user_agent",
+    "referer",
+    "accept_language",
+)
+EVENT_KEYS = ("id", "timestamp", "client_ip")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -72,8 +93,8 @@ def request_line(path: Column, query: Column) -> Column:
 
 
 def to_event_time(ts: Column) -> Column:
-    """Fractional epoch seconds to a timestamp cut to milliseconds; NULL when out of range."""
-    return F.timestamp_millis((ts * 1000).try_cast("bigint"))
+    """Fractional epoch seconds to a timestamp cut to milliseconds; NULL before 1970 or after 9999."""
+    return F.when((ts >= 0) & (ts < END_OF_TIME), F.timestamp_millis((ts * 1000).try_cast("bigint")))
 
 
 def browser_signals(headers: Column | str = "headers", version: int = 2) -> dict[str, Column]:
@@ -109,10 +130,10 @@ def security_flags(path: Column, headers: Column | str = "headers", version: int
     }
 
 
-def event_key() -> Column:
-    """Replay-stable 64-bit key of one request."""
-    return F.xxhash64("cf_ray", "timestamp", "client_ip", "site", "path", "query_string", "method")
+def event_key(columns) -> Column:
+    """Replay-stable 64-bit key of one request: every column it was logged with, and which of them are NULL.
 
-
-def add_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns(columns)
+    Over very many requests a key is only unique together with time and address (``EVENT_KEYS``).
+    """
+    known = [c for c in LOGGED if c in columns]
+    return F.xxhash64(*known, *[F.col(c).isNull() for c in known])

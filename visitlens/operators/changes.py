@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitlens.sources.sinks import read_events, write_events
+
 # An id is a 64-bit hash; over very many events only id and time together name one of them.
 ROW_KEYS = ("id", "event_date", "timestamp")
 
@@ -30,19 +32,23 @@ def apply_changes(events: DataFrame, changes: DataFrame) -> DataFrame:
 def rewrite_partitions(spark: SparkSession, path: str, changes: DataFrame, out: str) -> None:
     """Writes the days a change set touches, patched, under ``out`` with the layout of ``path``.
 
-    ``changes`` must carry ``event_date``. Only touched days are read and written; pass another
-    directory and swap it in, or a copy, so that a failed run leaves the table as it was.
+    ``changes`` must carry ``event_date``. Only touched days are read and written, and the table stays
+    as it was; :func:`commit_partitions` puts them in.
     """
-    events = spark.read.parquet(path)
+    events = read_events(spark, path)
     days = changes.select("event_date").distinct()
-    touched = events.join(days, "event_date", "left_semi")
-    (
-        apply_changes(touched, changes)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date")
-        .parquet(out)
-    )
+    write_events(apply_changes(events.join(days, "event_date", "left_semi"), changes), out)
+
+
+def commit_partitions(spark: SparkSession, out: str, path: str) -> None:
+    """Replaces the directories of ``path`` by those rewritten under ``out``; a run that broke off is run again."""
+    write_events(read_events(spark, out), path)
+
+
+def relabel(spark: SparkSession, path: str, changes: DataFrame, out: str) -> None:
+    """A relabelling run that ends in the table: rewrite under ``out``, then commit."""
+    rewrite_partitions(spark, path, changes, out)
+    commit_partitions(spark, out, path)
 
 
 def transitions(changes: DataFrame) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.functions.ip import V4_DIGITS, address_hex, prefix_of
-from visitlens.operators.skew import splits_skew, spread_join
+from visitlens.operators.skew import spread_join
 
-# Short prefixes cover many addresses; both sides of the lookup are spread by this many salts.
+# Prefixes shorter than these cover many addresses; for them both sides of the lookup are spread by salts.
+SHORT_PREFIX = {4: 16, 6: 32}
 PREFIX_SALTS = 16
 KEYS = ("family", "bits", "prefix")
 
@@ -23,6 +24,10 @@ def _family(digits: str):
     return F.when(F.length(digits) == V4_DIGITS, 4).otherwise(6)
 
 
+def _short():
+    return F.col("bits") < F.when(F.col("family") == 4, SHORT_PREFIX[4]).otherwise(SHORT_PREFIX[6])
+
+
 def networks(df: DataFrame, cidr: str = "network") -> DataFrame:
     """Replaces a CIDR column by its key columns; rows that are no CIDR block are dropped."""
     return (
@@ -51,12 +56,13 @@ def lookup(addresses: DataFrame, tables: dict[str, DataFrame], key: str = "clien
         addresses.select(key, address_hex(F.col(key)).alias("_hex"))
         .where("_hex is not null")
         .withColumn("family", _family("_hex"))
-        .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(PREFIX_SALTS)).cast("int"))
         .join(F.broadcast(lengths), "family")
+        .withColumn("_salt", F.when(_short(), F.pmod(F.xxhash64(key), F.lit(PREFIX_SALTS)).cast("int")).otherwise(0))
         .withColumn("prefix", prefix_of(F.col("_hex"), F.col("bits")))
         .drop("_hex")
     )
-    copies = blocks.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PREFIX_SALTS - 1))))
+    every_salt = F.sequence(F.lit(0), F.lit(PREFIX_SALTS - 1))
+    copies = blocks.withColumn("_salt", F.explode(F.when(_short(), every_salt).otherwise(F.array(F.lit(0)))))
     hits = tries.join(copies, [*KEYS, "_salt"])
     longest = [F.max_by(n, F.when(F.col("_table") == n, F.col("bits"))).alias(n) for n in tables]
     return hits.groupBy(key).agg(*longest)
@@ -68,8 +74,5 @@ def attach(events: DataFrame, tables: dict[str, DataFrame], key: str = "client_i
     One pass finds the distinct addresses, whose attributes are then joined back to the events.
     """
     per_ip = events.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    found = lookup(per_ip, tables, key)
-    if splits_skew(events.sparkSession):
-        return events.join(found, key, "left")
-    # Salting needs the weight of uncovered addresses as well.
-    return spread_join(events, per_ip.join(found, key, "left"), key, "_rows", "left")
+    # The join back needs the weight of uncovered addresses as well.
+    return spread_join(events, per_ip.join(lookup(per_ip, tables, key), key, "left"), key, "_rows", "left")

@@ -11,6 +11,7 @@ large share of the traffic is pre-aggregated on the map side and never gathered
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,31 +55,47 @@ def _differs(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
+@dataclass(frozen=True)
+class RowJob:
+    """A run that looks at the row alone: what it reads, the rows it changes, and the columns it writes."""
+
+    rows: DataFrame
+    hit: Column
+    label: Column
+    written: dict[str, Column]
+
+    def changes(self) -> DataFrame:
+        return _changed(self.rows.where(self.hit), self.label, self.written)
+
+    def applied(self, columns) -> DataFrame:
+        """The rows with the written columns replaced where the run changes them: a projection, no join."""
+        hit = F.coalesce(self.hit, F.lit(False))
+        new = {c: F.when(hit, value).otherwise(F.col(c)).alias(c) for c, value in self.written.items() if c in columns}
+        return self.rows.select(*[new.get(c, F.col(c)) for c in columns])
+
+
+def _full_rerun(events: DataFrame) -> RowJob:
+    df = classify_v2(events, headers="flags")
+    label, name = F.col("cls.bot_classification"), F.col("cls.bot_name")
+    hit = _differs(label, F.col("bot_classification")) | _differs(name, F.col("bot_name"))
+    written = {c: F.col(f"cls.{c}") for c in ("bot_classification", "bot_name", "detection_level", "is_bot")}
+    return RowJob(df, hit, label, written)
+
+
 def full_rerun(events: DataFrame) -> DataFrame:
     """Current rules over every stored event; rows whose label or name changes."""
+    return _full_rerun(events).changes()
+
+
+def _undetermined_rerun(events: DataFrame, ips=DEFAULT.excluded_ips) -> RowJob:
     df = classify_v2(events, headers="flags")
-    label, name = F.col("cls.bot_classification"), F.col("cls.bot_name")
-    df = df.where(_differs(label, F.col("bot_classification")) | _differs(name, F.col("bot_name")))
-    return _changed(
-        df,
-        label,
-        {
-            "bot_classification": label,
-            "bot_name": name,
-            "detection_level": F.col("cls.detection_level"),
-            "is_bot": F.col("cls.is_bot"),
-        },
-    )
+    label = F.col("cls.bot_classification")
+    hit = _is("bot_undetermined") & ~F.col("client_ip").isin(*ips) & _differs(label, F.col("bot_classification"))
+    return RowJob(df, hit, label, {"bot_classification": label, "bot_name": F.col("cls.bot_name"), "is_bot": label != "human"})
 
 
 def undetermined_rerun(events: DataFrame, ips=DEFAULT.excluded_ips) -> DataFrame:
-    df = classify_v2(drop_ips(events.where(_is("bot_undetermined")), ips), headers="flags")
-    label = F.col("cls.bot_classification")
-    return _changed(
-        df.where(_differs(label, F.col("bot_classification"))),
-        label,
-        {"bot_classification": label, "bot_name": F.col("cls.bot_name"), "is_bot": label != "human"},
-    )
+    return _undetermined_rerun(drop_ips(events.where(_is("bot_undetermined")), ips), ips).changes()
 
 
 def training_agents(events: DataFrame, fix_is_bot: bool = False) -> DataFrame:
@@ -117,8 +134,8 @@ def training_agents(events: DataFrame, fix_is_bot: bool = False) -> DataFrame:
     )
 
 
-def monitoring_candidates(events: DataFrame, ips=DEFAULT.home_ips, cap: int | None = 500) -> DataFrame:
-    """Most frequent request patterns among undetermined rows."""
+def monitoring_candidates(events: DataFrame, ips=DEFAULT.home_ips, cap: int | None = None) -> DataFrame:
+    """Request patterns among undetermined rows, all of them or the ``cap`` most frequent."""
     patterns = (
         drop_ips(events.where(_is("bot_undetermined")), ips)
         .groupBy(*PATTERN_KEYS)
@@ -130,25 +147,32 @@ def monitoring_candidates(events: DataFrame, ips=DEFAULT.home_ips, cap: int | No
 
 
 def as_monitoring(
-    events: DataFrame, ips=DEFAULT.home_ips, cap: int | None = 500, fix_is_bot: bool = False
+    events: DataFrame, ips=DEFAULT.home_ips, cap: int | None = None, fix_is_bot: bool = False
 ) -> DataFrame:
-    """Undetermined rows the current rules call monitoring, for the ``cap`` most frequent patterns.
+    """Undetermined rows the current rules call monitoring; with a ``cap``, of the most frequent patterns only.
 
     The rules only look at the pattern's own columns, so without a cap no join is needed.
     """
     df = drop_ips(events.where(_is("bot_undetermined")), ips)
     if cap is None:
-        df = classify_v2(df, headers="flags").where(F.col("cls.bot_classification") == "monitoring_service")
+        return _as_monitoring(df, ips, fix_is_bot).changes()
     else:
         top = classify_v2(monitoring_candidates(events, ips, cap), headers="flags")
         top = top.where(F.col("cls.bot_classification") == "monitoring_service")
         top = top.select(*[F.col(k).alias(f"_{k}") for k in PATTERN_KEYS])
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in PATTERN_KEYS]
-        df = df.join(F.broadcast(top), same, "left_semi")
+        df = df.join(top, same, "left_semi")
     label = F.lit("monitoring_service")
     return _changed(df, label, {"bot_classification": label}, fix_is_bot)
 
 
+def _as_monitoring(events: DataFrame, ips=DEFAULT.home_ips, fix_is_bot: bool = False) -> RowJob:
+    label = F.lit("monitoring_service")
+    hit = _is("bot_undetermined") & ~F.col("client_ip").isin(*ips) & (F.col("cls.bot_classification") == label)
+    written = {"bot_classification": label} | ({"is_bot": F.lit(True)} if fix_is_bot else {})
+    return RowJob(classify_v2(events, headers="flags"), hit, label, written)
+
+
 def human_patterns(events: DataFrame, as_of: dt.datetime | str, fix_is_bot: bool = False) -> DataFrame:
     """Six ordered rules over human rows, each seeing the labels the earlier ones left.
 
@@ -230,26 +254,39 @@ def human_patterns(events: DataFrame, as_of: dt.datetime | str, fix_is_bot: bool
     return _changed(df, label, {"bot_classification": label, "bot_name": name, "detection_level": level}, fix_is_bot)
 
 
-def hosting_networks(events: DataFrame, asns=rules.NEW_HOSTING_ASNS) -> DataFrame:
-    """Marks newly listed networks as hosting and re-runs their human rows under that provider."""
+def _hosting_networks(events: DataFrame, asns=rules.NEW_HOSTING_ASNS) -> RowJob:
     stored = F.col("datacenter_provider")
-    listed = events.where(F.col("asn").isin(*asns))
     missing = F.coalesce(stored, F.lit("")) == ""
     rerun = classify_v2(
-        listed.withColumn("_stored", stored).withColumn("datacenter_provider", F.lit("hosting")), headers="flags"
+        events.withColumn("_stored", stored).withColumn("datacenter_provider", F.lit("hosting")), headers="flags"
     ).withColumn("datacenter_provider", F.col("_stored"))
     label = F.when(_is("human"), F.col("cls.bot_classification")).otherwise(F.col("bot_classification"))
     relabelled = _differs(label, F.col("bot_classification"))
-    df = rerun.where(missing | relabelled)
-    return _changed(
-        df,
-        label,
-        {
-            "datacenter_provider": F.when(missing, "hosting").otherwise(stored),
-            "bot_classification": label,
-            "is_bot": F.when(relabelled, label != "human").otherwise(F.col("is_bot")),
-        },
-    )
+    written = {
+        "datacenter_provider": F.when(missing, "hosting").otherwise(stored),
+        "bot_classification": label,
+        "is_bot": F.when(relabelled, label != "human").otherwise(F.col("is_bot")),
+    }
+    return RowJob(rerun, F.col("asn").isin(*asns) & (missing | relabelled), label, written)
+
+
+def hosting_networks(events: DataFrame, asns=rules.NEW_HOSTING_ASNS) -> DataFrame:
+    """Marks newly listed networks as hosting and re-runs their human rows under that provider."""
+    return _hosting_networks(events.where(F.col("asn").isin(*asns)), asns).changes()
+
+
+# Runs that can also be applied as projections.
+ROW_JOBS = {
+    "full_rerun": _full_rerun,
+    "undetermined_rerun": _undetermined_rerun,
+    "as_monitoring": _as_monitoring,
+    "hosting_networks": _hosting_networks,
+}
+
+
+def applied(events: DataFrame, job: str, *args, **kwargs) -> DataFrame:
+    """Events after one of ``ROW_JOBS``: one pass over the rows, without a change set and without a join."""
+    return ROW_JOBS[job](events, *args, **kwargs).applied(events.columns)
 
 
 def expanded_networks(

@@ -2,45 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 2_000_000
-HOT_KEYS = 1_000
+#: A key with more than one part in ``SHARE`` of all events is heavy, so there are fewer than ``SHARE`` of them.
+SHARE = 1_000
 SALTS = 64
 
 
-def splits_skew(spark: SparkSession) -> bool:
-    """Whether adaptive execution cuts oversized join partitions in this session."""
-    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
-    return all(spark.conf.get(name, "true").lower() == "true" for name in names)
-
-
 def spread_join(
-    events: DataFrame,
-    per_key: DataFrame,
-    key: str,
-    weight: str,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    events: DataFrame, per_key: DataFrame, key: str, weight: str, how: str = "left", share: int = SHARE
 ) -> DataFrame:
     """Join on ``key`` with the events of heavy keys spread over many tasks.
 
     ``per_key`` has one row per key and says in ``weight`` how many events the key has; ``weight``
-    is not returned. Adaptive execution splits the events of a heavy key at run time. In a session
-    without it the keys above ``hot_rows`` are salted, which costs a second aggregation of the
-    keys: at most ``HOT_KEYS`` of them, so the broadcast list has a fixed bound; any further ones
-    join unsalted and stay correct.
+    is not returned. Adaptive execution can't split such a join, as no shuffle stands between the
+    aggregation per key and the join; so heavy keys, and events without a key, are salted. The
+    list of heavy keys is broadcast: by arithmetic it has fewer than ``share`` rows.
     """
-    if splits_skew(events.sparkSession):
-        return events.join(per_key.drop(weight), key, how)
-    hot = (
-        per_key.where(F.col(weight) >= hot_rows)
-        .orderBy(F.col(weight).desc(), key)
-        .limit(HOT_KEYS)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    spread = F.when(F.col("_hot"), F.pmod(F.xxhash64(*_scatter(events, key)), F.lit(SALTS))).otherwise(0)
+    everything = per_key.agg(F.sum(weight)).scalar()
+    hot = per_key.where(F.col(weight) * share > everything).select(key, F.lit(True).alias("_hot"))
+    scattered = F.pmod(F.xxhash64(*_scatter(events, key)), F.lit(SALTS))
+    spread = F.when(F.col("_hot") | F.col(key).isNull(), scattered).otherwise(0)
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = events.join(F.broadcast(hot), key, "left").withColumn("_salt", spread.cast("int")).drop("_hot")
     right = per_key.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot", weight)

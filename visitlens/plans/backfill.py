@@ -11,6 +11,7 @@ from visitlens.settings import DEFAULT, Settings
 from visitlens.sources.logs import parse_logs, read_logs_range
 from visitlens.sources.sinks import append_events, to_backfilled
 from visitlens.streaming.ingest import build_events
+from visitlens.streaming.scratch import staged
 
 
 def historical_events(
@@ -28,10 +29,13 @@ def historical_events(
     The country header wins over the geo table. Days that ``existing`` already holds are left out.
     """
     parsed = keep_sites(parse_logs(read_logs_range(spark, source, start, end), "backfill"), settings.listed_hosts)
-    new = to_backfilled(build_events(parsed, geo, networks, prefer_header=True))
+    # Lines are parsed once: the list of addresses and the events themselves both come from the staged rows.
+    new = to_backfilled(build_events(staged(parsed, "backfill"), geo, networks, prefer_header=True))
     return new if existing is None else skip_loaded_days(new, existing)
 
 
-def backfill(spark: SparkSession, source: str, start, end, geo, networks, path: str, existing=None) -> None:
-    """Loads a range of days into the events table at ``path``."""
-    append_events(historical_events(spark, source, start, end, geo, networks, existing), path)
+def backfill(
+    spark: SparkSession, source: str, start, end, geo, networks, path: str, existing=None, load_id: int | None = None
+) -> None:
+    """Loads a range of days into the events table at ``path``; a load repeated under its id replaces itself."""
+    append_events(historical_events(spark, source, start, end, geo, networks, existing), path, load_id)

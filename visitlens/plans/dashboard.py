@@ -19,6 +19,7 @@ from visitlens.operators.filters import scope
 from visitlens.operators.scoring import dominant_class
 from visitlens.plans.common import largest_first, top
 from visitlens.settings import DEFAULT, Settings
+from visitlens.streaming.scratch import staged
 
 COUNTED = ("ai_official", "ai_stealth", "web_crawler", "monitoring_service", "bot_undetermined")
 
@@ -68,17 +69,23 @@ def filled_timeline(
 ) -> DataFrame:
     """Timeline with a row for every site and bucket between the first and last bucket seen.
 
-    The calendar is generated from one row of bounds; no rows come out of an empty range.
+    No rows come out of an empty range.
     """
-    counts = timeline(events, as_of, rng, settings, on_topic)
+    return _filled(timeline(events, as_of, rng, settings, on_topic), rng, settings)
+
+
+def _filled(counts: DataFrame, rng: str, settings: Settings) -> DataFrame:
+    """All counts (a range has few buckets and sites) and their bounds in one row, spread over the calendar."""
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(bucket_seconds(rng)))
-    bounds = counts.agg(F.min("time_bucket").alias("first"), F.max("time_bucket").alias("last"))
-    days = bounds.where("first is not null").select(
-        F.explode(F.sequence(F.col("first"), F.col("last"), step)).alias("time_bucket")
-    )
-    grid = days.select("time_bucket", F.explode(F.array(*map(F.lit, settings.funnel_sites))).alias("site"))
-    filled = grid.join(counts, ["time_bucket", "site"], "left")
-    return filled.select("time_bucket", "site", F.coalesce("count", F.lit(0)).alias("count"))
+    cell = F.struct("time_bucket", "site")
+    one = counts.agg(
+        F.min("time_bucket").alias("first"),
+        F.max("time_bucket").alias("last"),
+        F.map_from_entries(F.collect_list(F.struct(cell, F.col("count")))).alias("cells"),
+    ).where("first is not null")
+    days = one.select("cells", F.explode(F.sequence(F.col("first"), F.col("last"), step)).alias("time_bucket"))
+    grid = days.select("cells", "time_bucket", F.explode(F.array(*map(F.lit, settings.funnel_sites))).alias("site"))
+    return grid.select("time_bucket", "site", F.coalesce(F.try_element_at("cells", cell), F.lit(0)).alias("count"))
 
 
 def classification_breakdown(
@@ -93,7 +100,7 @@ def top_bots(
     events: DataFrame,
     as_of,
     rng: str = "24h",
-    limit: int = 10,
+    limit: int | None = 10,
     settings: Settings = DEFAULT,
     on_topic: bool = False,
 ) -> DataFrame:
@@ -155,10 +162,27 @@ def traffic_shares(stats: DataFrame) -> DataFrame:
 
 
 def dashboard(events: DataFrame, as_of, rng: str = "24h", settings: Settings = DEFAULT) -> dict[str, DataFrame]:
-    """The four frames of the front page, without the topic filter."""
+    """The four frames of the front page, without the topic filter, from one pass over the events."""
+    df = scope(events, rng, as_of, settings)
+    bucket = time_bucket("timestamp", bucket_seconds(rng)).alias("time_bucket")
+    cells = staged(df.groupBy(bucket, "site", "client_ip", "bot_classification", "bot_name", "is_bot").agg(requests("n")), "dashboard")
+
+    def rows(condition, name: str):
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
+
+    named = cells.where(F.col("is_bot") & F.col("bot_name").isNotNull())
+    counts = cells.where(F.col("site").isin(*settings.report_hosts)).groupBy("time_bucket", norm_site().alias("site"))
+    classes = cells.groupBy(display_class().alias("name")).agg(F.sum("n").alias("count"))
+    label = F.col("bot_classification")
     return {
-        "stats": overall_stats(events, as_of, rng, settings),
-        "timeline": filled_timeline(events, as_of, rng, settings),
-        "bot_classification": classification_breakdown(events, as_of, rng, settings),
-        "top_bots": top_bots(events, as_of, rng, settings=settings),
+        "stats": cells.agg(
+            rows(F.lit(True), "total_requests"),
+            distinct("client_ip", "unique_ips"),
+            *[rows(label == c, c) for c in COUNTED],
+            rows(is_attack(), "attack_traffic"),
+            rows(label == "human", "human"),
+        ),
+        "timeline": _filled(counts.agg(distinct("client_ip", "count")), rng, settings),
+        "bot_classification": classes.orderBy(*largest_first("count", ["name"])),
+        "top_bots": top(named.groupBy(F.col("bot_name").alias("name")).agg(F.sum("n").alias("count")), "count", ["name"], 10),
     }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visitlens.functions.metrics import count_where, distinct, fixed_round, requests, sorted_values
 from visitlens.operators.filters import scope
 from visitlens.operators.scoring import route_text
-from visitlens.plans.common import rank_then_detail, top
+from visitlens.plans.common import evidence, rank_then_detail, top
 from visitlens.plans.dashboard import class_counts
 from visitlens.settings import DEFAULT, Settings
 
@@ -19,7 +19,7 @@ AI_LABELS = {"v1": ("official_ai", "stealth_ai"), "v2": ("ai_official", "ai_stea
 
 
 def subnet_clusters(
-    events: DataFrame, as_of, rng: str = "24h", min_requests: int = 10, settings: Settings = DEFAULT, limit: int = 200
+    events: DataFrame, as_of, rng: str = "24h", min_requests: int = 10, settings: Settings = DEFAULT, limit: int | None = 200
 ) -> DataFrame:
     df = scope(events, rng, as_of, settings).where(F.col("subnet").isNotNull())
     return rank_then_detail(
@@ -33,9 +33,12 @@ def subnet_clusters(
 
 
 def time_bursts(
-    events: DataFrame, as_of, rng: str = "6h", threshold: int = 20, settings: Settings = DEFAULT, limit: int = 200
+    events: DataFrame, as_of, rng: str = "6h", threshold: int = 20, settings: Settings = DEFAULT, limit: int | None = 200
 ) -> DataFrame:
-    """Address-hours with many requests and the paths they asked for."""
+    """Address-hours with many requests and the paths they asked for.
+
+    The array is for hours with few paths; :func:`burst_paths` has them as rows.
+    """
     df = scope(events, rng, as_of, settings).withColumn("time_bucket", F.date_trunc("hour", "timestamp"))
     return rank_then_detail(
         df,
@@ -47,8 +50,18 @@ def time_bursts(
     )
 
 
+def burst_paths(
+    events: DataFrame, as_of, rng: str = "6h", threshold: int = 20, settings: Settings = DEFAULT, limit: int | None = 200
+) -> DataFrame:
+    """Every path of the bursts that :func:`time_bursts` lists, one row each."""
+    keys = ("time_bucket", "client_ip", "subnet", "bot_classification", "datacenter_provider")
+    df = scope(events, rng, as_of, settings).withColumn("time_bucket", F.date_trunc("hour", "timestamp"))
+    sizes = df.groupBy(*keys).agg(requests("burst_size")).where(F.col("burst_size") >= threshold)
+    return evidence(df, top(sizes, "burst_size", keys, limit), keys, "path")
+
+
 def datacenter_ips(
-    events: DataFrame, as_of, rng: str = "24h", settings: Settings = DEFAULT, limit: int = 200
+    events: DataFrame, as_of, rng: str = "24h", settings: Settings = DEFAULT, limit: int | None = 200
 ) -> DataFrame:
     df = scope(events, rng, as_of, settings).where(F.col("datacenter_provider").isNotNull())
     return rank_then_detail(
@@ -61,7 +74,7 @@ def datacenter_ips(
 
 
 def residential_patterns(
-    events: DataFrame, as_of, rng: str = "24h", min_requests: int = 10, settings: Settings = DEFAULT, limit: int = 200
+    events: DataFrame, as_of, rng: str = "24h", min_requests: int = 10, settings: Settings = DEFAULT, limit: int | None = 200
 ) -> DataFrame:
     """Subnets without a hosting provider. The class is a key, so the share is 0 or 100."""
     df = scope(events, rng, as_of, settings)
@@ -78,7 +91,7 @@ def residential_patterns(
 
 
 def asn_analysis(
-    events: DataFrame, as_of, rng: str = "24h", labels: str = "v1", settings: Settings = DEFAULT, limit: int = 100
+    events: DataFrame, as_of, rng: str = "24h", labels: str = "v1", settings: Settings = DEFAULT, limit: int | None = 100
 ) -> DataFrame:
     official, hidden = AI_LABELS[labels]
     df = scope(events, rng, as_of, settings).where(F.col("asn").isNotNull())
@@ -102,7 +115,7 @@ def asn_analysis(
     )
 
 
-def unique_ips(events: DataFrame, as_of, rng: str = "24h", settings: Settings = DEFAULT, limit: int = 500) -> DataFrame:
+def unique_ips(events: DataFrame, as_of, rng: str = "24h", settings: Settings = DEFAULT, limit: int | None = 500) -> DataFrame:
     keys = ("client_ip", "subnet", "bot_classification", "country", "city", "datacenter_provider", "asn_org")
     groups = (
         scope(events, rng, as_of, settings)
@@ -119,7 +132,7 @@ def geographic_clusters(
     labels: str = "v1",
     min_requests: int = 10,
     settings: Settings = DEFAULT,
-    limit: int = 150,
+    limit: int | None = 150,
 ) -> DataFrame:
     df = scope(events, rng, as_of, settings)
     df = df.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
@@ -151,7 +164,12 @@ REPORTS: dict[str, Callable[..., DataFrame]] = {
 
 
 def explore(events: DataFrame, command: str, as_of, **params) -> DataFrame | None:
-    """Runs the report a command asks for; None when it names none."""
+    """Runs the report a command asks for; None when it names none, see :func:`suggestions`."""
     asked = events.sparkSession.createDataFrame([(command,)], "text string")
     report = route_text(asked).first()["report"]
     return None if report is None else REPORTS[report](events, as_of, **params)
+
+
+def suggestions() -> list[str]:
+    """Commands to offer when one names no report."""
+    return [f"show {name.replace('-', ' ')}" for name in REPORTS]

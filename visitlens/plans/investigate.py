@@ -20,7 +20,8 @@ from visitlens.functions.metrics import (
 from visitlens.operators.filters import since
 from visitlens.operators.reclassify import monitoring_candidates
 from visitlens.operators.scoring import legitimacy
-from visitlens.plans.common import first_values, largest_first, rank_then_detail, top
+from visitlens.plans.common import evidence, first_values, largest_first, rank_then_detail, top
+from visitlens.streaming.scratch import staged
 
 HUMAN = "bot_classification = 'human'"
 RESIDENTIAL_HUMAN = "bot_classification = 'human' and datacenter_provider is null"
@@ -51,7 +52,7 @@ def categorised_orgs(events: DataFrame) -> DataFrame:
 
 
 def category_listing(events: DataFrame, rows: dict[str, int] | None = None) -> DataFrame:
-    """Largest owners of every category, cut only where the listing is."""
+    """Largest owners of every category, cut only where the listing is; an empty ``rows`` cuts nothing."""
     rows = CATEGORY_ROWS if rows is None else rows
     order = Window.partitionBy("category").orderBy(*largest_first("request_count", ("asn", "asn_org")))
     ranked = categorised_orgs(events).where("category is not null").withColumn("rank", F.row_number().over(order))
@@ -74,10 +75,11 @@ def category_totals(events: DataFrame) -> DataFrame:
     )
 
 
-def hosting_humans(events: DataFrame, words=rules.ORG_SUSPECT, sample: int = 3) -> DataFrame:
+def hosting_humans(events: DataFrame, words=rules.ORG_SUSPECT, sample: int | None = 3) -> DataFrame:
     """Owners that sound like hosting companies but send human-labelled traffic.
 
-    ``sample_ips`` shows the first few addresses; :func:`hosting_human_ips` lists them all.
+    ``sample_ips`` shows the first few addresses, or all with ``sample=None``; :func:`hosting_human_ips`
+    lists them all as rows.
     """
     rows = events.where(f"{RESIDENTIAL_HUMAN} and asn_org is not null").where(ilike_any("asn_org", words))
     parts = rows.groupBy("asn_org", "client_ip", "path").agg(
@@ -101,12 +103,25 @@ def hosting_human_ips(events: DataFrame, words=rules.ORG_SUSPECT) -> DataFrame:
     return rows.groupBy("asn_org", "client_ip").agg(requests("request_count"))
 
 
-def suspect_details(events: DataFrame, words=rules.ORG_PROXY_SELLERS, limit: int = 10) -> DataFrame:
+SUSPECT = ("client_ip", "asn_org", "has_sec_fetch_headers", "has_client_hints", "country")
+
+
+def _suspects(events: DataFrame, words) -> DataFrame:
+    return events.where(f"{RESIDENTIAL_HUMAN} and asn_org is not null").where(ilike_any("asn_org", words))
+
+
+def suspect_evidence(events: DataFrame, value: str = "path", words=rules.ORG_PROXY_SELLERS, limit: int | None = 10) -> DataFrame:
+    """Every path, or agent, of the addresses that :func:`suspect_details` lists, one row each."""
+    rows = _suspects(events, words)
+    listed = top(rows.groupBy(*SUSPECT).agg(requests("request_count")), "request_count", SUSPECT, limit)
+    return evidence(rows, listed, SUSPECT, value)
+
+
+def suspect_details(events: DataFrame, words=rules.ORG_PROXY_SELLERS, limit: int | None = 10) -> DataFrame:
     """Busiest addresses of proxy sellers with paths, agents and rate."""
-    rows = events.where(f"{RESIDENTIAL_HUMAN} and asn_org is not null").where(ilike_any("asn_org", words))
     found = rank_then_detail(
-        rows,
-        ("client_ip", "asn_org", "has_sec_fetch_headers", "has_client_hints", "country"),
+        _suspects(events, words),
+        SUSPECT,
         limit,
         [
             distinct("path", "unique_paths"),
@@ -124,8 +139,8 @@ def suspect_details(events: DataFrame, words=rules.ORG_PROXY_SELLERS, limit: int
 
 
 def _most_common(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Most frequent value per address, the lowest on a tie, from counts per value."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy("client_ip", value).agg(requests("n"))
+    """Most frequent value per address, the lowest on a tie, from counts (``n``) per value."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy("client_ip", value).agg(F.sum("n").alias("n"))
     lowest = counts.groupBy("client_ip", "n").agg(F.min(value).alias(value))
     return lowest.groupBy("client_ip").agg(F.max_by(value, "n").alias(name))
 
@@ -134,13 +149,16 @@ def ip_profile(events: DataFrame, ips=rules.REVIEW_IPS) -> DataFrame:
     """Fifteen behaviour measures per reviewed address, all addresses in one pass each."""
     rows = events.where(F.col("client_ip").isin(*ips)) if ips is not None else events
     attributes = ("asn_org", "datacenter_provider", "city", "country", "bot_classification", "bot_name")
-    # Text maxima sort their input, so rows are first combined per path and attributes by hashing.
-    parts = rows.groupBy("client_ip", "path", *attributes).agg(
-        requests("n"),
-        F.min("timestamp").alias("first"),
-        F.max("timestamp").alias("last"),
-        count_where(F.col("has_sec_fetch_headers"), "sec_fetch"),
-        count_where(F.col("has_client_hints"), "hints"),
+    # One pass over the events: everything else comes from rows combined per path, site, agent and attributes.
+    parts = staged(
+        rows.groupBy("client_ip", "path", "site", "user_agent", *attributes).agg(
+            requests("n"),
+            F.min("timestamp").alias("first"),
+            F.max("timestamp").alias("last"),
+            count_where(F.col("has_sec_fetch_headers"), "sec_fetch"),
+            count_where(F.col("has_client_hints"), "hints"),
+        ),
+        "profile",
     )
     profile = parts.groupBy("client_ip").agg(
         F.sum("n").alias("request_count"),
@@ -153,8 +171,8 @@ def ip_profile(events: DataFrame, ips=rules.REVIEW_IPS) -> DataFrame:
     )
     span = seconds_between(F.col("first_seen"), F.col("last_seen"))
     profile = profile.withColumn("duration_seconds", span)
-    profile = profile.join(_most_common(rows, "user_agent", "most_common_ua"), "client_ip", "left")
-    profile = profile.join(_most_common(rows, "site", "most_visited_site"), "client_ip", "left")
+    profile = profile.join(_most_common(parts, "user_agent", "most_common_ua"), "client_ip", "left")
+    profile = profile.join(_most_common(parts, "site", "most_visited_site"), "client_ip", "left")
     return profile.withColumn("requests_per_second", req_rate("request_count", "duration_seconds"))
 
 
@@ -172,7 +190,7 @@ def sample_paths(events: DataFrame, ips=rules.REVIEW_IPS, n: int = 10) -> DataFr
 VISITOR = ("client_ip", "user_agent", "has_sec_fetch_headers", "has_client_hints", "asn_org", "country")
 
 
-def too_fast_humans(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
+def too_fast_humans(events: DataFrame, as_of, limit: int | None = 20) -> DataFrame:
     """Visitors of the last 30 days above half a request per second over more than a minute."""
     visitors = (
         since(events.where(RESIDENTIAL_HUMAN), 30 * 24, as_of)
@@ -191,7 +209,7 @@ def too_fast_humans(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
     return top(visitors, "req_per_sec", VISITOR, limit)
 
 
-def path_traversal(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
+def path_traversal(events: DataFrame, as_of, limit: int | None = 20) -> DataFrame:
     """Visitors with many paths, or hardly a repeated one. A single request has diversity 1."""
     diversity = F.try_divide("unique_paths", "request_count")
     visitors = (
@@ -204,7 +222,7 @@ def path_traversal(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
     return top(visitors, "unique_paths", VISITOR, limit)
 
 
-def sleepless_humans(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
+def sleepless_humans(events: DataFrame, as_of, limit: int | None = 20) -> DataFrame:
     """Visitors active in more than 18 hours of the day with more than 50 requests in 7 days.
 
     Agent, owner and country come from the address's earliest human row, which is only looked up
@@ -217,12 +235,12 @@ def sleepless_humans(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
         .agg(F.count("hour").alias("hours_active"), F.sum("requests").alias("total_requests"))
         .where("hours_active > 18 and total_requests > 50")
         .orderBy(F.col("hours_active").desc(), F.col("total_requests").desc(), "client_ip")
-        .limit(limit)
     )
+    active = active if limit is None else active.limit(limit)
     first_row = F.struct("timestamp", "id", "user_agent", "asn_org", "country")
     attributes = (
         events.where(HUMAN)
-        .join(F.broadcast(active), "client_ip")
+        .join(active, "client_ip")
         .groupBy("client_ip", "hours_active", "total_requests")
         .agg(F.min(first_row).alias("first"))
     )
@@ -235,8 +253,8 @@ def residential_humans(events: DataFrame, as_of) -> DataFrame:
     return since(events.where(RESIDENTIAL_HUMAN), 30 * 24, as_of).agg(requests())
 
 
-def suspicious_visitors(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
-    """Rows of the three visitor checks together, each listing cut at ``limit``."""
+def suspicious_visitors(events: DataFrame, as_of, limit: int | None = None) -> DataFrame:
+    """Rows of the three visitor checks together; with a ``limit`` each listing is cut there first."""
     lists = (
         too_fast_humans(events, as_of, limit).select("client_ip"),
         path_traversal(events, as_of, limit).select("client_ip"),
@@ -245,6 +263,6 @@ def suspicious_visitors(events: DataFrame, as_of, limit: int = 20) -> DataFrame:
     return lists[0].unionByName(lists[1]).unionByName(lists[2]).agg(requests("suspicious_count"))
 
 
-def undetermined_patterns(events: DataFrame, cap: int | None = 500) -> DataFrame:
-    """Most frequent undetermined request patterns, the input of the monitoring relabelling."""
+def undetermined_patterns(events: DataFrame, cap: int | None = None) -> DataFrame:
+    """Undetermined request patterns, the input of the monitoring relabelling; with a ``cap`` the most frequent."""
     return monitoring_candidates(events, cap=cap)

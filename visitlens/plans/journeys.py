@@ -14,31 +14,46 @@ from visitlens.functions.labels import funnel_stage, norm_site
 from visitlens.functions.metrics import requests
 from visitlens.operators.filters import in_range
 from visitlens.settings import DEFAULT, Settings
+from visitlens.streaming.scratch import staged
 
 HARVEST_PATHS = 50
 HARVEST_DIVERSITY = 0.8
 
 
-def journeys(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def journey_sites(events: DataFrame) -> DataFrame:
+    """Every site of every subnet with its requests, one row each."""
+    rows = events.where("subnet is not null").withColumn("site", norm_site())
+    return rows.groupBy("subnet", "site").agg(requests())
+
+
+def journeys(events: DataFrame, settings: Settings = DEFAULT, all_sites: bool = True) -> DataFrame:
     """One journey per subnet: sites in order of name, furthest stage, totals and usual label.
 
+    ``all_sites=False`` lists the funnel's sites only; :func:`journey_sites` has all of them as rows.
+
     A row per (subnet, site, address, label) is counted first, so a busy subnet reaches its group
     as distinct combinations rather than as events. Subnets outside the funnel have no journey.
     """
     rows = events.where("subnet is not null").withColumn("site", norm_site())
-    parts = rows.groupBy("subnet", "site", "bot_classification", "bot_name").agg(
-        requests("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    # One pass over the events; the rest is worked out from the combined rows.
+    parts = staged(
+        rows.groupBy("subnet", "site", "client_ip", "bot_classification", "bot_name").agg(
+            requests("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+        ),
+        "journeys",
     )
     visitors = (
-        rows.select("subnet", "client_ip")
+        parts.select("subnet", "client_ip")
         .distinct()
         .groupBy("subnet")
         .agg(F.count("client_ip").alias("unique_ips"), F.min("client_ip").alias("_ip"))
     )
+    # The host of a request is the client's choice, so only the funnel's own sites go into the array.
+    funnel_site = F.when(F.col("site").isin(*settings.funnel_sites), F.col("site"))
     totals = parts.groupBy("subnet").agg(
         F.min("first").alias("first_seen"),
         F.max("last").alias("last_seen"),
-        F.sort_array(F.collect_set("site")).alias("sites_visited"),
+        F.sort_array(F.collect_set("site" if all_sites else funnel_site)).alias("sites_visited"),
         F.sum("n").alias("total_requests"),
     )
     usual = _usual_label(parts)
@@ -73,17 +88,27 @@ def funnel(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return stages.agg(requests("journeys"), F.sum("unique_ips").alias("unique_ips")).orderBy("funnel_stage")
 
 
+def pattern_evidence(events: DataFrame) -> DataFrame:
+    """Every site and path of every address with its requests; joined with the patterns on the address."""
+    rows = events.withColumn("site", norm_site()).where("client_ip is not null")
+    return rows.groupBy("client_ip", "site", "path").agg(requests())
+
+
 def behavior_patterns(events: DataFrame, settings: Settings = DEFAULT, as_of=None) -> DataFrame:
     """Addresses that look automated, one row per address and pattern.
 
     ``rapid_sequential``: above 0.5 requests per second, or more than 20 requests within 2 minutes.
     ``data_harvesting``: more than 50 paths, or over 80 % distinct paths in at least 20 requests.
     ``cross_site_journey``: at least two funnel sites.
-    Evidence arrays hold the distinct sites and paths of the flagged addresses only.
+    Evidence arrays hold the distinct sites and paths of the flagged addresses only; they are for addresses
+    with few of them, and :func:`pattern_evidence` has them as rows.
     """
     rows = events.withColumn("site", norm_site()).where("client_ip is not null")
-    per_path = rows.groupBy("client_ip", "subnet", "site", "path").agg(
-        requests("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    per_path = staged(
+        rows.groupBy("client_ip", "subnet", "site", "path").agg(
+            requests("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+        ),
+        "patterns",
     )
     span = (F.unix_micros(F.max("last")) - F.unix_micros(F.min("first"))) / 1e6
     per_ip = per_path.groupBy("client_ip").agg(

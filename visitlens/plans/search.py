@@ -61,7 +61,7 @@ def ai_overviews(searches: DataFrame, citations: DataFrame, n: int = 5, shown: i
         .limit(n)
     )
     cited = (
-        citations.join(F.broadcast(newest.select("search_id")), "search_id")
+        citations.join(newest.select("search_id"), "search_id")
         .groupBy("search_id")
         .agg(
             requests("citation_count"),
@@ -85,7 +85,7 @@ def citations_by_domain(citations: DataFrame, organic: DataFrame, n: int = 20) -
     )
     ranked = organic.groupBy("domain").agg(fixed_round(F.avg("position"), 1).alias("avg_organic_position"))
     best = top(cited, "citation_count", ["domain"], n)
-    joined = ranked.join(F.broadcast(best), "domain", "right")
+    joined = ranked.join(best, "domain", "right")
     return joined.withColumn("appears_in_organic", F.col("avg_organic_position").isNotNull())
 
 

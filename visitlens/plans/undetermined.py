@@ -18,7 +18,7 @@ from visitlens.functions.metrics import (
     sorted_values,
 )
 from visitlens.operators.filters import drop_ips, since
-from visitlens.plans.common import largest_first, rank_then_detail, top
+from visitlens.plans.common import evidence, largest_first, rank_then_detail, top
 from visitlens.settings import DEFAULT
 
 
@@ -86,7 +86,7 @@ def signal_overview(events: DataFrame) -> DataFrame:
     )
 
 
-def top_agents(events: DataFrame, limit: int = 15, ips=DEFAULT.home_ips) -> DataFrame:
+def top_agents(events: DataFrame, limit: int | None = 15, ips=DEFAULT.home_ips) -> DataFrame:
     df = undetermined(events, ips).where(~no_agent())
     return rank_then_detail(
         df,
@@ -111,7 +111,7 @@ def by_provider(events: DataFrame, ips=DEFAULT.home_ips) -> DataFrame:
     return groups.orderBy(*largest_first("request_count", ["datacenter_provider"]))
 
 
-def active_ips(events: DataFrame, limit: int = 20, ips=DEFAULT.home_ips) -> DataFrame:
+def active_ips(events: DataFrame, limit: int | None = 20, ips=DEFAULT.home_ips) -> DataFrame:
     """Busiest addresses with their agents and request rate; no rate for a single instant."""
     found = rank_then_detail(
         undetermined(events, ips),
@@ -129,7 +129,15 @@ def active_ips(events: DataFrame, limit: int = 20, ips=DEFAULT.home_ips) -> Data
     return found.withColumn("req_per_sec", req_rate(F.col("request_count"), span, zero="null", digits=3))
 
 
-def top_paths(events: DataFrame, limit: int = 25, ips=DEFAULT.home_ips) -> DataFrame:
+def active_ip_agents(events: DataFrame, limit: int | None = 20, ips=DEFAULT.home_ips) -> DataFrame:
+    """Every agent of the addresses that :func:`active_ips` lists, one row each."""
+    keys = ("client_ip", "datacenter_provider", "country", "asn_org", "has_sec_fetch_headers", "has_client_hints")
+    rows = undetermined(events, ips)
+    listed = top(rows.groupBy(*keys).agg(requests("request_count")), "request_count", keys, limit)
+    return evidence(rows, listed, keys, "user_agent")
+
+
+def top_paths(events: DataFrame, limit: int | None = 25, ips=DEFAULT.home_ips) -> DataFrame:
     return rank_then_detail(
         undetermined(events, ips), ("path",), limit, [distinct("client_ip", "unique_ips")], count="request_count"
     )
@@ -139,7 +147,7 @@ def by_hour(events: DataFrame, ips=DEFAULT.home_ips) -> DataFrame:
     return undetermined(events, ips).groupBy(F.hour("timestamp").alias("hour")).agg(requests("request_count")).orderBy("hour")
 
 
-def by_country(events: DataFrame, limit: int = 15, ips=DEFAULT.home_ips) -> DataFrame:
+def by_country(events: DataFrame, limit: int | None = 15, ips=DEFAULT.home_ips) -> DataFrame:
     groups = (
         undetermined(events, ips)
         .where(F.col("country").isNotNull())
@@ -167,7 +175,7 @@ def behaviour_profile(events: DataFrame, ips=DEFAULT.home_ips) -> DataFrame:
     )
 
 
-def signal_ips(events: DataFrame, limit: int = 20) -> DataFrame:
+def signal_ips(events: DataFrame, limit: int | None = 20) -> DataFrame:
     """Busiest addresses per signal combination with a sample of their attributes."""
     return rank_then_detail(
         undetermined(events),
@@ -184,7 +192,7 @@ def signal_ips(events: DataFrame, limit: int = 20) -> DataFrame:
     )
 
 
-def site_paths(events: DataFrame, limit: int = 30) -> DataFrame:
+def site_paths(events: DataFrame, limit: int | None = 30) -> DataFrame:
     return rank_then_detail(
         undetermined(events),
         ("path",),
@@ -217,7 +225,7 @@ def provider_counts(events: DataFrame) -> DataFrame:
     return groups.orderBy(*largest_first("request_count", ["provider"]))
 
 
-def country_counts(events: DataFrame, limit: int = 15) -> DataFrame:
+def country_counts(events: DataFrame, limit: int | None = 15) -> DataFrame:
     """Grouped by the raw column, so a real ``Unknown`` would stay apart from missing countries."""
     groups = (
         undetermined(events)
@@ -245,16 +253,17 @@ def by_weekday(events: DataFrame) -> DataFrame:
     return days.agg(requests()).orderBy("day_number")
 
 
-def fast_ips(events: DataFrame, as_of, limit: int = 10, min_rate: float = 0.1) -> DataFrame:
+def fast_ips(events: DataFrame, as_of, limit: int | None = 10, min_rate: float = 0.1) -> DataFrame:
     """Addresses of the last 7 days above a request rate, fastest first."""
     df = since(undetermined(events), 7 * 24, as_of)
     per_ip = df.groupBy("client_ip").agg(requests("request_count"), active_seconds().alias("duration_seconds"))
     rate = F.try_divide("request_count", "duration_seconds")
     order = (rate.desc(), F.col("client_ip"))
-    fast = per_ip.where((F.col("duration_seconds") > 0) & (rate > min_rate)).orderBy(*order).limit(limit)
+    fast = per_ip.where((F.col("duration_seconds") > 0) & (rate > min_rate)).orderBy(*order)
+    fast = fast if limit is None else fast.limit(limit)
     # The attributes are only gathered for the addresses listed.
     details = (
-        df.join(F.broadcast(fast), "client_ip")
+        df.join(fast, "client_ip")
         .groupBy("client_ip", "request_count", "duration_seconds")
         .agg(
             distinct("path", "unique_paths"),
@@ -262,4 +271,4 @@ def fast_ips(events: DataFrame, as_of, limit: int = 10, min_rate: float = 0.1) -
             F.max("user_agent").alias("sample_ua"),
         )
     )
-    return details.orderBy(*order).limit(limit)
+    return details.orderBy(*order)

@@ -31,8 +31,8 @@ def is_access_log(line: Column | None = None) -> Column:
     return F.col("logger").startswith(ACCESS_LOGGER) & F.col("request").isNotNull()
 
 
-def split_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(records, bad lines) of a frame of text lines.
+def read_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Access lines with the fields of their record and whether it is ``usable``.
 
     Other loggers are dropped on the raw text before any JSON is read. A line is bad when it is
     not JSON, has no usable time or names no client.
@@ -48,9 +48,16 @@ def split_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, Data
         & to_event_time(F.col("ts")).isNotNull()
         & F.coalesce(client_ip_expr("edge"), client_ip_expr("backfill")).isNotNull()
     )
-    usable = F.coalesce(usable, F.lit(False))
-    good = parsed.where(usable).drop("line", CORRUPT)
-    return good, parsed.where(~usable).select("line")
+    return parsed.withColumn("usable", F.coalesce(usable, F.lit(False))).drop(CORRUPT)
+
+
+def split_lines(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(records, bad lines) of a frame of text lines."""
+    return split_read(read_lines(lines, value))
+
+
+def split_read(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return read.where("usable").drop("line", "usable"), read.where("not usable").select("line")
 
 
 def read_logs(spark: SparkSession, path: str, since: dt.datetime | str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitlens.functions.requests import event_key
 from visitlens.schema import BACKFILL_COLUMNS, STORED_EVENT
 
+TABLE = T.StructType([*STORED_EVENT.fields, T.StructField("batch_id", T.LongType())])
+
 
 def to_stored(df: DataFrame) -> DataFrame:
     """Projects to the stored layout; absent columns become NULL, the two bot flags default to false."""
     if "id" not in df.columns:
-        df = df.withColumn("id", event_key())
+        df = df.withColumn("id", event_key(df.columns))
     df = df.withColumn("event_date", F.to_date("timestamp"))
     defaults = {"is_bot", "has_cf_worker", "is_exploit_attempt"}
     columns = []
@@ -29,21 +33,47 @@ def to_backfilled(df: DataFrame) -> DataFrame:
     keep = [c for c in BACKFILL_COLUMNS if c in df.columns]
     extra = [c for c in ("id", "detection_reason") if c in df.columns]
     if "id" not in df.columns:
-        df, extra = df.withColumn("id", event_key()), ["id", *extra]
+        df, extra = df.withColumn("id", event_key(df.columns)), ["id", *extra]
     return to_stored(df.select(*extra, *keep))
 
 
-def append_events(df: DataFrame, path: str, compact: bool = False) -> None:
-    """Appends to the events table, one directory per day.
+# Directories of the events table. Every writer uses them: a stream numbers its batches from 0, loads have
+# negative numbers. Whoever writes a number again replaces what it wrote before.
+LAYOUT = ("event_date", "batch_id")
+
+
+def write_events(stored: DataFrame, path: str) -> None:
+    """Writes rows of the stored layout with their ``batch_id``, replacing the directories they belong to."""
+    stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(path)
+
 
-    Logs arrive nearly in time order, so a task writes few days and nothing is shuffled. For input
-    that mixes many days ``compact`` gathers each day first; adaptive execution sizes the files
+def append_events(df: DataFrame, path: str, load_id: int | None = None, compact: bool = False) -> None:
+    """Adds a load to the events table.
+
+    A load that is repeated under its ``load_id`` (negative) replaces itself; without one it gets a new
+    number. Logs arrive nearly in time order, so a task writes few days and nothing is shuffled. For
+    input that mixes many days ``compact`` gathers each day first; adaptive execution sizes the files
     and splits busy days.
     """
-    stored = to_stored(df)
-    if compact:
-        stored = stored.hint("rebalance", "event_date")
-    stored.write.mode("append").partitionBy("event_date").parquet(path)
+    number = -(time.time_ns() // 1000) if load_id is None else load_id
+    if number >= 0:
+        raise ValueError("numbers from 0 belong to the ingestion stream")
+    stored = to_stored(df).withColumn("batch_id", F.lit(number).cast("bigint"))
+    write_events(stored.hint("rebalance", "event_date") if compact else stored, path)
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events table, whoever wrote it."""
+    return spark.read.schema(TABLE).parquet(path)
+
+
+def read_days(spark: SparkSession, path: str, days) -> DataFrame | None:
+    """The events of some days; only their directories are listed. None if the table has none of them."""
+    # Asking a store for a few known directories needs its own interface; listing the table would not scale.
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}") for day in days]
+    conf = spark._jsc.hadoopConfiguration()
+    there = [p.toString() for p in paths if p.getFileSystem(conf).exists(p)]
+    return spark.read.schema(TABLE).option("basePath", path).parquet(*there) if there else None
 
 
 def batch_metrics(df: DataFrame, started: Column | None = None) -> DataFrame:

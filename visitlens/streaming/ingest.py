@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from visitlens.functions.ip import subnet_of
 from visitlens.functions.labels import norm_site
-from visitlens.functions.requests import bot_headers, browser_signals, event_key, security_flags
+from visitlens.functions.requests import EVENT_KEYS, bot_headers, browser_signals, event_key, security_flags
 from visitlens.operators.classify import classify_v2, unpack
 from visitlens.operators.enrich import enrich
 from visitlens.operators.filters import (
@@ -21,11 +21,12 @@ from visitlens.operators.filters import (
     drop_scanners,
     drop_sites,
 )
-from visitlens.schema import STORED_EVENT
+from visitlens.schema import PROGRESS
 from visitlens.settings import DEFAULT, Settings
 from visitlens.sources.dims import last_mark, read_bans
-from visitlens.sources.logs import parse_logs, split_lines, stream_logs
-from visitlens.sources.sinks import batch_metrics, to_stored
+from visitlens.sources.logs import parse_logs, read_lines, split_read, stream_logs
+from visitlens.sources.sinks import read_days, to_stored, write_events
+from visitlens.streaming.scratch import staged
 
 INGEST_INTERVAL = "10 minutes"
 
@@ -59,14 +60,22 @@ def starting_mark(progress: DataFrame | None, now: dt.datetime) -> dt.datetime:
     return row[0] if row and row[0] else now - dt.timedelta(hours=1)
 
 
-def dedup_stream(df: DataFrame, keys=("id",), delay: str = "1 hour") -> DataFrame:
-    """Drops repeats of a key seen within the watermark delay; later rows count as late."""
+def dedup_stream(df: DataFrame, keys=EVENT_KEYS, delay: str = "1 hour") -> DataFrame:
+    """Drops repeats of a key seen within the watermark delay.
+
+    Rows later than the delay are dropped as well, so this is for streams whose lateness is bounded.
+    Ingestion doesn't use it: it compares every batch with the stored table.
+    """
     return df.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(list(keys))
 
 
 @dataclass(frozen=True)
 class Ingestion:
-    """Everything one ingestion run needs besides the log folder."""
+    """Everything one ingestion run needs besides the log folder.
+
+    ``since`` is a time, or ``"mark"`` to take up where the stored progress ends, an hour ago on the
+    first run. Unreadable lines go to ``bad_path`` if there is one.
+    """
 
     events_path: str
     progress_path: str
@@ -76,9 +85,22 @@ class Ingestion:
     bans_path: str | None = None
     settings: Settings = DEFAULT
     since: dt.datetime | str | None = None
-    delay: str = "1 hour"
     path_aware: bool = True
     max_files: int | None = None
+    bad_path: str | None = None
+
+
+def unstored(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+    """The rows of a batch, each once, that no other batch or load has stored, however late they come.
+
+    Only the days the batch touches are read, and of those only the keys.
+    """
+    once = batch.dropDuplicates(list(EVENT_KEYS))
+    days = [r[0] for r in batch.select(F.to_date("timestamp")).distinct().collect()]  # one value a day
+    stored = read_days(batch.sparkSession, path, days)
+    if stored is None:
+        return once
+    return once.join(stored.where(F.col("batch_id") != batch_id).select(*EVENT_KEYS), list(EVENT_KEYS), "left_anti")
 
 
 def write_batch(batch: DataFrame, batch_id: int, job: Ingestion) -> None:
@@ -88,75 +110,89 @@ def write_batch(batch: DataFrame, batch_id: int, job: Ingestion) -> None:
     after a failure replaces its own output instead of adding to it. The ban list is read anew.
     """
     spark = batch.sparkSession
-    started = F.lit(dt.datetime.now(dt.timezone.utc))
+    started = dt.datetime.now(dt.timezone.utc)
     bans = read_bans(spark, job.bans_path) if job.bans_path else None
-    events = build_events(wanted(batch, job.settings, bans), job.geo, job.networks, job.path_aware)
-    (
-        to_stored(events)
-        .withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id")
-        .parquet(job.events_path)
-    )
-    stored = stored_batch(spark, job.events_path, batch_id)
-    if stored is None:
+    batch = batch.persist()
+    fresh = unstored(wanted(batch, job.settings, bans), batch_id, job.events_path).persist()
+    written = Observation("written")
+    events = to_stored(build_events(fresh, job.geo, job.networks, job.path_aware)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    metrics = (F.max("timestamp").alias("newest"), F.max_by("cf_ray", "timestamp").alias("ray"), F.count(F.lit(1)).alias("rows"))
+    write_events(events.observe(written, *metrics), job.events_path)
+    seen = written.get
+    fresh.unpersist()
+    batch.unpersist()
+    if not seen["rows"]:
         return
-    metrics = batch_metrics(stored, started).where("records_processed > 0")
-    metrics.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("batch_id").parquet(job.progress_path)
+    now = dt.datetime.now(dt.timezone.utc)
+    row = (seen["newest"], seen["ray"], seen["rows"], int((now - started).total_seconds() * 1000), now)
+    progress = spark.createDataFrame([row], PROGRESS).withColumn("batch_id", F.lit(batch_id))
+    progress.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(job.progress_path)
+
+
+def take_lines(lines: DataFrame, batch_id: int, job: Ingestion, since: dt.datetime | None = None) -> None:
+    """Parses a batch of log lines once, stores its events and sets its unreadable lines aside."""
+    read = read_lines(lines).persist()
+    good, bad = split_read(read)
+    if job.bad_path:
+        bad.write.mode("overwrite").text(f"{job.bad_path}/batch_id={batch_id}")
+    parsed = parse_logs(good)
+    if since is not None:
+        parsed = parsed.where(F.col("timestamp") >= F.lit(since))
+    write_batch(parsed.withColumn("id", event_key(parsed.columns)), batch_id, job)
+    read.unpersist()
 
 
-def stored_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The rows a batch has stored; None while the table is still empty."""
-    layout = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in STORED_EVENT.fields)
-    table = spark.read.schema(f"{layout}, batch_id bigint").parquet(path)
-    return table.where(F.col("batch_id") == batch_id)
+def beginning(spark: SparkSession, job: Ingestion) -> dt.datetime | None:
+    """The time before which a run leaves lines out."""
+    if job.since != "mark":
+        return None if job.since is None else as_timestamp(job.since)
+    place = spark._jvm.org.apache.hadoop.fs.Path(job.progress_path)
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return starting_mark(spark.read.schema(PROGRESS).parquet(job.progress_path) if known else None, dt.datetime.now())
 
 
 def ingest_stream(spark: SparkSession, source: str, job: Ingestion, interval: str | None = None) -> StreamingQuery:
     """Starts ingestion of a log folder.
 
     Without ``interval`` it takes what is there and ends; with one, such as ``INGEST_INTERVAL``,
-    it keeps running. Offsets and seen keys live in the checkpoint.
+    it keeps running. Offsets live in the checkpoint; what is stored decides what is new.
     """
-    good, _ = split_lines(stream_logs(spark, source, job.max_files))
-    parsed = parse_logs(good)
-    if job.since is not None:
-        parsed = parsed.where(F.col("timestamp") >= F.lit(as_timestamp(job.since)))
-    keyed = dedup_stream(parsed.withColumn("id", event_key()), delay=job.delay)
+    since = beginning(spark, job)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
-        keyed.writeStream.foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, job))
+        stream_logs(spark, source, job.max_files)
+        .writeStream.foreachBatch(lambda lines, batch_id: take_lines(lines, batch_id, job, since))
         .option("checkpointLocation", job.checkpoint)
         .trigger(**trigger)
         .start()
     )
 
 
-def bad_lines_stream(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Stores the lines ingestion cannot read."""
-    _, bad = split_lines(stream_logs(spark, source))
-    return (
-        bad.writeStream.format("text")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def timeline_stream(df: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Visitors per site and tumbling window. Streams only allow an estimated distinct count."""
-    return (
+    """Visitors and requests per site and tumbling window, counted per visitor first, so both are exact."""
+    visitors = (
         df.withWatermark("timestamp", delay)
-        .groupBy(F.window("timestamp", size).alias("window"), norm_site().alias("site"))
-        .agg(F.approx_count_distinct("client_ip").alias("count"), F.count(F.lit(1)).alias("requests"))
+        .groupBy(F.window("timestamp", size).alias("window"), norm_site().alias("site"), "client_ip")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        visitors.groupBy(F.window(F.window_time("window"), size).alias("window"), "site")
+        .agg(F.count("client_ip").alias("count"), F.sum("n").alias("requests"))
         .select(F.col("window.start").alias("time_bucket"), "site", "count", "requests")
     )
 
 
+def with_open(streamed: DataFrame, batch: DataFrame, keys) -> DataFrame:
+    """What a stream has written, and from a batch run of the same report the groups it has not closed yet.
+
+    A stream keeps windows and sessions until the watermark passes them; at the end of a bounded input
+    nothing moves the watermark any more, and this completes the result.
+    """
+    # Staged, as the planner would move the anti join below the merging of sessions, which changes them.
+    whole = staged(batch, "report")
+    return streamed.unionByName(whole.join(streamed.select(*keys), list(keys), "left_anti").select(*streamed.columns))
+
+
 def sessions_stream(df: DataFrame, gap: str | Column = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Requests and span of each address's sessions, closed after ``gap`` without a request."""
     return (
