@@ -24,7 +24,7 @@ from visitlens.operators.filters import (
 from visitlens.schema import PROGRESS
 from visitlens.settings import DEFAULT, Settings
 from visitlens.sources.dims import last_mark, read_bans
-from visitlens.sources.logs import parse_logs, read_lines, split_read, stream_logs
+from visitlens.sources.logs import parse_logs, read_lines, split_lines, split_read, stream_logs
 from visitlens.sources.sinks import read_days, to_stored, write_events
 from visitlens.streaming.scratch import staged
 
@@ -168,6 +168,15 @@ def ingest_stream(spark: SparkSession, source: str, job: Ingestion, interval: st
     )
 
 
+def bad_lines_stream(
+    spark: SparkSession, source: str, path: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Stores unreadable lines only, for sources that nothing ingests; ingestion sets its own aside."""
+    _, bad = split_lines(stream_logs(spark, source))
+    writer = bad.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"processingTime": interval} if interval else {"availableNow": True})).start()
+
+
 def timeline_stream(df: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Visitors and requests per site and tumbling window, counted per visitor first, so both are exact."""
     visitors = (
