@@ -3,3 +3,65 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op2_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER own AS keep_id, count(*) OVER own AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER own AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW own AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def _time(share: str, knots: list[tuple[float, float]]) -> str:
+    """Where the integral of a line through knots reaches a share of its whole."""
+    whole = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:], strict=False))
+    cases, begin = "", 0.0
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+        end = begin + (t1 - t0) * (w0 + w1) / 2
+        rest = f"greatest({share} * {whole}::DOUBLE - {begin}::DOUBLE, 0::DOUBLE)"
+        root = f"({w0}::DOUBLE + sqrt(greatest({w0 * w0}::DOUBLE + {rest} * {2 * (w1 - w0) / (t1 - t0)}::DOUBLE, 0::DOUBLE)))"
+        cases += f" WHEN {share} * {whole}::DOUBLE < {end}::DOUBLE THEN {t0}::DOUBLE + least(2 * {rest} / {root}, {t1 - t0}::DOUBLE)"
+        begin = end
+    return f"CASE{cases} ELSE {knots[-1][0]}::DOUBLE END"
+
+
+# The schedules of the query.
+_KNOTS = ([(0.0, 1.0), (1.0, 1.0)], [(0.0, 0.5), (1.0, 1.5)], [(0.0, 1.5), (0.5, 1.0), (1.0, 0.5)])
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+ORACLES["op3_curriculum"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents
+),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+p AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, 3 * source_size AS cap FROM p),
+l AS (SELECT *, cap / weight AS level FROM w),
+f AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY level, place {_BEFORE}), 0) AS full_before, sum(source_size) OVER () AS words,
+    sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY level, place {_BEFORE}), 0) AS weight_left
+  FROM l
+),
+g AS (SELECT *, level <= (words - full_before) / weight_left AS filled FROM f),
+h AS (
+  SELECT *, words - sum(CASE WHEN filled THEN cap ELSE 0 END) OVER () AS rest,
+    sum(CASE WHEN filled THEN 0::DOUBLE ELSE weight END) OVER () AS shared
+  FROM g
+),
+t AS (SELECT source, source_size, place, CASE WHEN filled THEN cap::DOUBLE ELSE weight * (rest / shared) END AS target FROM h),
+m AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place, 2 * coalesce(sum(d.size) OVER (
+      PARTITION BY d.source ORDER BY d.digest, d.doc_id, d.size {_BEFORE}), 0) + d.size AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+),
+c AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (middle <= 2 * target)::INT + (middle + 2 * source_size <= 2 * target)::INT
+      + (middle + 4 * source_size <= 2 * target)::INT END AS copies, middle / (2 * target) AS share
+  FROM m
+)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS INT) AS copies,
+  CASE WHEN copies > 0 THEN CASE place % 3 WHEN 0 THEN {_time('share', _KNOTS[0])} WHEN 1 THEN {_time('share', _KNOTS[1])}
+    ELSE {_time('share', _KNOTS[2])} END END AS position
+FROM c
+"""
