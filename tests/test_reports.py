@@ -164,3 +164,44 @@ def test_backfill_skips_loaded_days(spark, tmp_path):
     rows = spark.read.parquet(path).collect()
     assert len(rows) == 3 and len({r.event_date for r in rows}) == 3
     assert {(r.country, r.city, r.asn, r.path, r.query_string) for r in rows} == {("DE", "T", 1, "/a?b=1", None)}
+
+
+def _scans(df, name="events.parquet"):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count(f"sf0.001/{name}")
+
+
+def test_reports_read_the_events_once(spark):
+    from visitlens.plans import investigate
+
+    fresh = web_events(spark, SF)
+    assert _scans(dashboard.filled_timeline(fresh, AS_OF, "7d")) == 1
+    # These read a staged aggregate that one pass over the events has written.
+    assert [_scans(f) for f in dashboard.dashboard(fresh, AS_OF, "7d").values()] == [0, 0, 0, 0]
+    assert _scans(investigate.ip_profile(fresh, None)) == _scans(journeys.journeys(fresh)) == 0
+    assert _scans(journeys.behavior_patterns(fresh)) == 0
+
+
+def test_limits_may_be_none(web):
+    from visitlens.plans import investigate
+
+    some = explorer.unique_ips(web, AS_OF, "30d", limit=3)
+    every = explorer.unique_ips(web, AS_OF, "30d", limit=None)
+    assert some.count() == 3 < every.count()
+    assert explorer.subnet_clusters(web, AS_OF, "30d", limit=None).count() >= explorer.subnet_clusters(web, AS_OF, "30d").count()
+    sites = investigate.hosting_humans(web, sample=None).collect()
+    assert all(len(r.sample_ips) == r.unique_ips for r in sites)
+
+
+def test_unknown_commands_get_suggestions(web):
+    assert explorer.explore(web, "xyzzy", AS_OF) is None
+    assert all(explorer.explore(web, s, AS_OF) is not None for s in explorer.suggestions())
+
+
+def test_row_jobs_in_place_equal_their_change_sets(web):
+    from visitlens.operators import changes, reclassify
+
+    for job in ("full_rerun", "undetermined_rerun", "as_monitoring", "hosting_networks"):
+        change_set = getattr(reclassify, job)(web)
+        columns = [c for c, kind in web.dtypes if not kind.startswith("map")]
+        a, b = changes.apply_changes(web, change_set).select(columns), reclassify.applied(web, job).select(columns)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
