@@ -83,3 +83,13 @@ def test_small_table(sf_docs):
 
 def test_empty_table(docs_of):
     assert suffix_dedup.without_repeats(docs_of([])).count() == 0
+
+
+def test_short_common_prefixes_may_be_left_out():
+    rng = random.Random(4)
+    for _ in range(60):
+        s = np.array([rng.randint(1, 2) for _ in range(rng.randint(1, 80))] + [0])
+        hashes = suffix_dedup.Hashes(suffix_dedup.mix(s.astype(np.uint64) + np.uint64(9)), suffix_dedup.Powers())
+        order = suffix_dedup.suffix_array(s)
+        whole = suffix_dedup.common_prefixes(order, s, hashes, 100)
+        assert suffix_dedup.common_prefixes(order, s, hashes, 100, 4).tolist() == np.where(whole >= 4, whole, 0).tolist()

@@ -20,8 +20,15 @@ from pyspark.sql import functions as F
 
 from visitlens.llm.shared import attach, may_contain, stage, total
 
-#: Fingerprints that a task sorts and sends at a time, and that an owner should get.
-CHUNK, OWNED = 1 << 22, 1 << 24
+#: Fingerprints that a task sorts and sends at a time.
+CHUNK = 1 << 22
+#: Fingerprints for an owner at most; fewer while there are less than so many owners, but so many at least.
+OWNED, OWNERS, LEAST = 1 << 24, 64, 1 << 12
+
+
+def owners_for(n: int) -> int:
+    """Owners of hash ranges for ``n`` fingerprints."""
+    return max(1, math.ceil(n / OWNED), min(OWNERS, math.ceil(n / LEAST)))
 
 
 def golomb(values: np.ndarray) -> bytes:
@@ -53,7 +60,7 @@ def ungolomb(data: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def messages(fingerprints: DataFrame, owners: int, chunk: int = CHUNK) -> DataFrame:
+def messages(fingerprints: DataFrame, owners: int, chunk: int) -> DataFrame:
     """Of a column of longs: a row for each task, chunk and owner, with the coded list and marks of local repeats."""
     names = ["sender", "owner", "n", "payload", "repeats"]
 
@@ -96,8 +103,9 @@ def reply(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sender": lists["sender"], "owner": lists["owner"], "marks": marks})
 
 
-def suspects(fingerprints: DataFrame, owners: int, chunk: int = CHUNK) -> DataFrame:
+def suspects(fingerprints: DataFrame, owners: int, chunk: int | None = None) -> DataFrame:
     """The distinct fingerprints that occur more than once, by the exchange."""
+    chunk = chunk or CHUNK
     sent = stage(messages(fingerprints, owners, chunk), "fingerprints")
     replies = sent.select("sender", "owner", "payload").groupBy("owner").applyInPandas(reply, "sender long, owner int, marks binary")
 
@@ -120,9 +128,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     gives none.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = total(rows)
-    owners = max(1, math.ceil(n / OWNED), min(64, math.ceil(n / (1 << 14))))
-    marked = stage(suspects(rows.select(F.xxhash64("text")), owners), "suspects")
+    marked = stage(suspects(rows.select(F.xxhash64("text")), owners_for(total(rows))), "suspects")
     texts = may_contain(rows.withColumn("fingerprint", F.xxhash64("text")), "fingerprint", marked, "fingerprint")
     equal = texts.groupBy("fingerprint", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = stage(

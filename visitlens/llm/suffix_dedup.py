@@ -10,7 +10,6 @@ that hold it occur twice or more. Equal contexts are laid out once, with their n
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.exact_dedup import CHUNK, OWNED, suspects
+from visitlens.llm.exact_dedup import owners_for, suspects
 from visitlens.llm.shared import attach, may_contain, mix, row_key, stage, total, with_maybe
 
 #: Bytes of a repeated string, and of an anchor.
@@ -26,7 +25,7 @@ WIDTH, ANCHOR = 200, 32
 #: Bytes of text that a task looks at together.
 PIECE = 1 << 20
 #: Bytes of contexts in a shard; an anchor with more contexts than ``CROWD`` is split by window instead.
-SHARD, CROWD = 4 << 20, 4096
+SHARD, CROWD = 2 << 20, 4096
 #: Symbols up to which a reduced string is sorted by induction again; beyond, by doubling of ranks.
 WIDE = 1024
 
@@ -272,8 +271,8 @@ def suffix_array(s: np.ndarray, hashes: Hashes | None = None) -> np.ndarray:
     return induced(s, small, sizes, final)
 
 
-def common_prefixes(order: np.ndarray, marks: np.ndarray, hashes: Hashes, most: int) -> np.ndarray:
-    """For each place, the common prefix with the suffix before it in order, ``most`` at most.
+def common_prefixes(order: np.ndarray, marks: np.ndarray, hashes: Hashes, most: int, least: int = 0) -> np.ndarray:
+    """For each place, the common prefix with the suffix before it in order, ``most`` at most; 0 if under ``least``.
 
     It is worked out by bisection where the bytes before differ; one place further on it is one less.
     """
@@ -285,8 +284,11 @@ def common_prefixes(order: np.ndarray, marks: np.ndarray, hashes: Hashes, most:
     reducible = known & (place > 0) & (before > 0)
     reducible[reducible] = marks[place[reducible] - 1] == marks[before[reducible] - 1]
     own = np.flatnonzero(~reducible)
+    if least:
+        own = own[known[own] & (np.maximum(own, before[own]) + least <= n)]
+        own = own[hashes.of(own, own + least) == hashes.of(before[own], before[own] + least)]
     a, b = own, np.maximum(before[own], 0)
-    low, high = np.zeros(len(own), np.int64), np.where(known[own], np.minimum(most, n - np.maximum(a, b)), 0)
+    low, high = np.full(len(own), least), np.where(known[own], np.minimum(most, n - np.maximum(a, b)), 0)
     while (low < high).any():
         middle = low + high + 1 >> 1
         same = hashes.of(a, a + middle) == hashes.of(b, b + middle)
@@ -294,7 +296,8 @@ def common_prefixes(order: np.ndarray, marks: np.ndarray, hashes: Hashes, most:
     prefix = np.zeros(n, np.int64)
     prefix[own] = low
     last = np.maximum.accumulate(np.where(reducible, -1, place))
-    return np.maximum(prefix[last] - (place - last), 0)
+    found = np.maximum(prefix[last] - (place - last), 0)
+    return np.where(found >= least, found, 0)
 
 
 def repeated_windows(texts: list[bytes], weights: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -310,7 +313,7 @@ def repeated_windows(texts: list[bytes], weights: np.ndarray, width: int = WIDTH
     values[ends] = mix(np.arange(1, len(ends) + 1, dtype=np.uint64) + np.uint64(1 << 40))
     hashes = Hashes(values, Powers())
     order = suffix_array(s, hashes)
-    prefix = common_prefixes(order, values, hashes, 4 * width)
+    prefix = common_prefixes(order, values, hashes, 4 * width, width)
     text = np.repeat(np.arange(len(texts)), lengths + 1)
     weight = np.zeros(len(s), np.int64)
     at = np.arange(len(data))
@@ -373,9 +376,8 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     flat = found.select("row_key", F.explode(F.arrays_zip("begins", "ends", "anchors", "hashes")).alias("c")).select(
         "row_key", F.col("c.begins").alias("begin"), F.col("c.ends").alias("end"), F.col("c.anchors").alias("anchor"), F.col("c.hashes").alias("hash")
     )
-    n = total(found, F.size("anchors"))
-    owners = max(1, math.ceil(n / OWNED), min(64, math.ceil(n / (1 << 16))))
-    shared = stage(suspects(found.select(F.explode("anchors")), owners, CHUNK), "shared-anchors")
+    owners = owners_for(total(found, F.size("anchors")))
+    shared = stage(suspects(found.select(F.explode("anchors")), owners), "shared-anchors")
     places = stage(may_contain(flat, "anchor", shared, "fingerprint"), "places")
     kinds = places.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "begin", "end")).alias("one"))
     kinds = stage(kinds, "contexts")
