@@ -80,10 +80,16 @@ def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
     return items.mapInArrow(run, f"seed bigint, item_id {kind}, item_at int").distinct()
 
 
+def slots(seeds_: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of a seed in the filter: its lower and its upper half."""
+    return (seeds_ & np.uint64(bits - 1)).astype(np.int64), (seeds_ >> np.uint64(40) & np.uint64(bits - 1)).astype(np.int64)
+
+
 def seed_filter(table: DataFrame, bits: int = SEED_BITS) -> np.ndarray:
-    """One bit for each slot that a benchmark seed falls into; its size doesn't depend on the benchmark."""
+    """Bits for the two slots that each benchmark seed falls into; its size doesn't depend on the benchmark."""
+    both = F.array(F.col("seed").bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned("seed", 40).bitwiseAND(F.lit(bits - 1)))
     rows = (
-        table.select(F.pmod("seed", F.lit(bits)).alias("slot"))
+        table.select(F.explode(both).alias("slot"))
         .groupBy((F.col("slot") / 32768).cast("int").alias("no"))
         .agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
         .collect()
@@ -109,8 +115,8 @@ def hit_stretches(docs: DataFrame, masks: list[str], present: np.ndarray, reach:
                 found, places = [], []
                 for number, mask in enumerate(masks):
                     own = seeds(words, mask, number)
-                    slot = own.view(np.int64) % bits
-                    at = np.flatnonzero(present[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    one, two = slots(own, bits)
+                    at = np.flatnonzero(present[one >> 3] >> (one & 7).astype(np.uint8) & present[two >> 3] >> (two & 7).astype(np.uint8) & 1)
                     found.append(own[at])
                     places.append(at)
                 at = np.concatenate(places)
