@@ -16,8 +16,8 @@ from visitlens.llm.shared import attach, stage, total
 
 #: Rounds of propagation; it ends earlier when nothing moves.
 ROUNDS = 8
-#: Rows that one window of a running count should hold.
-RUN = 4096
+#: Rows that one window of a running count should hold, at least and at most.
+RUN = (64, 4096)
 #: Steps of an admission quota.
 STEPS = 1 << 20
 
@@ -113,9 +113,10 @@ def balanced_shards(rows: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> D
     known = stage(attach(rows, groups, "link", "link_n").withColumn("shard", F.pmod("seed", F.lit(shards)).cast("int")), "start")
     linked = propagate(stage(known.filter("link_n is not null"), "labels"), quotas, rounds)
     # Groups stay together in a run; one larger than a run is spread over runs of its own by its rows' seeds.
-    runs = max(1, n // RUN)
+    run = min(RUN[1], max(RUN[0], n // 2000))
+    runs = max(1, n // run)
     band = F.pmod(F.xxhash64("link"), F.lit(runs)).cast("int")
-    part = F.pmod(F.col("seed"), F.greatest(F.lit(1), F.col("link_n") / RUN).cast("long")).cast("int")
+    part = F.pmod(F.col("seed"), F.greatest(F.lit(1), F.col("link_n") / run).cast("long")).cast("int")
     order, splits = ["link", "seed", "doc_id"], ["over", "band", "part_no"]
     bands = linked.withColumns({"over": F.lit(0), "band": band, "part_no": part})
     placed = stage(ranked(bands, ["shard"], order, splits, "slot"), "placed")
