@@ -24,11 +24,11 @@ from visitlens.llm.shared import attach, mix, row_key, stage, total, with_maybe,
 #: Words in an n-gram, and the similarity that links, in hundredths.
 N, PERCENT = 5, 75
 #: N-grams and documents that a task sends at a time.
-CHUNK, CHUNK_DOCS = 1 << 22, 1 << 16
-#: Bytes of text for each owner of a hash range.
-OWNED = 16 << 20
+CHUNK, CHUNK_DOCS = 1 << 21, 1 << 16
+#: Bytes of text for each owner of a hash range, and owners at least, so that small tables use all executors.
+OWNED, OWNERS = 8 << 20, 32
 #: Documents that are indexed at a time.
-BLOCK = 2048
+BLOCK = 1024
 #: Weight of merging against probing when the long lists are chosen.
 MU = 0.01
 #: Candidates that are probed together.
@@ -386,7 +386,7 @@ def members(docs: DataFrame) -> DataFrame:
     another; rows that repeat a doc_id are rows of their own. Other columns are ignored; an empty table gives none.
     """
     size = total(docs, F.octet_length("text"))
-    owners = max(1, math.ceil(size / OWNED))
+    owners = max(OWNERS, math.ceil(size / OWNED))
     answers = stage(send(docs, owners).groupBy("key").applyInArrow(lambda t: reply(t), REPLY), "replies", "zstd")
     rows = stage(answers.groupBy("chunk").applyInArrow(lambda t: gather(t), GATHERED), "documents", "zstd")
     sets = rows.filter("tokens is not null").select("gid", "n", "tokens", "heads")
