@@ -25,7 +25,9 @@ WIDTH, ANCHOR = 200, 32
 #: Bytes of text that a task looks at together.
 PIECE = 1 << 20
 #: Bytes of contexts in a shard; an anchor with more contexts than ``CROWD`` is split by window instead.
-SHARD, CROWD = 2 << 20, 4096
+SHARD, CROWD = 1 << 20, 4096
+#: Texts that a task rewrites at a time.
+SLICE = 256
 #: Symbols up to which a reduced string is sorted by induction again; beyond, by doubling of ranks.
 WIDE = 1024
 
@@ -348,9 +350,9 @@ def cut_out(texts: DataFrame, width: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
             rows: list[tuple] = []
-            for text, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 data = text.as_py().encode()
-                for w in wanted:
+                for w in wanted.as_py():
                     own = data[w["begin"] : w["end"]]
                     if not w["crowded"]:
                         rows.append((w["hash"], w["anchor"], w["n"], None, None, own))
@@ -440,11 +442,11 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             rows = []
-            for text, begins, ends in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for text, begins, ends in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 data = text.as_py().encode()
-                kept, n = kept_bytes(data, begins or [], ends or [])
+                kept, n = kept_bytes(data, begins.as_py() or [], ends.as_py() or [])
                 rows.append((len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
