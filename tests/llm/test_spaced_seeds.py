@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -85,3 +87,44 @@ def test_empty_tables(spark, docs_of, bench, odd_rows):
     none = spark.createDataFrame([], "item_id long, text string")
     assert spaced_seeds.judged(docs_of([]), bench).count() == 0
     assert spaced_seeds.decontaminated(docs_of(odd_rows), none).count() == len(odd_rows)
+
+
+def by_rule(doc, own):
+    """Whether any stretch of any diagonal has enough words, four of five of them equal."""
+    least = min(13, len(own))
+    shifts = np.subtract.outer(np.arange(len(doc)), np.arange(len(own)))[doc[:, None] == own[None, :]]
+    for shift in (x for x in np.unique(shifts) if (shifts == x).sum() * 5 >= least * 4):
+        begin, end = max(0, shift), min(len(doc), shift + len(own))
+        sums = np.concatenate([[0], np.cumsum(doc[begin:end] == own[begin - shift : end - shift])])
+        if any(5 * (sums[j] - sums[i]) >= 4 * (j - i) for i in range(len(sums)) for j in range(i + least, len(sums))):
+            return True
+    return False
+
+
+@pytest.mark.parametrize(("n", "differing"), [(5, 1), (9, 1), (10, 2), (12, 2), (13, 2), (15, 3), (20, 4)])
+def test_overlap_with_differing_words_anywhere(n, differing):
+    own = np.arange(n)
+    for places in combinations(range(n), differing):
+        doc = np.concatenate([np.full(7, -1), own, np.full(9, -2)])
+        doc[[7 + x for x in places]] = -3
+        length, equal, _ = spaced_seeds.best_overlap(doc, own, 7)
+        assert length >= min(13, n) and 5 * equal >= 4 * length
+        first = next(x for x in range(n) if x not in places)
+        doc[7 + first] = -3
+        assert bool(spaced_seeds.best_overlap(doc, own, 7)[0]) == by_rule(doc, own)
+
+
+def test_longest_overlap_of_a_diagonal():
+    rng = np.random.default_rng(5)
+    for n in (6, 13, 30, 60):
+        for _ in range(300):
+            own = np.arange(n)
+            doc = np.where(rng.random(n) < rng.choice([0.6, 0.75, 0.85]), own, -1)
+            assert bool(spaced_seeds.best_overlap(doc, own, 0)[0]) == by_rule(doc, own)
+
+
+def test_small_table_against_the_rule(spark, sf_docs):
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    items = [word_hashes(r.text) for r in bench.collect()]
+    want = {r.doc_id for r in sf_docs.collect() if any(by_rule(word_hashes(r.text or ""), own) for own in items)}
+    assert {k for k, r in judged(sf_docs, bench).items() if r.contaminated} == want

@@ -22,8 +22,8 @@ MASKS = ("110110010111", "111001011011", "101110101101")
 WORDS, EQUAL = 13, 0.8
 #: Shorter items are too common to decide anything.
 SHORTEST = 5
-#: A differing word costs as much as so many equal ones when an overlap is extended.
-MISMATCH = 2
+#: A differing word needs so many equal ones beside it.
+MISMATCH = round(EQUAL / (1 - EQUAL))
 #: Bits of the filter that spares hits without a partner: 2 MB, whatever the benchmark.
 SEED_BITS = 1 << 24
 
@@ -140,15 +140,28 @@ def hit_stretches(docs: DataFrame, masks: list[str], present: np.ndarray, reach:
 
 
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Length, equal words and begin (in the document) of the best stretch of one diagonal."""
+    """Length, equal words and begin (in the document) of the longest overlap on one diagonal, or zeros.
+
+    Every stretch of at least ``WORDS`` words (or the whole shorter item) with a share of ``EQUAL`` is an overlap.
+    Differing words at the ends of the longest one are left out as far as enough words remain.
+    """
+    least = min(WORDS, len(item))
     begin, end = max(0, shift), min(len(doc), shift + len(item))
-    if end <= begin:
+    if end - begin < least:
         return 0, 0, 0
     equal = doc[begin:end] == item[begin - shift : end - shift]
     ups = np.concatenate([[0], np.cumsum(np.where(equal, 1, -MISMATCH))])
-    low = np.minimum.accumulate(ups)
-    last = int(np.argmax(ups - low))
-    first = int(np.flatnonzero(ups[: last + 1] == low[last])[-1])
+    # By end: the first place whose sum isn't above the one at the end.
+    firsts = np.searchsorted(-np.minimum.accumulate(ups), -ups)
+    lengths = np.arange(len(ups)) - firsts
+    last = int(np.argmax(lengths))
+    first = int(firsts[last])
+    if last - first < least:
+        return 0, 0, 0
+    while last - first > least and not equal[last - 1]:
+        last -= 1
+    while last - first > least and not equal[first]:
+        first += 1
     return last - first, int(equal[first:last].sum()), begin + first
 
 
@@ -182,7 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
             for key, begin, item_id, shift, words, item in zip(*batch.columns, strict=True):
                 own = np.asarray(item.as_py(), np.int64)
                 length, equal, at = best_overlap(np.asarray(words.as_py(), np.int64), own, shift.as_py())
-                if length >= min(WORDS, len(own)) and equal >= EQUAL * length:
+                if length:
                     rows.append((key.as_py(), item_id.as_py(), length, equal, begin.as_py() + at))
             if rows:
                 kinds = [pa.int64(), batch.schema.field(2).type, pa.int32(), pa.int32(), pa.int32()]
