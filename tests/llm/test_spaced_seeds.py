@@ -128,3 +128,30 @@ def test_small_table_against_the_rule(spark, sf_docs):
     items = [word_hashes(r.text) for r in bench.collect()]
     want = {r.doc_id for r in sf_docs.collect() if any(by_rule(word_hashes(r.text or ""), own) for own in items)}
     assert {k for k, r in judged(sf_docs, bench).items() if r.contaminated} == want
+
+
+@pytest.mark.parametrize(("n", "differing"), [(13, 2), (15, 3), (20, 4), (25, 5)])
+def test_masks_fit_between_differing_words_anywhere(n, differing):
+    kept = [sum(1 << i + at for i, on in enumerate(m) if on == "1") for m in spaced_seeds.MASKS for at in range(n - len(m) + 1)]
+    bad = np.array([sum(1 << x for x in places) for places in combinations(range(n), differing)])
+    hit = np.zeros(len(bad), bool)
+    for mask in kept:
+        hit |= bad & mask == 0
+    assert hit.all()
+
+
+def test_substitutions_at_every_place_are_found(spark, docs_of):
+    sizes = [5, 6, 7, 8, 9, 10, 11, 12, 13, 15]
+    bench = spark.createDataFrame([(n, " ".join(item(n, n))) for n in sizes], "item_id long, text string")
+    rows, want = [], {}
+    for n in sizes:
+        for more in (0, 1):
+            for places in combinations(range(n), n // 5 + more):
+                words = item(n, n)
+                for x in places:
+                    words[x] = "other"
+                words = ["before", *words, "after"]
+                want[len(rows)] = more == 0 or by_rule(word_hashes(" ".join(words)), word_hashes(" ".join(item(n, n))))
+                rows.append((len(rows), " ".join(words)))
+    got = judged(docs_of(rows), bench)
+    assert {k for k, r in got.items() if r.contaminated} == {k for k, w in want.items() if w}

@@ -1,13 +1,15 @@
 """Benchmark decontamination with spaced seeds.
 
-A mask names the word positions of a span that count; the others may differ, so a passage with a replaced word
-still shares seeds. Seeds of the benchmark and of the documents are joined on their hash, hits on one diagonal
-are put together, and the words around them are compared position by position.
+A mask names the word positions of a span that count; the others may differ, so a passage with replaced words
+still shares seeds. The masks miss no overlap that the rule admits, wherever its words differ. Seeds of the
+benchmark and of the documents are joined on their hash, hits on one diagonal are put together, and the words
+around them are compared position by position.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from visitlens.llm.shared import mix, row_key, stage, without, word_hashes
 
-#: Positions of a span that count.
-MASKS = ("110110010111", "111001011011", "101110101101")
+#: Positions of a span that count. One of them fits into every overlap of 13 words with two differing, 15 with three,
+#: 20 with four and 25 with five; any longer overlap holds one of 13 to 25 words.
+MASKS = ("1101111", "11100010011", "1010000101011")
 #: An overlap counts from so many words on, or from the whole item if that is shorter, with such a share equal.
 WORDS, EQUAL = 13, 0.8
 #: Shorter items are too common to decide anything.
@@ -28,8 +31,10 @@ MISMATCH = round(EQUAL / (1 - EQUAL))
 SEED_BITS = 1 << 24
 
 
-def short_mask(length: int) -> str:
-    return "1" * length
+def short_masks(length: int) -> list[str]:
+    """Masks for items under ``WORDS`` words: five blocks, less as many of them as words may differ."""
+    blocks = np.arange(length) * 5 // length
+    return ["".join("01"[b not in gone] for b in blocks) for gone in combinations(range(5), length // (MISMATCH + 1))]
 
 
 def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
@@ -44,11 +49,10 @@ def seeds(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return total
 
 
-def masks_for(items: DataFrame, masks: Sequence[str]) -> list[str]:
-    """The masks, and a full one for each length of items shorter than their span: a dozen at most."""
-    span = max(map(len, masks))
-    short = items.filter((F.size("words") < span) & (F.size("words") >= SHORTEST)).select(F.size("words")).distinct()
-    return [*masks, *(short_mask(n) for (n,) in sorted(short.collect()))]
+def masks_for(items: DataFrame, masks: Sequence[str]) -> list[tuple[str, int]]:
+    """The masks, with 0, and those of each length of shorter items that occurs, with that length: 58 at most."""
+    short = items.filter((F.size("words") < WORDS) & (F.size("words") >= SHORTEST)).select(F.size("words")).distinct()
+    return [*((m, 0) for m in masks), *((m, n) for (n,) in sorted(short.collect()) for m in short_masks(n))]
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
@@ -63,13 +67,13 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, words array<bigint>").filter(F.size("words") >= SHORTEST)
 
 
-def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+def item_seeds(items: DataFrame, masks: list[tuple[str, int]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, words in zip(batch.column(0), batch.column(1), strict=True):
                 own = np.asarray(words.as_py(), np.int64).view(np.uint64)
-                for number, mask in enumerate(masks):
-                    if number >= len(MASKS) and len(own) != len(mask):
+                for number, (mask, length) in enumerate(masks):
+                    if length != (len(own) if len(own) < WORDS else 0):
                         continue
                     found = seeds(own, mask, number)
                     places = pa.array(np.arange(len(found), dtype=np.int32))
@@ -100,7 +104,7 @@ def seed_filter(table: DataFrame, bits: int = SEED_BITS) -> np.ndarray:
     return found.reshape(-1)
 
 
-def hit_stretches(docs: DataFrame, masks: list[str], present: np.ndarray, reach: int) -> DataFrame:
+def hit_stretches(docs: DataFrame, masks: list[tuple[str, int]], present: np.ndarray, reach: int) -> DataFrame:
     """Stretches of documents around possible hits: their words, and the seeds that hit with their places.
 
     Stretches of a document are as far apart as an item can reach, so an overlap lies in one of them.
@@ -113,7 +117,7 @@ def hit_stretches(docs: DataFrame, masks: list[str], present: np.ndarray, reach:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 words = word_hashes(text.as_py() or "")
                 found, places = [], []
-                for number, mask in enumerate(masks):
+                for number, (mask, _) in enumerate(masks):
                     own = seeds(words, mask, number)
                     one, two = slots(own, bits)
                     at = np.flatnonzero(present[one >> 3] >> (one & 7).astype(np.uint8) & present[two >> 3] >> (two & 7).astype(np.uint8) & 1)
@@ -175,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     used = masks_for(items, masks)
     table = stage(item_seeds(items, used), "item-seeds")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
-    reach = longest + max(map(len, used))
+    reach = longest + max(len(mask) for mask, _ in used)
     stretches = stage(hit_stretches(docs, used, seed_filter(table), reach).dropDuplicates(["row_key", "begin"]), "stretches")
     hits = stretches.select("row_key", "begin", F.explode(F.arrays_zip("seeds", "places")).alias("hit"))
     pairs = (
