@@ -89,3 +89,19 @@ def test_empty_table(docs_of):
 def test_other_columns_may_clash(docs_of):
     docs = docs_of([(1, "a b"), (2, "c")]).selectExpr("doc_id", "text", "1 as part", "2 as block", "3 as start", "4 as ids")
     assert huffman.encode_and_read(docs, tokenizer_path()).count() == 2
+
+
+MARKED = ["a <|endoftext|> b", "<|startoftext|>One<|endoftext|><|endoftext|>", "é <|EndOfText|> <|endoftext| >", "日本 <|endoftext|>"]
+
+
+@pytest.mark.parametrize("text", MARKED)
+def test_markers_in_a_text_are_read_as_the_tokenizer_reads_them(encoder, whole, text):
+    ids = np.frombuffer(encoder.text(text), "<u2").tolist()
+    assert ids == whole.encode(text, add_special_tokens=False).ids
+    assert (49407 in ids) == ("<|endoftext|>" in text) and (49406 in ids) == ("<|startoftext|>" in text)
+
+
+def test_files_with_markers_read_back(docs_of, whole):
+    rows = [(i, text) for i, text in enumerate([*MARKED, "the last one"])]
+    got = huffman.encode_and_read(docs_of(rows), tokenizer_path()).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == expected(rows, whole)

@@ -40,7 +40,8 @@ class Encoder(dict):
 
     The tokenizer drops white space and splits nothing across it, so a text's ids are those of its words in a
     row. Texts without control characters below U+0300 are in NFC and have lower case letter by letter, so
-    their words go to the model piece by piece; anything else goes through the whole tokenizer.
+    their words go to the model piece by piece; anything else, and a text in which an added token of the file
+    occurs, goes through the whole tokenizer.
     """
 
     def __init__(self, json: str, dtype: str) -> None:
@@ -48,6 +49,8 @@ class Encoder(dict):
 
         self.whole, self.dtype = Tokenizer.from_str(json), dtype
         self.by_piece = PRETOKEN in json.replace("\\\\", "\\") and '"Lowercase"' in json and '"ByteLevel"' in json
+        self.added = [t.content.lower() for t in self.whole.get_added_tokens_decoder().values()]
+        self.by_piece &= not any(c.isspace() for t in self.added for c in t)
         self.find = regex.compile(PRETOKEN).findall
         self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -82,7 +85,9 @@ class Encoder(dict):
     def text(self, text: str) -> bytes:
         data = text.encode()
         if self.by_piece and not data.translate(None, LOW):
-            return b"".join(map(self.__getitem__, text.lower().encode().split()))
+            lower = text.lower()
+            if not any(t in lower for t in self.added):
+                return b"".join(map(self.__getitem__, lower.encode().split()))
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
