@@ -104,3 +104,24 @@ def test_pages(spark):
     got = sorted(map(tuple, html_text.extracted(pages.selectExpr("*", "'x' as text", "1 as n_chars")).collect()), key=repr)
     assert got == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (2, None, "", 0), (None, "u", "", 0)], key=repr)
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<a title=\"today's news\">Link</a><p>I don't know</p>", "Link\n\nI don't know"),
+        ("<a title='say \"x'>Link</a> and \"more\"", 'Link and "more"'),
+        ("<a title=\"it's > that\" alt='5\" > 4\"'>Link</a> it's", "Link it's"),
+        ("<a title=it's>Link</a> it's", "Link it's"),
+        ('<a it"s title="a">Link</a> "b"', 'Link "b"'),
+        ("<a title = 'x > y' / >Link</a>", "Link"),
+        (f'<a title="{"x > y " * 2000}">Link</a>', "Link"),
+        ('<a title="x>Link</a><p>more', "Link\n\nmore"),
+        ("<a title='x>Link</a><p>more", "Link\n\nmore"),
+        ('<a title=">Link</a><a href="x">two</a>', "two"),
+        ('<a x="1""y="z > ">Link</a>', "Link"),
+        ('<a x=">Link "more', 'Link "more'),
+    ],
+)
+def test_quotes_in_tags(html, text):
+    assert visible_text(html) == text

@@ -44,6 +44,8 @@ DEPTH = 150
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/\"']|$)|style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden", re.I)
+#: One attribute: name, and value in double quotes, in single quotes or without. It stops at the > or at a quote that never closes.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)?))?)?""")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -60,15 +62,18 @@ class Node:
 
 
 def tag_end(html: str, at: int) -> int:
-    """Place of the > that ends a tag, past quoted ones; one whose quote never closes ends at its first >."""
-    end = first = html.find(">", at)
-    while end >= 0:
-        inside = html[at:end]
-        quote = next((q for q in "\"'" if "=" in inside and inside.count(q) % 2), None)
-        if quote is None:
-            return end
-        close = html.find(quote, end, end + 4096)  # longer attributes with a > are taken as unclosed
-        end = html.find(">", close) if close >= 0 else -1
+    """Place of the > that ends a tag, past quoted values; one whose quote never closes, or
+    that has no such >, ends at its first."""
+    first = html.find(">", at)
+    if first < 0 or "=" not in html[at:first]:
+        return first
+    while at < len(html):
+        found = _ATTRIBUTE.match(html, at)
+        at = found.end()
+        if html.startswith(">", at):
+            return at
+        if html.startswith(('"', "'"), at) and found[2] is None and found[3] is None:
+            return first
     return first
 
 
