@@ -125,3 +125,28 @@ def test_pages(spark):
 )
 def test_quotes_in_tags(html, text):
     assert visible_text(html) == text
+
+
+@pytest.mark.parametrize(
+    ("start", "shown"),
+    [
+        ('<div style="overflow: hidden">', True),
+        ('<div title="the hidden valley" class="md hidden">', True),
+        ('<div data-a="x hidden" data-type="hidden" data-style="display:none">', True),
+        ('<div type="hidden">', True),
+        ('<div style="background: url(x?display:none); --visibility: hidden">', True),
+        ('<div style="display:none; display: block">', True),
+        ("<div class='hidden' hidden>", False),
+        ("<div HIDDEN=''>", False),
+        ("<div style='color: red; Display : None !important; display: block'>", False),
+        ("<div style=visibility:hidden>", False),
+        ("<div style='visibility: collapse'>", False),
+    ],
+)
+def test_hidden_elements(start, shown):
+    assert visible_text(f"{start}text</div>") == ("text" if shown else "")
+
+
+def test_attributes_are_names_not_words_of_values():
+    assert visible_text('<details class="open"><summary>s</summary>no</details>') == "s"
+    assert visible_text('<select><option>a<option class="selected">b</select>') == "a"

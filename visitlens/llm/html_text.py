@@ -43,22 +43,42 @@ ENDS = {
 DEPTH = 150
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_HIDDEN = re.compile(r"(?:^|[\s\"'/])hidden(?=[\s=/\"']|$)|style\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden", re.I)
 #: One attribute: name, and value in double quotes, in single quotes or without. It stops at the > or at a quote that never closes.
 _ATTRIBUTE = re.compile(r"""[\s/]*+(?:(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)?))?)?""")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
-def number(attributes: str, name: str, least: int = 1, most: int = 1000) -> int:
-    found = re.search(rf"\b{name}\s*=\s*[\"']?\s*(\d{{1,6}})", attributes, re.I)
+def number(attributes: dict[str, str], name: str, least: int = 1, most: int = 1000) -> int:
+    found = re.match(r"\s*(\d{1,6})", attributes.get(name, ""))
     return min(most, max(least, int(found[1]))) if found else least
 
 
+def parsed(text: str) -> dict[str, str]:
+    """Names and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for found in _ATTRIBUTE.finditer(text):
+        if found[1]:
+            out.setdefault(found[1].lower(), unescape(found[2] or found[3] or found[4] or ""))
+    return out
+
+
+def hidden_by(style: str) -> bool:
+    """Whether the declarations of a style attribute hide its element; the last of a property counts, important ones first."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in re.sub(r"/\*.*?\*/", "", style, flags=re.S).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        name, important = name.strip(), bool(mark)
+        if important >= found.get(name, (False, ""))[0]:
+            found[name] = important, value.strip()
+    return found.get("display", (0, ""))[1] == "none" or found.get("visibility", (0, ""))[1] in ("hidden", "collapse")
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children = tag, parsed(attributes) if attributes else {}, []
 
 
 def tag_end(html: str, at: int) -> int:
@@ -132,20 +152,23 @@ def tree(html: str) -> Node:
             node.children.append(html[at:stop] if tag in ("xmp", "style", "script") else unescape(html[at:stop]))
             after = html.find(">", stop)
             at = n if after < 0 else after + 1
-        elif tag not in VOID and len(stack) < DEPTH and not (node.attributes.endswith("/") and tag in ("svg", "path")):
+        elif tag not in VOID and len(stack) < DEPTH and not (html[end - 1] == "/" and tag in ("svg", "path")):
             stack.append(node)
     return root
 
 
 def seen(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attributes and _HIDDEN.search(node.attributes))
+    if node.tag in UNSEEN:
+        return False
+    own = node.attributes
+    return not own or not ("hidden" in own or "style" in own and hidden_by(own["style"]) or node.tag == "input" and own.get("type", "").strip().lower() == "hidden")
 
 
 def render(node: Node, kept: bool = False) -> list[str | None]:
     """Lines of an element's content; None stands for a gap of one blank line."""
     lines: list[str | None] = []
     row: list[str] = []
-    count = number(node.attributes, "start", 0) if node.tag == "ol" and "start" in node.attributes.lower() else 1
+    count = number(node.attributes, "start", 0) if node.tag == "ol" and "start" in node.attributes else 1
 
     def flush() -> None:
         text = "".join(row)
@@ -166,9 +189,9 @@ def render(node: Node, kept: bool = False) -> list[str | None]:
                 row.append("\n" if kept else "\0")
             elif child.tag == "select":
                 options = [x for x in child.children if isinstance(x, Node) and x.tag == "option"]
-                chosen = next((x for x in options if re.search(r"\bselected\b", x.attributes, re.I)), options[0] if options else None)
+                chosen = next((x for x in options if "selected" in x.attributes), options[0] if options else None)
                 walk(chosen.children if chosen else child.children)
-            elif child.tag == "details" and not re.search(r"\bopen\b", child.attributes, re.I):
+            elif child.tag == "details" and "open" not in child.attributes:
                 flush()
                 walk([x for x in child.children if isinstance(x, Node) and x.tag == "summary"])
             elif child.tag in BLOCK:
