@@ -150,3 +150,21 @@ def test_hidden_elements(start, shown):
 def test_attributes_are_names_not_words_of_values():
     assert visible_text('<details class="open"><summary>s</summary>no</details>') == "s"
     assert visible_text('<select><option>a<option class="selected">b</select>') == "a"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<head><title>T</title><p>Text</p>", "Text"),
+        ("<html><head><meta charset=x><title>T</title>\n <link rel=x>Text<p>more", "Text\n\nmore"),
+        ("<head><title>T</title> &lt; <b>Text</b>", "< Text"),
+        ("<head><title>T</title>< Text", "< Text"),
+        ("<head><noscript><p>no</p>no</noscript><style>no</style><template><p>no</template><h1>Text</h1>", "Text"),
+        ("<head><script>no</script><base href=x>\n<body>Text", "Text"),
+        ("<head><title>T</title></head>\n<p>Text", "Text"),
+        ("<head><img src=x>Text", "Text"),
+        ("<head><head><title>T</title>Text", "Text"),
+    ],
+)
+def test_head_ends_without_its_end_tag(html, text):
+    assert visible_text(html) == text

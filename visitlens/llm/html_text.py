@@ -39,6 +39,8 @@ ENDS = {
     "option": ({"option", "optgroup"}, {"select"}),
     "head": ({"body"}, set()),
 }
+#: What may stand in a head; any other element, and any text, ends it.
+IN_HEAD = set("title meta link base script style noscript template".split())
 #: Elements nested deeper hang on the element at this depth.
 DEPTH = 150
 
@@ -110,12 +112,17 @@ def tree(html: str) -> Node:
             if stack[i].tag in barriers:
                 return
 
+    def text(found: str) -> None:
+        if stack[-1].tag == "head" and _BLANKS.sub("", found):
+            stack.pop()
+        stack[-1].children.append(found)
+
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            stack[-1].children.append(unescape(html[at:lt]))
+            text(unescape(html[at:lt]))
         if lt == n:
             break
         if html.startswith("<!--", lt):
@@ -128,7 +135,7 @@ def tree(html: str) -> Node:
                 end = html.find(">", lt)
                 at = n if end < 0 else end + 1
             else:
-                stack[-1].children.append("<")
+                text("<")
                 at = lt + 1
             continue
         end = tag_end(html, name.end())
@@ -137,10 +144,14 @@ def tree(html: str) -> Node:
             break
         if html[lt + 1] == "/":
             if tag in ("br", "p") and tag not in {x.tag for x in stack}:
+                if stack[-1].tag == "head":
+                    stack.pop()
                 stack[-1].children.append(Node(tag))
             elif tag not in ("html", "body"):
                 close({tag}, {"table", "td", "th"} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else set())
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         for open_tag, (starts, barriers) in ENDS.items():
             if tag in starts:
                 close({open_tag}, barriers)
