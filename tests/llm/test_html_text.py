@@ -168,3 +168,22 @@ def test_attributes_are_names_not_words_of_values():
 )
 def test_head_ends_without_its_end_tag(html, text):
     assert visible_text(html) == text
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+        ("<math><semantics><mi>x</mi><annotation encoding=t>no</annotation><annotation-xml><mi>no</mi></annotation-xml></semantics></math>", "x"),
+        ("<math><mspace/><mi>x</mi></math>y", "xy"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><g><text>one <tspan>two</tspan></text><text>three</text></g></svg>", "one two three"),
+        ("<svg><title/><defs/><style/><text x='1'>one</text><path d='x'/></svg>two", "one two"),
+        ("<p>a<svg viewBox='0 0 1 1'/>b</p>", "ab"),
+        ("<svg><foreignObject><p>one</p></foreignObject></svg>", "one"),
+        ("<table><tr><td><svg><text>one</text></svg><td>two</table>", "one  two"),
+        ("<desc>one</desc> <annotation>two</annotation>", "one two"),
+        ("<svg><text hidden>no</text><style>no</style><script>no</script></svg>", ""),
+    ],
+)
+def test_text_of_formulas_and_drawings(html, text):
+    assert visible_text(html) == text

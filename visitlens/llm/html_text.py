@@ -8,7 +8,7 @@ doesn't show (scripts, styles, hidden elements, the head) is left out; nothing e
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 # Kinds of elements by their HTML meaning.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = set("head script style template noscript title meta link iframe noembed noframes datalist object audio video canvas svg math".split())
+UNSEEN = set("head script style template noscript title meta link iframe noembed noframes datalist object audio video canvas".split())
+#: Unseen inside an element of the key's kind.
+UNSEEN_IN = {"svg": set("title desc defs metadata".split()), "math": {"annotation", "annotation-xml"}}
 APART = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr fieldset address form xmp".split())
 BLOCK = APART | set(
     "html body div section article aside header footer main nav li dt dd tr td th thead tbody tfoot caption figcaption details summary option legend center dir menu search hgroup".split()
@@ -157,13 +159,15 @@ def tree(html: str) -> Node:
                 close({open_tag}, barriers)
         node = Node(tag, html[name.end() : end])
         stack[-1].children.append(node)
+        if html[end - 1] == "/" and (tag in UNSEEN_IN or any(x.tag in UNSEEN_IN for x in stack)):
+            continue
         if tag in RAW:
             found = re.compile(f"</{re.escape(tag)}", re.I).search(html, at)
             stop = found.start() if found else n
             node.children.append(html[at:stop] if tag in ("xmp", "style", "script") else unescape(html[at:stop]))
             after = html.find(">", stop)
             at = n if after < 0 else after + 1
-        elif tag not in VOID and len(stack) < DEPTH and not (html[end - 1] == "/" and tag in ("svg", "path")):
+        elif tag not in VOID and len(stack) < DEPTH:
             stack.append(node)
     return root
 
@@ -189,12 +193,12 @@ def render(node: Node, kept: bool = False) -> list[str | None]:
         else:
             lines.extend(x for x in (_BLANKS.sub(" ", part).strip(" ") for part in text.split("\0")) if x)
 
-    def walk(children: list) -> None:
+    def walk(children: list, unseen: Collection[str] = ()) -> None:
         nonlocal count
         for child in children:
             if isinstance(child, str):
                 row.append(child if kept else child.replace("\0", ""))
-            elif not seen(child):
+            elif not seen(child) or child.tag in unseen:
                 continue
             elif child.tag == "br":
                 row.append("\n" if kept else "\0")
@@ -215,6 +219,11 @@ def render(node: Node, kept: bool = False) -> list[str | None]:
                 elif child.tag in ("dd", "blockquote"):
                     block = indented(block, "    ")
                 lines.extend([None, *block, None] if child.tag in APART else block)
+            elif child.tag in UNSEEN_IN or unseen:
+                apart = " " if child.tag == "text" else ""
+                row.append(apart)
+                walk(child.children, UNSEEN_IN.get(child.tag, unseen))
+                row.append(apart)
             else:
                 walk(child.children)
 
