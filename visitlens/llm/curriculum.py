@@ -41,6 +41,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int =
 
     The targets add up to all words. One that would exceed ``repeats`` times its source's size stops there, and
     the excess goes to the others by weight: in order of cap by weight, those before the level are full.
+
+    The windows over sources have no partition, so one task holds a row for each source. That is meant for up to a
+    million sources, however many documents they have; more give the same results, more slowly.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
