@@ -98,3 +98,44 @@ r AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM o WHERE part = 'pair' OR rank <= 50
 """
+
+ORACLES["op12_prefix_trie"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      md5(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, '')))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+h AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(
+      list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+),
+b AS (
+  SELECT h.conv_id, 0 AS own, t.place, t.role, t.text FROM h JOIN t ON t.conv_id = h.base WHERE t.place < h.h
+  UNION ALL
+  SELECT h.conv_id, 1, t.place, t.role, t.text FROM h JOIN t USING (conv_id) WHERE t.place >= h.h
+),
+p AS (SELECT conv_id, text, row_number() OVER o AS depth, list({'r': role, 't': text}) OVER o AS path FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY own, place)),
+q AS (
+  SELECT conv_id, depth, length(text) AS chars, path FROM p
+  UNION ALL
+  SELECT conv_id, 0, 0, CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[]) FROM h
+),
+l AS (SELECT conv_id, max(depth) AS ends FROM q GROUP BY conv_id),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM q GROUP BY depth, path),
+c AS (SELECT n.conv_id, n.depth, n.n_convs, n.chars, n.path, o.conv_id AS parent_conv_id FROM n
+  LEFT JOIN q ON q.conv_id = n.conv_id AND q.depth = n.depth - 1 LEFT JOIN n o ON o.depth = q.depth AND o.path = q.path),
+k AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM c WHERE depth > 0 GROUP BY ALL),
+d AS (SELECT c.*, coalesce(k.n_children, 0) AS n_children FROM c LEFT JOIN k USING (conv_id, depth)),
+s AS (
+  SELECT q.depth, q.path, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.chars) AS saved_tokens
+  FROM d JOIN q ON q.conv_id = d.conv_id AND q.depth <= d.depth GROUP BY q.depth, q.path
+),
+e AS (SELECT q.depth, q.path, string_agg(q.conv_id, ',' ORDER BY q.conv_id) AS ids FROM q JOIN l ON l.conv_id = q.conv_id AND l.ends = q.depth GROUP BY q.depth, q.path)
+SELECT d.conv_id, CAST(d.depth AS BIGINT) AS depth, d.parent_conv_id, d.n_convs, d.n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM d JOIN s ON s.depth = d.depth AND s.path = d.path LEFT JOIN e ON e.depth = d.depth AND e.path = d.path
+"""

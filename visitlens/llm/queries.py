@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm import curriculum, divergence, exact_dedup, gam, html_text, huffman, ngram_join, pii, propagation, spaced_seeds, suffix_dedup
+from visitlens.llm import curriculum, divergence, exact_dedup, gam, html_text, huffman, ngram_join, pii, prefix_trie, propagation, spaced_seeds, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, rebuilt with shared first turns."""
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that mark each source most."""
     return divergence.audit(documents(spark, sf_dir))
@@ -85,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_visible_text": op8_visible_text,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
