@@ -278,4 +278,6 @@ def trie(turns: DataFrame, width_of: Callable[[int], int] | None = None) -> Data
     loose = nodes.unionByName(single.filter("not parent_alone").drop("parent_alone"))
     above = owners.select(F.col("key").alias("parent"), F.col("owner").alias("parent_conv_id"), "n")
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
-    return attach(loose, above, "parent", "n").select(columns).unionByName(tails.select(columns))
+    # A parent that was not grouped is proven to have one member, the node's own.
+    parent = F.coalesce("parent_conv_id", F.when(F.col("depth") > 0, F.col("conv_id")))
+    return attach(loose, above, "parent", "n").withColumn("parent_conv_id", parent).select(columns).unionByName(tails.select(columns))
