@@ -139,3 +139,22 @@ SELECT d.conv_id, CAST(d.depth AS BIGINT) AS depth, d.parent_conv_id, d.n_convs,
   CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM d JOIN s ON s.depth = d.depth AND s.path = d.path LEFT JOIN e ON e.depth = d.depth AND e.path = d.path
 """
+
+ORACLES["op11_earlier_passages"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d),
+s AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS place FROM d WHERE len(words) >= 20),
+r AS (
+  SELECT doc_id, place, row_number() OVER (PARTITION BY array_to_string(words[place : place + 19], ' ') ORDER BY doc_id, place) > 1 AS again FROM s
+),
+c AS (
+  SELECT w.doc_id, w.word, w.place,
+    coalesce(bool_or(r.again) OVER (PARTITION BY w.doc_id ORDER BY w.place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM w LEFT JOIN r ON r.doc_id = w.doc_id AND r.place = w.place
+),
+k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

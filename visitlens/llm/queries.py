@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from visitlens.llm import curriculum, divergence, exact_dedup, gam, html_text, huffman, ngram_join, pii, prefix_trie, propagation, spaced_seeds, suffix_dedup
+from visitlens.llm import curriculum, divergence, exact_dedup, gam, html_text, huffman, ngram_join, pii, prefix_trie, propagation, relative_lz, spaced_seeds, suffix_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op11_earlier_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without windows of 20 words that occur earlier."""
+    return relative_lz.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the prefix trie of all conversations, rebuilt with shared first turns."""
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_visible_text": op8_visible_text,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_earlier_passages": op11_earlier_passages,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
