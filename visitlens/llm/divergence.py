@@ -8,7 +8,6 @@ those that dominate it, so the k best of a group are in the merged skybands, whe
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 
 from visitlens.llm.shared import stage
 
-#: A term: letters of ASCII and all characters beyond it.
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Documents of a language that must hold a term, terms listed for a source, and what is added to each count.
 LEAST_DOCS, BEST, ADDED = 30, 50, 5
 #: Counted entries that a task holds; rows of a group, and of all groups, that a skyband task holds.
@@ -29,7 +26,8 @@ HELD, NEW_ROWS, ALL_ROWS = 400_000, 4096, 200_000
 #: Sources in a tile, and terms in a block, of the matrices that sources are compared in.
 TILE, BLOCK = 256, 4096
 
-_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+# Terms are runs of letters of ASCII, in lower case, and of all characters beyond it, whose bytes are over 127.
+_TERMS = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else ord(" ") for c in range(256))
 COUNTS = "lang string, source string, term string, n long, docs long"
 
 
@@ -44,8 +42,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in COUNTS.split(", ")]
             for (lang, source), found in n.items():
                 size, terms = len(found) + 1, list(found)
-                columns = [pa.array([lang] * size), pa.array([source] * size), pa.array([None, *terms], pa.string())]
-                columns += [pa.array([0, *(count[t] for t in terms)], pa.int64()) for count in (found, docs_with[lang, source])]
+                columns = [pa.array([lang] * size), pa.array([source] * size), pa.array([None, *terms], pa.binary()).cast(pa.string())]
+                columns += [pa.array([0, *map(count.__getitem__, terms)], pa.int64()) for count in (found, docs_with[lang, source])]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         held = 0
@@ -55,10 +53,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 if group not in n:
                     n[group], docs_with[group] = Counter(), Counter()
                     held += 1
-                terms = Counter(TERM.findall(text.as_py().translate(_FOLD)))
+                terms = text.as_py().encode().translate(_TERMS).split()
                 before = len(n[group])
                 n[group].update(terms)
-                docs_with[group].update(terms.keys())
+                docs_with[group].update(set(terms))
                 held += len(n[group]) - before
                 if held >= HELD:
                     yield from flush()
