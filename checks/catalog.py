@@ -29,7 +29,7 @@ from visitlens.plans import search as E
 from visitlens.plans import summaries as S
 from visitlens.plans import undetermined as N
 from visitlens.sources import bindings as B
-from visitlens.sources import dims, logs, sinks
+from visitlens.sources import dims, logs, sinks, upkeep
 from visitlens.streaming import ingest as G
 from visitlens.streaming.scratch import shared_dir, staged
 
@@ -244,12 +244,33 @@ def rewritten_days(spark, sf):
     web = B.web_events(spark, sf)
     sinks.append_events(web.where("id % 2 = 0"), path, load_id=-1)
     sinks.append_events(web.where("id % 2 = 1"), path, load_id=-2)
-    C.relabel(spark, path, U.full_rerun(sinks.read_events(spark, path)), out)
-    C.commit_partitions(spark, out, path)
+    run = C.relabel(spark, path, U.full_rerun(sinks.read_events(spark, path)), out)
+    C.commit_partitions(spark, run, path)
     after = sinks.read_events(spark, path)
     return after.groupBy("bot_classification", "bot_name", "detection_level", "is_bot").agg(requests())
 
 
+@query
+def relabelled_twice(spark, sf):
+    """Runs that share a folder, one after the other, and one whose directories a load has replaced meanwhile."""
+    path, out, web = shared_dir(spark, "events"), shared_dir(spark, "patched"), B.web_events(spark, sf)
+    sinks.append_events(web.where("id % 2 = 0"), path, load_id=-1)
+    sinks.append_events(web.where("id % 2 = 1"), path, load_id=-2)
+
+    def changes(label, where):
+        return sinks.read_events(spark, path).where(where).select(*C.ROW_KEYS, F.lit(label).alias("bot_classification"))
+
+    C.relabel(spark, path, changes("first", "event_date < '2024-01-15'"), out)
+    C.relabel(spark, path, changes("second", "event_date < '2024-01-15' and id % 3 = 0"), out)
+    C.relabel(spark, path, changes("third", "event_date >= '2024-01-15'"), out)
+    stale = C.rewrite_partitions(spark, path, changes("stale", "id % 5 = 0"), out)
+    sinks.append_events(web.where("id % 4 = 0"), path, load_id=-1)
+    refused = C.commit_partitions(spark, stale, path)
+    after = sinks.read_events(spark, path).groupBy("bot_classification").agg(requests())
+    days = {day for day, _ in refused}
+    return after.select("*", F.lit(all(batch == -1 for _, batch in refused)).alias("refused_load"), F.lit(len(days) > 0).alias("refused"))
+
+
 # Labels
 @query
 def labels_from_flags(spark, sf):
@@ -653,6 +674,36 @@ def shared_table(spark, sf):
     return sinks.read_events(spark, job.events_path).groupBy("event_date", loaded).agg(requests())
 
 
+@query
+def compacted_days(spark, sf):
+    """Ten batches of the stream, compacted, the same files once more and a late file, compacted again: rows and directories."""
+    root, web = shared_dir(spark, "compact"), B.web_events(spark, sf)
+    job = _job(spark, sf, root, max_files=1)
+    lines = B.raw_lines(web.where("id % 4 != 0"))
+    for part in range(3):
+        lines.where(F.pmod(F.xxhash64("value"), F.lit(3)) == part).coalesce(1).write.mode("append").text(f"{root}/logs")
+    G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
+    path = job.events_path
+    upkeep.compact(spark, path, f"{root}/runs", upkeep.stored_days(spark, path))
+    lines.coalesce(1).write.mode("append").text(f"{root}/logs")
+    B.raw_lines(web.where("id % 4 = 0")).coalesce(1).write.mode("append").text(f"{root}/logs")
+    G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
+    run = upkeep.compact(spark, path, f"{root}/runs", upkeep.stored_days(spark, path))
+    upkeep.commit_merged(spark, run, path)
+    rows = sinks.read_events(spark, path).groupBy("event_date").agg(requests(), F.countDistinct("batch_id").alias("directories"))
+    return rows
+
+
+@query
+def expired_table(spark, sf):
+    """A table after days outside the retention period were removed, twice."""
+    path, web = shared_dir(spark, "expire"), B.web_events(spark, sf)
+    sinks.append_events(web, path, load_id=-1)
+    for _ in range(2):
+        upkeep.expire_days(spark, path, AS_OF, days=10)
+    return sinks.read_events(spark, path).groupBy("event_date").agg(requests())
+
+
 # Search intelligence, over searches derived from the events
 def _searches(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     web = B.web_events(spark, sf).select("id", "timestamp", "path", "client_ip", "status")

@@ -773,6 +773,8 @@ web(
     f"""SELECT {DAY} AS event_date, count(*) AS count FROM web WHERE CAST("timestamp" AS DATE) > DATE '2024-01-21' GROUP BY 1""",
 )
 
+ORACLES["expired_table"] = ORACLES["retained_days"]
+
 # --- Labels: the cascade over a relation ``sig`` of signals
 def named(column: str, pairs) -> str:
     cases = []
@@ -949,6 +951,12 @@ web(
 )
 for _name in ("applied_in_place", "rewritten_days"):
     ORACLES[_name] = ORACLES["applied_changes"]
+web(
+    "relabelled_twice",
+    f"""SELECT cls AS bot_classification, count(*) AS count, true AS refused_load, true AS refused FROM (
+      SELECT CASE WHEN id % 2 = 0 THEN bot_classification WHEN id % 5 = 0 THEN 'stale' WHEN {DAY} >= '2024-01-15' THEN 'third'
+        WHEN id % 3 = 0 THEN 'second' ELSE 'first' END AS cls FROM web WHERE id % 2 = 1 OR id % 4 = 0) GROUP BY 1""",
+)
 web(
     "undetermined_rerun",
     f"""SELECT id, bot_classification AS old_class, cls AS new_class, cls AS bot_classification, name AS bot_name,
@@ -1241,6 +1249,12 @@ web(
     FOUND_NET,
     BUILT,
 )
+web(
+    "compacted_days",
+    f"SELECT {DAY} AS event_date, count(*) AS count, CAST(1 AS BIGINT) AS directories FROM kept GROUP BY 1",
+    FOUND_NET,
+    BUILT,
+)
 web(
     "shared_table",
     f"""SELECT {DAY} AS event_date, true AS loaded, count(*) AS count FROM web WHERE e % 3 = 0 GROUP BY 1

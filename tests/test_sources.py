@@ -198,13 +198,13 @@ def test_compacted_append(spark, tmp_path):
 def test_only_touched_days_are_rewritten(spark, tmp_path):
     path, out = str(tmp_path / "events"), str(tmp_path / "patched")
     sinks.append_events(events(spark), path)
-    C.rewrite_partitions(spark, path, change_set(spark), out)
-    patched = spark.read.parquet(out)
+    run = C.rewrite_partitions(spark, path, change_set(spark), out)
+    patched = spark.read.parquet(f"{run}/events")
     assert {str(r.event_date) for r in patched.select("event_date").distinct().collect()} == {"2024-01-01", "2024-01-03"}
     assert patched.count() == 4 and patched.where("bot_classification = 'human'").count() == 2
     assert sinks.read_events(spark, path).where("bot_classification = 'human'").count() == 0
     for _ in range(2):
-        C.commit_partitions(spark, out, path)
+        assert C.commit_partitions(spark, run, path) == []
     after = sinks.read_events(spark, path)
     assert after.count() == 6 and after.where("bot_classification = 'human'").count() == 2
 

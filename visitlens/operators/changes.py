@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitlens.sources.sinks import read_events, write_events
+from visitlens.sources.sinks import read_days, write_events
+from visitlens.sources.upkeep import Conflict, Directory, commit, days_of, new_run, versions
 
 # An id is a 64-bit hash; over very many events only id and time together name one of them.
 ROW_KEYS = ("id", "event_date", "timestamp")
@@ -29,26 +30,38 @@ def apply_changes(events: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def rewrite_partitions(spark: SparkSession, path: str, changes: DataFrame, out: str) -> None:
-    """Writes the days a change set touches, patched, under ``out`` with the layout of ``path``.
+def rewrite_partitions(spark: SparkSession, path: str, changes: DataFrame, out: str) -> str:
+    """Writes the days a change set touches, patched, into a run's own folder below ``out``, and returns that folder.
 
-    ``changes`` must carry ``event_date``. Only touched days are read and written, and the table stays
-    as it was; :func:`commit_partitions` puts them in.
+    ``changes`` must carry ``event_date``. Only touched days are listed, read and written, and the table stays as it
+    was; :func:`commit_partitions` puts them in. The versions of the directories are noted before they are read.
     """
-    events = read_events(spark, path)
-    days = changes.select("event_date").distinct()
-    write_events(apply_changes(events.join(days, "event_date", "left_semi"), changes), out)
+    run, days = new_run(out), days_of(changes)
+    versions(spark, path, days).write.parquet(f"{run}/base")
+    events = read_days(spark, path, days)
+    if events is not None:
+        write_events(apply_changes(events, changes), f"{run}/events")
+    return run
 
 
-def commit_partitions(spark: SparkSession, out: str, path: str) -> None:
-    """Replaces the directories of ``path`` by those rewritten under ``out``; a run that broke off is run again."""
-    write_events(read_events(spark, out), path)
+def commit_partitions(spark: SparkSession, run: str, path: str) -> list[Directory]:
+    """Replaces the directories of ``path`` by those of a run; a commit that broke off is run again.
+
+    Returns the directories it refuses, as they were written again after the run had read them.
+    """
+    return commit(spark, run, path)
 
 
-def relabel(spark: SparkSession, path: str, changes: DataFrame, out: str) -> None:
-    """A relabelling run that ends in the table: rewrite under ``out``, then commit."""
-    rewrite_partitions(spark, path, changes, out)
-    commit_partitions(spark, out, path)
+def relabel(spark: SparkSession, path: str, changes: DataFrame, out: str) -> str:
+    """A relabelling run that ends in the table: rewrite below ``out``, then commit. Returns the run's folder.
+
+    Raises :class:`Conflict` with the directories that are to be relabelled anew.
+    """
+    run = rewrite_partitions(spark, path, changes, out)
+    refused = commit_partitions(spark, run, path)
+    if refused:
+        raise Conflict(refused)
+    return run
 
 
 def transitions(changes: DataFrame) -> DataFrame:

@@ -67,12 +67,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE).parquet(path)
 
 
-def read_days(spark: SparkSession, path: str, days) -> DataFrame | None:
-    """The events of some days; only their directories are listed. None if the table has none of them."""
+def day_paths(spark: SparkSession, path: str, days) -> list[str]:
+    """Directories of those of some days that the table has."""
     # Asking a store for a few known directories needs its own interface; listing the table would not scale.
     paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/event_date={day}") for day in days]
     conf = spark._jsc.hadoopConfiguration()
-    there = [p.toString() for p in paths if p.getFileSystem(conf).exists(p)]
+    return [p.toString() for p in paths if p.getFileSystem(conf).exists(p)]
+
+
+def read_days(spark: SparkSession, path: str, days) -> DataFrame | None:
+    """The events of some days; only their directories are listed. None if the table has none of them."""
+    there = day_paths(spark, path, days)
     return spark.read.schema(TABLE).option("basePath", path).parquet(*there) if there else None
 
 
