@@ -18,7 +18,7 @@ from visitlens.operators import filters as P
 from visitlens.operators import reclassify as U
 from visitlens.operators.classify import classify_v1, classify_v2, unpack
 from visitlens.operators.enrich import datacenter_provider, enrich, enrich_asn, enrich_geo
-from visitlens.operators.ranges import networks
+from visitlens.operators.ranges import networks, prepared
 from visitlens.operators.scoring import route_text
 from visitlens.operators.sessions import session_stats, with_session_stats
 from visitlens.plans import dashboard as D
@@ -490,6 +490,13 @@ def network_lookup(spark, sf):
     return enrich_asn(web, networks(B.asn_networks(spark, sf)))
 
 
+@query
+def prepared_lookup(spark, sf):
+    """The same by a table that was flattened beforehand."""
+    web = B.web_events(spark, sf).select("id", "client_ip")
+    return enrich_asn(web, prepared(networks(B.asn_networks(spark, sf))))
+
+
 @query
 def range_files(spark, sf):
     """Both network tables written, read back by their readers and used for the lookups."""

@@ -1099,6 +1099,7 @@ web(
     f"""SELECT id, client_ip, fasn AS asn, forg AS asn_org, {provider('fasn', 'forg', {})} AS datacenter_provider FROM fnet""",
     FOUND_NET,
 )
+ORACLES["prepared_lookup"] = ORACLES["network_lookup"]
 A, Bb, Cc = "u % 4", "u % 8", "u % 250"
 GEO = f"""geo AS (SELECT *,
     CASE WHEN {V4} THEN CASE WHEN {Cc} % 10 = 0 THEN 'HH' WHEN {Bb} % 2 = 0 THEN concat('A', {A}) ELSE 'ZZ' END

@@ -4,8 +4,8 @@ import random
 from pyspark.sql import functions as F
 
 from visitlens.functions.ip import address_hex, in_subnet, prefix_of, subnet24, subnet_of
-from visitlens.operators import skew
-from visitlens.operators.ranges import attach, networks
+from visitlens.operators import ranges, skew
+from visitlens.operators.ranges import attach, flatten, located, networks, prepared
 
 GOOD = ["1.2.3.4", "255.255.255.255", "0.0.0.0", "::", "::1", "2001:db8::1", "2001:DB8:0:0:1:0:0:1", "fe80::a:b", "1:2:3:4:5:6:7:8", "1::"]
 BAD = ["", "1.2.3", "1.2.3.256", "1.2.3.4.5", "abc", "1::2::3", "12345::", "1:2:3:4:5:6:7:8:9", "g::1", "::1%eth0"]
@@ -96,6 +96,60 @@ def test_lookup_agrees_with_brute_force(spark):
         assert got[i] == want, ip
 
 
+def test_flattened_tables_are_disjoint_and_complete(spark):
+    """Every place has the innermost block, and no two neighbours are one place."""
+    rng = random.Random(5)
+    nets = _random_networks(rng, 120) + ["0.0.0.0/0", "255.255.255.255/32", "255.255.255.0/24", "10.0.0.0/8", "10.0.0.0/9", "::/0", "ffff::/16", f"{'ffff:' * 7}ffff/128"]
+    parsed = [ipaddress.ip_network(n) for n in sorted(set(nets))]
+    for some in (parsed, [n for n in parsed if n.prefixlen]):
+        rows = flatten(networks(spark.createDataFrame([(str(n), str(n)) for n in some], "network string, label string"))).collect()
+        assert len({(r.family, r.at) for r in rows}) == len(rows)
+        edges = {4: {0}, 6: {0}}
+        for n in some:
+            edges[n.version] |= {int(n.network_address), int(n.broadcast_address) + 1}
+        want = {}
+        for version, size in ((4, 32), (6, 128)):
+            for at in edges[version] - {1 << size}:
+                hits = [n for n in some if n.version == version and int(n.network_address) <= at <= int(n.broadcast_address)]
+                want[version, f"{at:0{size // 4}x}"] = str(max(hits, key=lambda n: n.prefixlen)) if hits else None
+        assert {(r.family, r.at): r.holds.label if r.holds else None for r in rows} == want
+
+
+def test_two_prepared_tables_and_many_ranges(spark):
+    rng = random.Random(3)
+    one, two = _random_networks(rng, 60), _random_networks(rng, 9)
+    ips = [str(ipaddress.IPv4Address(rng.getrandbits(32) & 0x0F0F0F0F)) for _ in range(200)] + [str(ipaddress.ip_network(n).network_address) for n in one + two]
+    tables = {name: networks(spark.createDataFrame([(n, n) for n in nets], "network string, label string")) for name, nets in (("one", one), ("two", two))}
+    addresses = spark.createDataFrame([(ip,) for ip in sorted(set(ips))] + [("none",)], "client_ip string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "41")
+    try:
+        flat = {name: prepared(t) for name, t in tables.items()}
+        got = {r.client_ip: (r.one and r.one.label, r.two and r.two.label) for r in located(addresses, flat).collect()}
+        assert prepared(flat["one"]) is flat["one"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.pop("none") == (None, None) and len(got) == len(set(ips))
+    for ip, labels in got.items():
+        a = ipaddress.ip_address(ip)
+        a = getattr(a, "ipv4_mapped", None) or a
+        for nets, label in zip((one, two), labels, strict=True):
+            hits = [n for n in map(ipaddress.ip_network, nets) if n.version == a.version and a in n]
+            assert label == (str(max(hits, key=lambda n: n.prefixlen)) if hits else None)
+
+
+def test_a_prepared_lookup_reads_events_twice_and_tries_nothing(spark, tmp_path, monkeypatch):
+    spark.range(100).selectExpr("id", "concat('10.0.', id % 7, '.', id) as client_ip").write.parquet(str(tmp_path / "events"))
+    table = prepared(networks(spark.createDataFrame([("10.0.0.0/8", "x"), ("10.0.3.0/24", "y")], "network string, label string")))
+    # Prefix lengths are tried for a table that was not prepared only.
+    monkeypatch.setattr(ranges, "innermost", None)
+    found = attach(spark.read.parquet(str(tmp_path / "events")), {"hit": table})
+    assert {r[0] for r in found.where("client_ip like '10.0.3.%'").select("hit.label").distinct().collect()} == {"y"}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # The first pass over the events ended when the distinct addresses were staged.
+    assert plan.count("InMemoryFileIndex") - plan.count("per-key") == 1
+
+
 def test_lookup_plan_has_no_nested_loop(spark):
     table = networks(spark.createDataFrame([("10.0.0.0/8", "x")], "network string, label string"))
     events = spark.createDataFrame([(1, "10.0.0.1")], "id long, client_ip string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitlens.streaming.scratch import staged
+
 #: A key with more than one part in ``SHARE`` of all events is heavy, so there are fewer than ``SHARE`` of them.
 SHARE = 1_000
 SALTS = 64
@@ -18,8 +20,10 @@ def spread_join(
     ``per_key`` has one row per key and says in ``weight`` how many events the key has; ``weight``
     is not returned. Adaptive execution can't split such a join, as no shuffle stands between the
     aggregation per key and the join; so heavy keys, and events without a key, are salted. The
-    list of heavy keys is broadcast: by arithmetic it has fewer than ``share`` rows.
+    list of heavy keys is broadcast: by arithmetic it has fewer than ``share`` rows. ``per_key`` is computed
+    once and staged, as the total, the list and the join all read it.
     """
+    per_key = staged(per_key, "per-key")
     everything = per_key.agg(F.sum(weight)).scalar()
     hot = per_key.where(F.col(weight) * share > everything).select(key, F.lit(True).alias("_hot"))
     scattered = F.pmod(F.xxhash64(*_scatter(events, key)), F.lit(SALTS))

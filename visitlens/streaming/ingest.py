@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from visitlens.operators.filters import (
     drop_scanners,
     drop_sites,
 )
+from visitlens.operators.ranges import prepared
 from visitlens.schema import PROGRESS
 from visitlens.settings import DEFAULT, Settings
 from visitlens.sources.dims import last_mark, read_bans
@@ -112,15 +113,15 @@ def write_batch(batch: DataFrame, batch_id: int, job: Ingestion) -> None:
     spark = batch.sparkSession
     started = dt.datetime.now(dt.timezone.utc)
     bans = read_bans(spark, job.bans_path) if job.bans_path else None
-    batch = batch.persist()
     fresh = unstored(wanted(batch, job.settings, bans), batch_id, job.events_path).persist()
-    written = Observation("written")
-    events = to_stored(build_events(fresh, job.geo, job.networks, job.path_aware)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-    metrics = (F.max("timestamp").alias("newest"), F.max_by("cf_ray", "timestamp").alias("ray"), F.count(F.lit(1)).alias("rows"))
-    write_events(events.observe(written, *metrics), job.events_path)
-    seen = written.get
-    fresh.unpersist()
-    batch.unpersist()
+    try:
+        written = Observation("written")
+        events = to_stored(build_events(fresh, job.geo, job.networks, job.path_aware)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        metrics = (F.max("timestamp").alias("newest"), F.max_by("cf_ray", "timestamp").alias("ray"), F.count(F.lit(1)).alias("rows"))
+        write_events(events.observe(written, *metrics), job.events_path)
+        seen = written.get
+    finally:
+        fresh.unpersist()
     if not seen["rows"]:
         return
     now = dt.datetime.now(dt.timezone.utc)
@@ -132,14 +133,16 @@ def write_batch(batch: DataFrame, batch_id: int, job: Ingestion) -> None:
 def take_lines(lines: DataFrame, batch_id: int, job: Ingestion, since: dt.datetime | None = None) -> None:
     """Parses a batch of log lines once, stores its events and sets its unreadable lines aside."""
     read = read_lines(lines).persist()
-    good, bad = split_read(read)
-    if job.bad_path:
-        bad.write.mode("overwrite").text(f"{job.bad_path}/batch_id={batch_id}")
-    parsed = parse_logs(good)
-    if since is not None:
-        parsed = parsed.where(F.col("timestamp") >= F.lit(since))
-    write_batch(parsed.withColumn("id", event_key(parsed.columns)), batch_id, job)
-    read.unpersist()
+    try:
+        good, bad = split_read(read)
+        if job.bad_path:
+            bad.write.mode("overwrite").text(f"{job.bad_path}/batch_id={batch_id}")
+        parsed = parse_logs(good)
+        if since is not None:
+            parsed = parsed.where(F.col("timestamp") >= F.lit(since))
+        write_batch(parsed.withColumn("id", event_key(parsed.columns)), batch_id, job)
+    finally:
+        read.unpersist()
 
 
 def beginning(spark: SparkSession, job: Ingestion) -> dt.datetime | None:
@@ -158,6 +161,8 @@ def ingest_stream(spark: SparkSession, source: str, job: Ingestion, interval: st
     it keeps running. Offsets live in the checkpoint; what is stored decides what is new.
     """
     since = beginning(spark, job)
+    # Flattened once for all batches.
+    job = replace(job, geo=prepared(job.geo, "geo"), networks=prepared(job.networks, "networks"))
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (
         stream_logs(spark, source, job.max_files)
