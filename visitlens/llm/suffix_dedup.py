@@ -23,9 +23,9 @@ from visitlens.llm.shared import attach, may_contain, mix, row_key, stage, total
 #: Bytes of a repeated string, and of an anchor.
 WIDTH, ANCHOR = 200, 32
 #: Bytes of text that a task looks at together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Bytes of contexts in a shard; an anchor with more contexts than ``CROWD`` is split by window instead.
-SHARD, CROWD = 1 << 20, 4096
+SHARD, CROWD = 1 << 19, 4096
 #: Texts that a task rewrites at a time.
 SLICE = 256
 #: Symbols up to which a reduced string is sorted by induction again; beyond, by doubling of ranks.
@@ -85,17 +85,17 @@ def contexts(data: np.ndarray, bounds: np.ndarray, powers: Powers, values: np.nd
     grams = hashes.of(at, at + gram)
     # The order of anchors is by the upper bits, then by place, so a window's anchor depends on its bytes alone.
     low = np.uint64((1 << 24) - 1)
-    least = sliding_least((grams & ~low) | at.astype(np.uint64), width - gram + 1)
-    place = (least & low).astype(np.int64)
-    starts = np.arange(n - width + 1)
-    text = np.searchsorted(bounds, starts, side="right")
+    place = (sliding_least((grams & ~low) | at.astype(np.uint64), width - gram + 1) & low).astype(np.int32)
+    del at
+    starts = np.arange(n - width + 1, dtype=np.int32)
+    text = np.repeat(np.arange(len(bounds), dtype=np.int32), np.diff(bounds, prepend=0))[: len(starts)]
     inside = starts + width <= bounds[text]
     starts, place, text = starts[inside], place[inside], text[inside]
+    del inside
     if not len(starts):
         return none, none, none, none
-    new = np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
-    begin, end = starts[first], starts[np.append(first[1:], len(starts)) - 1] + width
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
+    begin, end = starts[first].astype(np.int64), starts[np.append(first[1:], len(starts)) - 1].astype(np.int64) + width
     return begin, end, grams[place[first]].view(np.int64), hashes.of(begin, end).view(np.int64)
 
 
