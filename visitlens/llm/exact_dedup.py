@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.shared import attach, may_contain, stage, total
+from visitlens.llm.shared import attach, may_contain, releasing, stage, total
 
 #: Fingerprints that a task sorts and sends at a time.
 CHUNK = 1 << 22
@@ -64,6 +64,7 @@ def messages(fingerprints: DataFrame, owners: int, chunk: int) -> DataFrame:
     """Of a column of longs: a row for each task, chunk and owner, with the coded list and marks of local repeats."""
     names = ["sender", "owner", "n", "payload", "repeats"]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held, n, sent = TaskContext.get().partitionId(), [], 0, 0
 
@@ -109,6 +110,7 @@ def suspects(fingerprints: DataFrame, owners: int, chunk: int | None = None) ->
     sent = stage(messages(fingerprints, owners, chunk), "fingerprints")
     replies = sent.select("sender", "owner", "payload").groupBy("owner").applyInPandas(reply, "sender long, owner int, marks binary")
 
+    @releasing
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.llm.exact_dedup import owners_for, suspects
-from visitlens.llm.shared import attach, may_contain, mix, row_key, stage, total, with_maybe
+from visitlens.llm.shared import attach, may_contain, mix, release, releasing, row_key, stage, total, with_maybe
 from visitlens.llm.suffix_dedup import Hashes, Powers, sliding_least
 
 #: Words of a repeated window, and of an anchor; longer anchors deal out again what is too much for one block, and an
@@ -75,6 +75,7 @@ def anchored(texts: DataFrame, width: int, gram: int) -> DataFrame:
     schema = f"doc_id {kind}, row_key long, offset int, begins array<int>, ends array<int>, anchors array<bigint>, hashes array<bigint>"
     names = [x.split()[0] for x in schema.split(", ")]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         held: list[tuple[pa.RecordBatch, int, np.ndarray]] = []
@@ -119,6 +120,7 @@ def cut_out(texts: DataFrame) -> DataFrame:
     schema = f"doc_id {kind}, row_key long, begin int, block long, words binary"
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             of, rows = [], []
@@ -251,6 +253,7 @@ def parsed(blocks: DataFrame, width: int) -> DataFrame:
         begin = table.column("begin").to_numpy()
         spans = repeated([np.frombuffer(w.as_py(), np.uint64) for w in table.column("words")], width)
         kept = [i for i, (b, _) in enumerate(spans) if len(b)]
+        release()
         lists = [pa.array([(spans[i][k] + begin[i]).astype(np.int32) for i in kept], pa.list_(pa.int32())) for k in (0, 1)]
         return pa.table([table.column("row_key").take(pa.array(kept, pa.int64())), *lists], names=["row_key", "begins", "ends"])
 
@@ -323,6 +326,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, grams: tuple[int, ...]
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             rows = []

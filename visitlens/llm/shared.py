@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +95,25 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
 
 
+def release() -> None:
+    """Gives freed memory back: Spark keeps a worker for later stages, and allocators keep what a stage has needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A task's generator of batches that gives its memory back when it ends."""
+
+    @wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return inner
+
+
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words of a text: lower case for A-Z, split at ASCII white space."""
     words = text.encode().lower().split()

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.llm.exact_dedup import owners_for, suspects
-from visitlens.llm.shared import attach, may_contain, mix, row_key, stage, total, with_maybe
+from visitlens.llm.shared import attach, may_contain, mix, release, releasing, row_key, stage, total, with_maybe
 
 #: Bytes of a repeated string, and of an anchor.
 WIDTH, ANCHOR = 200, 32
 #: Bytes of text that a task looks at together.
 PIECE = 1 << 18
 #: Bytes of contexts in a shard; an anchor with more contexts than ``CROWD`` is split by window instead.
-SHARD, CROWD = 1 << 19, 4096
+SHARD, CROWD = 1 << 20, 4096
 #: Texts that a task rewrites at a time.
 SLICE = 256
 #: Symbols up to which a reduced string is sorted by induction again; beyond, by doubling of ranks.
@@ -105,6 +105,7 @@ ANCHORS = "row_key long, begins array<int>, ends array<int>, anchors array<bigin
 def anchored(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """A row for each text, or stretch of a long one: its contexts."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, values = Powers(), values_of()
         held: list[tuple[int, int, bytes]] = []
@@ -344,6 +345,7 @@ CUTS = "hash long, anchor long, n long, window long, place int, bytes binary"
 def cut_out(texts: DataFrame, width: int) -> DataFrame:
     """The bytes of wanted contexts; of those with a crowded anchor, a hash for each window instead."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, values = Powers(), values_of()
         names = [x.split()[0] for x in CUTS.split(", ")]
@@ -399,6 +401,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         spans = [runs_of(w, width) for w in windows]
         kept = [i for i, (b, _) in enumerate(spans) if len(b)]
         lists = [pa.array([spans[i][k].astype(np.int32) for i in kept], pa.list_(pa.int32())) for k in (0, 1)]
+        release()
         return pa.table([table.column("hash").combine_chunks().take(pa.array(kept, pa.int64())), *lists], names=["hash", "begins", "ends"])
 
     sorted_ = whole.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "hash", "n", "bytes").groupBy("shard")
@@ -441,6 +444,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     marked = with_maybe(rows, "row_key", spans, "row_key")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             rows = []
