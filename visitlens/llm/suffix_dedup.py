@@ -385,9 +385,12 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     places = stage(may_contain(flat, "anchor", shared, "fingerprint"), "places")
     kinds = places.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "begin", "end")).alias("one"))
     kinds = stage(kinds, "contexts")
-    crowds = kinds.groupBy("anchor").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("contexts")).filter("times > 1")
+    crowds = kinds.groupBy("anchor").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("contexts"), F.min("n").alias("least")).filter("times > 1")
     wanted = attach(kinds, stage(crowds, "crowds"), "anchor", "contexts").filter("times is not null")
-    wanted = stage(wanted.select("anchor", "hash", "n", "one.*", (F.col("contexts") > CROWD).alias("crowded")), "wanted")
+    wanted = stage(wanted.select("anchor", "hash", "n", "one.*", "least", (F.col("contexts") > CROWD).alias("crowded")), "wanted")
+    # Contexts that occur twice or more repeat as a whole; where that is all that an anchor has, there is nothing to sort.
+    whole_ones = wanted.filter("least > 1").select("hash", F.array(F.lit(0)).alias("begins"), F.array(F.col("end") - F.col("begin")).alias("ends"))
+    wanted = wanted.filter("least = 1")
     by_text = wanted.groupBy("row_key").agg(F.collect_list(F.struct("begin", "end", "anchor", "hash", "n", "crowded")).alias("wanted"))
     # Rows that repeat doc_id and text are one here: their contexts were counted above.
     texts = may_contain(docs.select(row_key().alias("row_key"), "text"), "row_key", wanted, "row_key").dropDuplicates(["row_key"])
@@ -411,7 +414,7 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     split = attach(windows.select("hash", "window", "place"), stage(often, "windows"), "window", "holders").filter("times is not null")
     split = split.groupBy("hash").agg(F.sort_array(F.collect_list("place")).alias("begins"))
     split = split.select("hash", "begins", F.transform("begins", lambda p: p + width).alias("ends"))
-    answers = stage(answers.unionByName(split), "repeats")
+    answers = stage(answers.unionByName(split).unionByName(whole_ones), "repeats")
     sizes = kinds.groupBy("hash").agg(F.sum("n").alias("n"))
     sized = stage(answers.join(sizes, "hash"), "sized-repeats")
     hits = attach(places.select("row_key", "begin", "hash"), sized, "hash", "n").filter("n is not null")
