@@ -1,3 +1,4 @@
+import time
 import re
 import string
 from html.parser import HTMLParser
@@ -187,3 +188,37 @@ def test_head_ends_without_its_end_tag(html, text):
 )
 def test_text_of_formulas_and_drawings(html, text):
     assert visible_text(html) == text
+
+
+def test_spans_over_very_many_rows_and_columns():
+    row = "<tr><td rowspan=1000 colspan=1000>a"
+    began = time.perf_counter()
+    assert html_text.visible_text(f"<table>{row * 1000}</table>").split() == ["a"] * 1000
+    wide = "<tr>" + "<td rowspan=1000>b" * 1000
+    assert len(html_text.visible_text(f"<table>{wide}{row * 500}</table>").split()) == 1500
+    assert time.perf_counter() - began < 3
+
+
+def test_spans_keep_their_columns():
+    html = "<table><tr><td rowspan=2>one<td colspan=2>wide cell<td>four<tr><td>two<td>three<td>4<tr><td>a<td>b<td>c<td>d</table>"
+    lines = html_text.visible_text(html).split("\n")
+    assert [lines[1].index(x) for x in ("two", "three", "4")] == [lines[2].index(x) for x in "bcd"]
+    assert lines[0].index("wide") == lines[1].index("two") and lines[0].index("four") == lines[2].index("d")
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>a</p><dialog>closed</dialog><dialog open>open</dialog>", "a\n\nopen"),
+        ("<style>.x{display:none} #y , b.z { visibility: hidden }</style><p class='w x'>gone<p id=y>gone<b class=z>gone</b></p><b class=z>gone</b><i class=z>kept</i>", "kept"),
+        ("<style>@media print{.x{display:none}} /* .x{display:none} */ .x{color:red}</style><p class=x>kept", "kept"),
+        ("<style>div p{display:none} p:hover{display:none}</style><p>kept", "kept"),
+        ("<style>" + "x" * 50_000 + "</style>kept", "kept"),
+        ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"),
+        ("<select><optgroup><option>a<option selected>b</optgroup></select>", "b"),
+        ("<select><optgroup><option>a</optgroup><option>b</select>", "a"),
+        ("<table><tr><td>\u65e5\u672c<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>", "\u65e5\u672c  x\nabcd  y\ne\u0301     z"),
+    ],
+)
+def test_more_rules_of_visibility_and_layout(html, text):
+    assert html_text.visible_text(html) == text

@@ -8,8 +8,13 @@ doesn't show (scripts, styles, hidden elements, the head) is left out; nothing e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Collection, Iterator
+from heapq import merge
 from html import unescape
+from itertools import accumulate
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +54,9 @@ DEPTH = 150
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 #: One attribute: name, and value in double quotes, in single quotes or without. It stops at the > or at a quote that never closes.
 _ATTRIBUTE = re.compile(r"""[\s/]*+(?:(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)?))?)?""")
+#: At-rules of a style sheet, and selectors of a tag, classes and an id.
+_AT_RULE = re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})")
+_SIMPLE = re.compile(r"\s*([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\s*")
 _BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -79,10 +87,11 @@ def hidden_by(style: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "off")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes, self.children = tag, parsed(attributes) if attributes else {}, []
+        self.off = False
 
 
 def tag_end(html: str, at: int) -> int:
@@ -173,7 +182,7 @@ def tree(html: str) -> Node:
 
 
 def seen(node: Node) -> bool:
-    if node.tag in UNSEEN:
+    if node.tag in UNSEEN or node.off or node.tag == "dialog" and "open" not in node.attributes:
         return False
     own = node.attributes
     return not own or not ("hidden" in own or "style" in own and hidden_by(own["style"]) or node.tag == "input" and own.get("type", "").strip().lower() == "hidden")
@@ -203,9 +212,13 @@ def render(node: Node, kept: bool = False) -> list[str | None]:
             elif child.tag == "br":
                 row.append("\n" if kept else "\0")
             elif child.tag == "select":
-                options = [x for x in child.children if isinstance(x, Node) and x.tag == "option"]
+                groups = [x for x in child.children if isinstance(x, Node)]
+                options = [y for x in groups for y in (x.children if x.tag == "optgroup" else [x]) if isinstance(y, Node) and y.tag == "option"]
                 chosen = next((x for x in options if "selected" in x.attributes), options[0] if options else None)
-                walk(chosen.children if chosen else child.children)
+                if chosen and ("multiple" in child.attributes or number(child.attributes, "size") > 1):
+                    walk(options)
+                else:
+                    walk(chosen.children if chosen else child.children)
             elif child.tag == "details" and "open" not in child.attributes:
                 flush()
                 walk([x for x in child.children if isinstance(x, Node) and x.tag == "summary"])
@@ -213,6 +226,8 @@ def render(node: Node, kept: bool = False) -> list[str | None]:
                 flush()
                 block = table(child) if child.tag == "table" else render(child, kept or child.tag in ("pre", "xmp"))
                 if child.tag == "li":
+                    if "value" in child.attributes:
+                        count = number(child.attributes, "value", 0, 999_999)
                     mark = f"{count}. " if node.tag == "ol" else "- "
                     count += 1
                     block = indented(block, mark)
@@ -252,6 +267,13 @@ def indented(lines: list[str | None], mark: str) -> list[str]:
     return [(mark if i == 0 else " " * len(mark)) + x if x or i == 0 else x for i, x in enumerate(own)] if own else []
 
 
+def breadth(text: str) -> int:
+    """Columns that a text takes: two for a wide character, none for a mark that sits on another."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def table(node: Node) -> list[str | None]:
     """Rows of a table with its cells in columns; spans over rows and columns keep their places."""
     rows: list[Node] = []
@@ -271,47 +293,92 @@ def table(node: Node) -> list[str | None]:
             part = Node("div")
             part.children.append(child)
             above.extend(render(part))
-    taken: dict[tuple[int, int], bool] = {}
-    cells: list[list[tuple[int, int, list[str]]]] = []
-    widths: dict[int, int] = {}
-    for r, row in enumerate(rows):
-        column, own = 0, []
+    parts: list[list[Node]] = []
+    for row in rows:
         stray = Node("td")
-        parts = []
+        own = []
         for child in row.children:
             if isinstance(child, Node) and child.tag in ("td", "th"):
-                parts.append(child)
+                own.append(child)
             elif isinstance(child, Node) or child.strip():
                 stray.children.append(child)
-        for cell in ([stray] if stray.children else []) + parts:
-            while taken.get((r, column)):
-                column += 1
+        parts.append(([stray] if stray.children else []) + own)
+    # A span over more columns than any row has cells changes nothing.
+    most = max(map(len, parts), default=0)
+    #: Columns that cells of earlier rows still hold: begin, end, and the row from which they are free.
+    held: list[tuple[int, int, int]] = []
+    cells: list[list[tuple[int, list[str]]]] = []
+    widths: dict[int, int] = {}
+    for r, row_cells in enumerate(parts):
+        held = [x for x in held if x[2] > r]
+        column, at, placed, new = 0, 0, [], []
+        for cell in row_cells:
+            while at < len(held) and held[at][0] <= column:
+                column = max(column, held[at][1])
+                at += 1
             across, down = number(cell.attributes, "colspan"), number(cell.attributes, "rowspan")
             lines = tidy(render(cell)) if seen(cell) else []
-            own.append((column, across, lines))
+            placed.append((column, lines))
             if across == 1:
-                widths[column] = max(widths.get(column, 0), *map(len, lines), 0)
-            for d in range(1, min(down, len(rows) - r)):
-                for a in range(across):
-                    taken[r + d, column + a] = True
-            column += across
-        cells.append(own)
+                widths[column] = max(widths.get(column, 0), *map(breadth, lines), 0)
+            end = column + min(across, most)
+            if down > 1:
+                if new and new[-1][1] == column and new[-1][2] == r + down:
+                    new[-1] = (new[-1][0], end, r + down)
+                else:
+                    new.append((column, end, r + down))
+            column = end
+        held = [*merge(held, new)]
+        cells.append(placed)
+    known = sorted(widths)
+    sums = [0, *accumulate(widths[c] + 2 for c in known)]
     out: list[str | None] = [*above]
     for own in cells:
-        for i in range(max((len(lines) for _, _, lines in own), default=0)):
+        for i in range(max((len(lines) for _, lines in own), default=0)):
             text, place = "", 0
-            for column, _, lines in own:
-                begin = sum(w + 2 for c, w in widths.items() if c < column)
-                text = text.ljust(begin) if begin > place else text
+            for column, lines in own:
+                begin = sums[bisect_left(known, column)]
+                if begin > place:
+                    text, place = text + " " * (begin - place), begin
                 piece = lines[i] if i < len(lines) else ""
-                text += ("  " if text and len(text) > begin else "") + piece
-                place = len(text)
+                gap = "  " if text and place > begin else ""
+                text, place = text + gap + piece, place + len(gap) + breadth(piece)
             out.append(text.rstrip())
     return out
 
 
+def hide_by_rules(root: Node) -> None:
+    """Marks elements that a rule of the page's own style sheets hides by tag, class or id; other selectors are left out."""
+    sheets, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style":
+            sheets += [x for x in node.children if isinstance(x, str)]
+        todo += [x for x in node.children if isinstance(x, Node)]
+    # By one thing that a selector asks for: what it asks for.
+    rules: dict[str, list[tuple[str, set[str]]]] = defaultdict(list)
+    for sheet in sheets:
+        # What stands in an at-rule depends on the device.
+        for rule in _AT_RULE.sub("", re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)).split("}"):
+            selectors, _, body = rule.partition("{")
+            if hidden_by(body):
+                for found in map(_SIMPLE.fullmatch, selectors.split(",")):
+                    if found and (found[1] or found[2]):
+                        marks = re.findall(r"[.#][\w-]+", found[2])
+                        tag = (found[1] or "").lower()
+                        rules[marks[0] if marks else tag].append((tag, set(marks)))
+    todo = [root] if rules else []
+    while todo:
+        node = todo.pop()
+        own = {"." + c for c in node.attributes.get("class", "").split()} | {"#" + node.attributes.get("id", "").strip()}
+        node.off = any(tag in ("", node.tag) and marks <= own for mark in (node.tag, *own) for tag, marks in rules.get(mark, ()))
+        todo += [x for x in node.children if isinstance(x, Node)]
+
+
 def visible_text(html: str) -> str:
-    return "\n".join(tidy(render(tree(html))))
+    root = tree(html)
+    hide_by_rules(root)
+    return "\n".join(tidy(render(root)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
