@@ -121,3 +121,27 @@ def test_only_built_in_functions(sf_docs):
 
 def test_empty_table(docs_of):
     assert pii.personal_data(docs_of([])).count() == 0
+
+
+def test_many_matches_in_one_text(docs_of):
+    """Places, overlaps and time where a text has more matches than a block."""
+    rows = [(1, " ".join(f"a{i}@b.cd x{i} 10.0.{i % 256}.{i % 300}" for i in range(3000))), (2, " ".join(f"n{i}" for i in range(100_000)))]
+    got = pii.personal_data(docs_of(rows)).collect()
+    check(rows, got)
+    assert {r.doc_id: r.n_email for r in got} == {1: 3000, 2: 0}
+
+
+def test_candidates_that_meet_base_spans_are_left_out(spark):
+    import random
+
+    rng = random.Random(2)
+    for _ in range(20):
+        some, at = [], 0
+        for _ in range(rng.randint(1, 400)):
+            at += rng.randint(1, 9)
+            some.append((at, at := at + rng.randint(1, 6)))
+        others = [(b, b + rng.randint(1, 40)) for b in (rng.randrange(at) for _ in range(rng.randint(1, 300)))]
+        kind = "array<struct<start:int,end:int>>"
+        df = spark.createDataFrame([(some, others)], f"a {kind}, b {kind}")
+        got = df.select(pii.unmet(pii.F.col("a"), pii.F.col("b")).alias("x")).first().x
+        assert [tuple(x) for x in got] == [s for s in some if not any(s[0] < o[1] and o[0] < s[1] for o in others)]

@@ -8,6 +8,8 @@ Only built-in functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,9 +36,21 @@ ROUNDS, TRUST, SUPPORT = 3, 0.6, 3
 #: Doubt: a pattern's instances count as so many unknown ones more.
 DOUBT = 1.0
 
+#: Matches that are worked on together.
+BLOCK = 128
 SPANS = "array<struct<start:int,end:int,value:string,left:string>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks(array: Column) -> Column:
+    """An array, not empty, in pieces of ``BLOCK``."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")), lambda b: F.slice(array, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern with their places in code points and what stands before them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -48,8 +62,19 @@ def spans(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"), F.right(pair["gap"], F.lit(48)).alias("left"))
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
+    def offset(done: Column, block: Column) -> Column:
+        return F.struct((done["at"] + block["at"]).alias("at"), F.concat(done["begins"], F.array(done["at"])).alias("begins"))
+
+    def moved(block: Column, begin: Column) -> Column:
+        move = lambda s: F.struct((s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"), s["value"].alias("value"), s["left"].alias("left"))
+        return F.transform(block["spans"], move)
+
+    # Places count from the begin of a block of matches, then from that of the text: adding to an array copies it.
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    everything = F.aggregate(F.filter(pairs, lambda p: p["value"].isNotNull()), start, add, lambda done: done["spans"])
+    matches = F.filter(pairs, lambda p: p["value"].isNotNull())
+    own = once(matches, lambda m: F.transform(blocks(m), lambda block: F.aggregate(block, start, add)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("begins"))
+    everything = once(own, lambda o: F.flatten(F.zip_with(o, F.aggregate(o, none, offset, lambda done: done["begins"]), moved)))
     return F.when(F.size(found) > 0, everything).otherwise(F.array().cast(SPANS))
 
 
@@ -87,9 +112,30 @@ def entities(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, base spans by kind, and candidate spans that overlap none of them."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", row_key().alias("row_key"), *[base(k, text).alias(k) for k in KINDS], F.when(text.rlike("[0-9]"), spans(text, CANDIDATE)).otherwise(F.array().cast(SPANS)).alias("candidates"))
-    known = F.concat(*KINDS)
-    free = F.filter("candidates", lambda c: ~F.exists(known, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"])))
-    return rows.withColumn("candidates", free)
+    return rows.withColumn("candidates", F.when((F.size("candidates") > 0) & (F.size(F.concat(*KINDS)) > 0), unmet(F.col("candidates"), F.concat(*KINDS))).otherwise(F.col("candidates")))
+
+
+def unmet(some: Column, others: Column) -> Column:
+    """The spans of ``some`` that overlap none of ``others``; neither is empty, ``some`` is in order and without overlaps.
+
+    Blocks of neighbours are held against each other first, spans only where their blocks meet.
+    """
+
+    def meet(a: Column, b: Column) -> Column:
+        return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+    def bounded(block: Column) -> Column:
+        ends = F.array_max(F.transform(block, lambda s: s["end"]))
+        return F.struct(block[0]["start"].alias("start"), ends.alias("end"), block.alias("spans"))
+
+    def left(block: Column, all_: Column) -> Column:
+        near = F.flatten(F.transform(F.filter(all_, lambda b: meet(b, block)), lambda b: b["spans"]))
+        return once(near, lambda n: F.filter(block["spans"], lambda s: ~F.exists(n, lambda k: meet(k, s))))
+
+    places = F.transform(others, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    ordered = once(F.array_sort(places), lambda o: F.transform(blocks(o), bounded))
+    own = once(some, lambda x: F.transform(blocks(x), bounded))
+    return once(F.struct(own.alias("own"), ordered.alias("all_")), lambda x: F.flatten(F.transform(x["own"], lambda block: left(block, x["all_"]))))
 
 
 def contexts(left: Column) -> Column:
