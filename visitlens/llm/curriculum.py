@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitlens.llm.shared import WORD, stage, total
+from visitlens.llm.shared import WORD, packed, stage, total
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -133,7 +133,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position."""
-    rows = stage(docs.withColumn("mix_row", F.monotonically_increasing_id()), "mix-input")
-    chosen = assign(stage(sized(rows, "mix_row"), "sizes")).filter(F.size("positions") > 0).select("mix_row", "positions")
-    copies = rows.join(chosen, "mix_row").select(*docs.columns, F.explode("positions").alias("mix_position"))
-    return copies.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    rows = stage(packed(docs, F.monotonically_increasing_id().alias("row_no")), "mix-input")
+    chosen = assign(stage(sized(rows.select("row_no", "row.doc_id", "row.source", "row.text"), "row_no"), "sizes")).filter(F.size("positions") > 0).select("row_no", "positions")
+    copies = rows.join(chosen, "row_no").select("row", F.explode("positions").alias("position"))
+    return copies.repartitionByRange("position").sortWithinPartitions("position").select("row.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitlens.llm.shared import stage, word_hashes
+from visitlens.llm.shared import stage, total, word_hashes
 
 #: Labelled rows that the model is fitted on at most, chosen by a hash of doc_id.
 SAMPLE = 60_000
@@ -189,10 +189,19 @@ def with_features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, features array<double>")
 
 
-def trained(table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on at most ``sample`` labelled rows that are not held out, in the order of a hash of doc_id."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits a model on at most ``sample`` labelled rows that are not held out, those with the smallest hashes of doc_id.
+
+    A bound on the hash picks the labels first, a tenth more than are wanted, so features are worked out for their
+    documents alone; the list that is broadcast is as short as the sample.
+    """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = table.filter("not held_out").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = stage(known.filter(~held_out()), "labels")
+    share = 1.1 * (sample + 100) / max(1, total(known))
+    if share < 1:
+        known = known.filter(F.xxhash64("doc_id") < F.lit(int(share * (1 << 64)) - (1 << 63)))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    rows = with_features(chosen).join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found: pd.DataFrame = rows.select("features", "quality").toPandas()
     x = np.array(found["features"].tolist(), np.float64).reshape(len(found), len(FEATURES))
     return fit(x, found["quality"].to_numpy(np.float64))
@@ -205,29 +214,29 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text scores like the empty one; a null doc_id is scored and never trains. Other columns of ``docs`` are never
     looked at. An empty table gives none.
     """
-    table = stage(with_features(docs), "features")
-    model = trained(table, labels)
+    model = trained(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
-            score = model.score(x)
+            score = model.score(feature_table(batch.column(2)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= GOOD).astype(np.int32))],
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return table.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the model accepts, with all their columns; no text is shuffled."""
-    model = trained(stage(with_features(docs), "features"), labels)
+    model = trained(docs, labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.score(feature_table(batch.column(at))) >= GOOD))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Any name of a column will do, also one with a dot.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

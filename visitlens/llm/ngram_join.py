@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitlens.llm.components import components
-from visitlens.llm.shared import attach, mix, row_key, stage, total, with_maybe, without, word_hashes
+from visitlens.llm.shared import attach, mix, packed, row_key, stage, total, with_maybe, without, word_hashes
 
 #: Words in an n-gram, and the similarity that links, in hundredths.
 N, PERCENT = 5, 75
@@ -407,5 +407,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     again = stage(found.join(gone, "row_key", "left_anti").groupBy("row_key").count().filter("count > 1").select("row_key"), "repeated")
     if again.isEmpty():
         return kept
-    marked = with_maybe(kept.withColumn("row_key", row_key()), "row_key", again, "row_key")
-    return marked.filter("not maybe").unionByName(marked.filter("maybe").dropDuplicates(["row_key"])).select(*docs.columns)
+    marked = with_maybe(packed(kept, row_key().alias("row_key")), "row_key", again, "row_key")
+    return marked.filter("not maybe").unionByName(marked.filter("maybe").dropDuplicates(["row_key"])).select("row.*")

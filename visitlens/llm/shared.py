@@ -50,11 +50,14 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, parts: int =
     limit = max(1, total(groups, F.col(size)) // parts)
     extra = [c for c in groups.columns if c != key]
     hot = groups.filter(F.col(size) > limit).withColumnsRenamed({c: f"hot_{c}" for c in extra})
-    rest = groups.filter(F.col(size) <= limit).withColumn("spread", F.lit(0)).withColumnRenamed(key, "rest_key")
+    # Always 0, but no constant: the planner would drop a constant from the keys that the rows are dealt by.
+    zero = F.pmod(F.xxhash64(key), F.lit(1)).cast("int")
+    rest = groups.filter(F.col(size) <= limit).withColumn("spread", zero).withColumnRenamed(key, "rest_key")
     # Rows of a heavy key have their answer already: they go anywhere, to find nothing.
     anywhere = F.pmod(F.xxhash64(*rows.columns), F.lit(parts)).cast("int") + 1
     first = rows.join(F.broadcast(hot), key, "left")
-    first = first.withColumn("row_spread", F.when(F.col(f"hot_{size}").isNull(), 0).otherwise(anywhere))
+    # So do rows without a key.
+    first = first.withColumn("row_spread", F.when(F.col(f"hot_{size}").isNull() & F.col(key).isNotNull(), 0).otherwise(anywhere))
     both = first.join(rest, (F.col(key) == F.col("rest_key")) & (F.col("row_spread") == F.col("spread")), "left")
     return both.select(*rows.columns, *[F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in extra])
 
@@ -84,10 +87,14 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     Rows that are surely not listed pass by; only the others are shuffled.
     """
-    keyed = docs.withColumn("row_key", row_key())
-    marked = with_maybe(keyed, "row_key", gone, "row_key")
+    marked = with_maybe(packed(docs, row_key().alias("row_key")), "row_key", gone, "row_key")
     rest = marked.filter("maybe").join(gone.select("row_key").distinct(), "row_key", "left_anti")
-    return marked.filter("not maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return marked.filter("not maybe").select("row.*").unionByName(rest.select("row.*"))
+
+
+def packed(docs: DataFrame, *own: Column) -> DataFrame:
+    """``row``, a struct of all columns, and columns of an operator's own, which so meet none of the caller's names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *own)
 
 
 def row_key() -> Column:
