@@ -31,6 +31,7 @@ from visitlens.plans import undetermined as N
 from visitlens.sources import bindings as B
 from visitlens.sources import dims, logs, sinks, upkeep
 from visitlens.streaming import ingest as G
+from visitlens.streaming import kept
 from visitlens.streaming.scratch import shared_dir, staged
 
 AS_OF = B.AS_OF
@@ -636,7 +637,7 @@ def streamed_ingestion(spark, sf):
 
 
 def _job(spark: SparkSession, sf: str, root: str, **more) -> G.Ingestion:
-    geo, asn = networks(B.geo_networks(spark, sf)), networks(B.asn_networks(spark, sf))
+    geo, asn = prepared(networks(B.geo_networks(spark, sf)), "geo"), prepared(networks(B.asn_networks(spark, sf)))
     return G.Ingestion(f"{root}/events", f"{root}/progress", f"{root}/state", geo, asn, **more)
 
 
@@ -701,6 +702,27 @@ def compacted_days(spark, sf):
     return rows
 
 
+@query
+def kept_dashboard(spark, sf):
+    """Requests and visitors by label from kept aggregates, after late files, compaction and a relabelling run."""
+    root, web = shared_dir(spark, "kept"), B.web_events(spark, sf)
+    job = _job(spark, sf, root, max_files=1, kept_path=f"{root}/kept")
+    for part in ("timestamp >= '2024-01-12'", "timestamp < '2024-01-12'", "id % 2 = 0"):
+        B.raw_lines(web.where(part)).coalesce(1).write.mode("append").text(f"{root}/logs")
+    G.ingest_stream(spark, f"{root}/logs", job).awaitTermination()
+    path = job.events_path
+    days = upkeep.stored_days(spark, path)
+    upkeep.compact(spark, path, f"{root}/runs", days[:9])
+    changes = sinks.read_events(spark, path).where("event_date < '2024-01-05'")
+    C.relabel(spark, path, changes.select(*C.ROW_KEYS, F.lit("early").alias("bot_classification")), f"{root}/runs")
+    kept.rebuild(spark, path, job.kept_path, days[:9])
+    parts = kept.read_parts(spark, job.kept_path)
+    exact = sinks.read_events(spark, path).groupBy("bot_classification").agg(F.countDistinct("client_ip").alias("exact"))
+    found = kept.summed(parts, ["bot_classification"], "2024-01-01 00:00:00", "2025-01-01 00:00:00").join(exact, "bot_classification")
+    close = F.abs(F.col("visitors") - F.col("exact")) <= 0.03 * F.col("exact")
+    return found.select("bot_classification", "requests", "exact", close.alias("close"))
+
+
 @query
 def expired_table(spark, sf):
     """A table after days outside the retention period were removed, twice."""

@@ -1243,6 +1243,15 @@ web(
     headers("kept"),
     *LAB,
 )
+web(
+    "kept_dashboard",
+    f"""SELECT bot_classification, count(*) AS requests, count(DISTINCT client_ip) AS exact, true AS close FROM (
+      SELECT client_ip, CASE WHEN {DAY} < '2024-01-05' THEN 'early' ELSE cls END AS bot_classification FROM lab) GROUP BY 1""",
+    FOUND_NET,
+    BUILT,
+    headers("kept"),
+    *LAB,
+)
 
 web(
     "late_ingestion",

@@ -124,7 +124,7 @@ def test_compaction_that_broke_off_is_run_again(spark, batches, broke):
     if broke != "before":
         sinks.write_events(sinks.read_events(spark, f"{run}/events"), path)
     if broke == "halfway":
-        upkeep._remove(spark, f"{path}/event_date=2024-01-01/batch_id=2")
+        upkeep.remove_folder(spark, f"{path}/event_date=2024-01-01/batch_id=2")
     for _ in range(2):
         assert upkeep.commit_merged(spark, run, path) == []
         assert labels(spark, path) == before and sinks.read_events(spark, path).count() == len(before)

@@ -145,7 +145,7 @@ def commit_merged(spark: SparkSession, run: str, path: str) -> list[Directory]:
         write_events(read_events(spark, f"{run}/events").where(F.col("event_date").isin(todo)), path)
     for r in sources:
         if r.batch_id != COMPACTED and r.now == r.version and (r.event_date in done or r.event_date in todo):
-            _remove(spark, f"{path}/event_date={r.event_date}/batch_id={r.batch_id}")
+            remove_folder(spark, f"{path}/event_date={r.event_date}/batch_id={r.batch_id}")
     return refused
 
 
@@ -166,7 +166,7 @@ def _place(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_folder(spark: SparkSession, path: str) -> None:
     place, fs = _place(spark, path)
     fs.delete(place, True)
 
@@ -214,5 +214,5 @@ def expire_days(spark: SparkSession, path: str, as_of: dt.datetime | str, days:
     busy = loading_days(spark, path) if expired else set()
     gone = [day for day in expired if day not in busy]
     for day in gone:
-        _remove(spark, f"{path}/event_date={day}")
+        remove_folder(spark, f"{path}/event_date={day}")
     return gone

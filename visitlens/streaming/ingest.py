@@ -27,6 +27,7 @@ from visitlens.settings import DEFAULT, Settings
 from visitlens.sources.dims import last_mark, read_bans
 from visitlens.sources.logs import parse_logs, read_lines, split_lines, split_read, stream_logs
 from visitlens.sources.sinks import read_days, to_stored, write_events
+from visitlens.streaming.kept import keep_batch
 from visitlens.streaming.scratch import staged
 
 INGEST_INTERVAL = "10 minutes"
@@ -75,7 +76,8 @@ class Ingestion:
     """Everything one ingestion run needs besides the log folder.
 
     ``since`` is a time, or ``"mark"`` to take up where the stored progress ends, an hour ago on the
-    first run. Unreadable lines go to ``bad_path`` if there is one.
+    first run. Unreadable lines go to ``bad_path`` if there is one, and hourly aggregates of what is
+    stored to ``kept_path``.
     """
 
     events_path: str
@@ -89,6 +91,7 @@ class Ingestion:
     path_aware: bool = True
     max_files: int | None = None
     bad_path: str | None = None
+    kept_path: str | None = None
 
 
 def unstored(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
@@ -120,6 +123,9 @@ def write_batch(batch: DataFrame, batch_id: int, job: Ingestion) -> None:
         metrics = (F.max("timestamp").alias("newest"), F.max_by("cf_ray", "timestamp").alias("ray"), F.count(F.lit(1)).alias("rows"))
         write_events(events.observe(written, *metrics), job.events_path)
         seen = written.get
+        if job.kept_path and seen["rows"]:
+            days = [r[0] for r in fresh.select(F.to_date("timestamp")).distinct().collect()]  # one value a day
+            keep_batch(spark, job.events_path, job.kept_path, batch_id, days)
     finally:
         fresh.unpersist()
     if not seen["rows"]:
