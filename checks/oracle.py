@@ -1253,6 +1253,20 @@ web(
     *LAB,
 )
 
+_MIDNIGHT = """date_trunc('day', "timestamp")"""
+web(
+    "ingested_session_labels",
+    "SELECT cls AS bot_classification, name AS bot_name, count(*) AS count FROM lab GROUP BY 1, 2",
+    f"""busy AS (SELECT * REPLACE (make_timestamp(epoch_us({_MIDNIGHT}) + (epoch_us("timestamp") - epoch_us({_MIDNIGHT})) // 8640) AS "timestamp")
+      FROM web)""",
+    FOUND_NET.replace("FROM web", "FROM busy"),
+    BUILT,
+    f"""paced AS (SELECT *, {span('min("timestamp") OVER day', 'max("timestamp") OVER day')} AS s, count(*) OVER day AS n
+      FROM kept WINDOW day AS (PARTITION BY client_ip, {DAY}))""",
+    headers("paced", "coalesce(s > 0 AND n / s > 0.5, false)"),
+    *LAB,
+)
+
 web(
     "late_ingestion",
     f"SELECT {DAY} AS event_date, count(*) AS count FROM kept GROUP BY 1",

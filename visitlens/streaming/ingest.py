@@ -27,7 +27,8 @@ from visitlens.settings import DEFAULT, Settings
 from visitlens.sources.dims import last_mark, read_bans
 from visitlens.sources.logs import parse_logs, read_lines, split_lines, split_read, stream_logs
 from visitlens.sources.sinks import read_days, to_stored, write_events
-from visitlens.streaming.kept import keep_batch
+from visitlens.streaming.activity import amend, keep_activity, read_activity, with_activity
+from visitlens.streaming.kept import keep_batch, rebuild
 from visitlens.streaming.scratch import staged
 
 INGEST_INTERVAL = "10 minutes"
@@ -77,7 +78,7 @@ class Ingestion:
 
     ``since`` is a time, or ``"mark"`` to take up where the stored progress ends, an hour ago on the
     first run. Unreadable lines go to ``bad_path`` if there is one, and hourly aggregates of what is
-    stored to ``kept_path``.
+    stored to ``kept_path``. With ``activity_path`` the rate rules apply, see :mod:`visitlens.streaming.activity`.
     """
 
     events_path: str
@@ -92,6 +93,7 @@ class Ingestion:
     max_files: int | None = None
     bad_path: str | None = None
     kept_path: str | None = None
+    activity_path: str | None = None
 
 
 def unstored(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
@@ -119,13 +121,23 @@ def write_batch(batch: DataFrame, batch_id: int, job: Ingestion) -> None:
     fresh = unstored(wanted(batch, job.settings, bans), batch_id, job.events_path).persist()
     try:
         written = Observation("written")
-        events = to_stored(build_events(fresh, job.geo, job.networks, job.path_aware)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows, days = fresh, []
+        if job.kept_path or job.activity_path:
+            days = [r[0] for r in fresh.select(F.to_date("timestamp")).distinct().collect()]  # one value a day
+        if job.activity_path:
+            rows = fresh.withColumns({"event_date": F.to_date("timestamp"), "batch_id": F.lit(batch_id).cast("bigint")})
+            keep_activity(rows, job.activity_path)
+            rows = with_activity(rows, read_activity(spark, job.activity_path, days), batch_id)
+        events = to_stored(build_events(rows, job.geo, job.networks, job.path_aware)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         metrics = (F.max("timestamp").alias("newest"), F.max_by("cf_ray", "timestamp").alias("ray"), F.count(F.lit(1)).alias("rows"))
         write_events(events.observe(written, *metrics), job.events_path)
         seen = written.get
         if job.kept_path and seen["rows"]:
-            days = [r[0] for r in fresh.select(F.to_date("timestamp")).distinct().collect()]  # one value a day
             keep_batch(spark, job.events_path, job.kept_path, batch_id, days)
+        if job.activity_path and seen["rows"]:
+            amended = amend(spark, job.events_path, job.activity_path, batch_id, days, job.path_aware)
+            if job.kept_path and amended:
+                rebuild(spark, job.events_path, job.kept_path, amended)
     finally:
         fresh.unpersist()
     if not seen["rows"]:
