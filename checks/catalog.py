@@ -16,6 +16,7 @@ from visitlens.functions.metrics import requests
 from visitlens.operators import changes as C
 from visitlens.operators import filters as P
 from visitlens.operators import reclassify as U
+from visitlens.operators.bursts import peaks
 from visitlens.operators.classify import classify_v1, classify_v2, unpack
 from visitlens.operators.enrich import datacenter_provider, enrich, enrich_asn, enrich_geo
 from visitlens.operators.ranges import networks, prepared
@@ -74,6 +75,7 @@ for _rng in ("6h", "24h", "7d", "30d"):
     on_web(f"filled_timeline_{_rng}", D.filled_timeline, AS_OF, _rng, on_topic=True)
 on_web("classification_breakdown", D.classification_breakdown, AS_OF, "7d")
 on_web("top_bots", D.top_bots, AS_OF, "30d", on_topic=True)
+on_web("busiest_bots", D.busiest_bots, AS_OF, "30d", on_topic=True)
 on_web("geo_heatmap", D.geo_heatmap, AS_OF, "30d")
 on_web("coloured_heatmap", D.coloured_heatmap, AS_OF, "7d")
 
@@ -106,6 +108,7 @@ on_web("residential_patterns", X.residential_patterns, AS_OF, "30d")
 on_web("asn_analysis", X.asn_analysis, AS_OF, "30d")
 on_web("asn_analysis_current_labels", X.asn_analysis, AS_OF, "30d", labels="v2")
 on_web("unique_ips", X.unique_ips, AS_OF, "30d")
+on_web("busiest_ips", X.busiest_ips, AS_OF, "30d")
 on_web("geographic_clusters", X.geographic_clusters, AS_OF, "30d")
 
 # Summaries
@@ -175,7 +178,9 @@ on_web("pattern_evidence", J.pattern_evidence)
 # Journeys and declared tables
 on_web("journeys", J.journeys)
 on_web("funnel", J.funnel)
-on_web("behavior_patterns", J.behavior_patterns)
+on_web("behavior_patterns", J.behavior_patterns, arrays=True)
+on_web("behavior_pattern_rows", J.behavior_patterns)
+on_web("peak_requests", peaks, 6 * 3600)
 on_web("query_events", J.query_events, "24h", AS_OF, bot_classification=["human", "web_crawler"], method="GET")
 
 

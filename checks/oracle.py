@@ -227,6 +227,7 @@ def bots(rng: str, topic: bool) -> str:
 
 
 web("top_bots", bots("30d", True))
+ORACLES["busiest_bots"] = ORACLES["top_bots"]
 
 
 def heat(rng: str) -> str:
@@ -328,6 +329,7 @@ web(
     ORDER BY total_requests DESC, client_ip, subnet, bot_classification NULLS FIRST, country NULLS FIRST,
       city NULLS FIRST, datacenter_provider NULLS FIRST, asn_org NULLS FIRST LIMIT 500""",
 )
+ORACLES["busiest_ips"] = ORACLES["unique_ips"]
 web(
     "geographic_clusters",
     f"""SELECT country, city, {rnd('avg(latitude)', 2)} AS avg_lat, {rnd('avg(longitude)', 2)} AS avg_lng,
@@ -735,24 +737,37 @@ web(
     """SELECT funnel_stage, count(*) AS journeys, CAST(sum(unique_ips) AS BIGINT) AS unique_ips FROM journeys GROUP BY 1""",
     JOURNEYS,
 )
-web(
-    "behavior_patterns",
+_PATTERN_ROWS = (
     """SELECT detected_at, client_ip, subnet, 'rapid_sequential' AS pattern_type,
       CAST(round(CAST(least(1.0, greatest(0.0, 0.5 + rate / 2)) AS DECIMAL(38,12)), 4) AS DOUBLE) AS confidence_score,
-      request_count, CAST(floor(s) AS BIGINT) AS time_span_seconds, sites_visited, paths_accessed,
+      request_count, CAST(floor(s) AS BIGINT) AS time_span_seconds, peak AS peak_requests, sites_visited, paths_accessed,
       'ai_stealth' AS suggested_classification
-    FROM act WHERE rate > 0.5 OR (s < 120 AND request_count > 20)
+    FROM act WHERE rate > 0.5 OR peak > 20
     UNION ALL SELECT detected_at, client_ip, subnet, 'data_harvesting', CAST(round(CAST(div AS DECIMAL(38,12)), 4) AS DOUBLE),
-      request_count, CAST(floor(s) AS BIGINT), sites_visited, paths_accessed, 'ai_stealth'
+      request_count, CAST(floor(s) AS BIGINT), peak AS peak_requests, sites_visited, paths_accessed, 'ai_stealth'
     FROM act WHERE paths > %d OR (div > %s AND request_count >= 20)
     UNION ALL SELECT detected_at, client_ip, subnet, 'cross_site_journey', CAST(round(CAST(stages / 3 AS DECIMAL(38,12)), 4) AS DOUBLE),
-      request_count, CAST(floor(s) AS BIGINT), sites_visited, paths_accessed, NULL
+      request_count, CAST(floor(s) AS BIGINT), peak AS peak_requests, sites_visited, paths_accessed, NULL
     FROM act WHERE stages >= 2"""
-    % (HARVEST_PATHS, HARVEST_DIVERSITY),
-    f"""act AS (SELECT *, CASE WHEN s > 0 THEN request_count / s ELSE 0 END AS rate, paths / request_count AS div FROM (
+    % (HARVEST_PATHS, HARVEST_DIVERSITY)
+)
+_ACT = f"""act AS (SELECT *, CASE WHEN s > 0 THEN request_count / s ELSE 0 END AS rate, paths / request_count AS div FROM (
       SELECT {ts('max("timestamp")')} AS detected_at, client_ip, min(subnet) AS subnet, count(*) AS request_count, {span()} AS s,
         count(DISTINCT path) AS paths, count(DISTINCT {SITE}) FILTER (WHERE {SITE} IN ('{FIRST}', '{SECOND}', '{THIRD}')) AS stages,
-        {arr(SITE)} AS sites_visited, {arr('path')} AS paths_accessed FROM web GROUP BY client_ip))""",
+        {arr(SITE)} AS sites_visited, {arr('path')} AS paths_accessed, max(near) AS peak FROM near GROUP BY client_ip))"""
+
+
+def near(seconds: int) -> str:
+    return f"""near AS (SELECT *, count(*) OVER (PARTITION BY client_ip ORDER BY epoch_us("timestamp")
+      RANGE BETWEEN {seconds * 1_000_000 - 1} PRECEDING AND CURRENT ROW) AS near FROM web)"""
+
+
+web("behavior_patterns", _PATTERN_ROWS, near(120), _ACT)
+web("behavior_pattern_rows", _PATTERN_ROWS.replace("sites_visited, paths_accessed, ", "").replace("sites_visited, paths_accessed,\n", ""), near(120), _ACT)
+web(
+    "peak_requests",
+    f"""SELECT client_ip, max(near) AS peak, {ts('arg_max("timestamp", (near, -epoch_us("timestamp")))')} AS peak_at FROM near GROUP BY 1""",
+    near(6 * 3600),
 )
 _EVENT_COLUMNS = """id, duration, client_ip, subnet, country, city, latitude, longitude, cf_ray, asn, asn_org,
   datacenter_provider, site, method, path, query_string, status, response_size, user_agent, has_sec_fetch_headers,

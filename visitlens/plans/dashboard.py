@@ -16,6 +16,7 @@ from visitlens.functions.metrics import (
     time_bucket,
 )
 from visitlens.operators.filters import scope
+from visitlens.operators.heavy import heavy_groups
 from visitlens.operators.scoring import dominant_class
 from visitlens.plans.common import largest_first, top
 from visitlens.settings import DEFAULT, Settings
@@ -108,6 +109,12 @@ def top_bots(
     return top(named.groupBy(F.col("bot_name").alias("name")).agg(requests()), "count", ["name"], limit)
 
 
+def busiest_bots(events: DataFrame, as_of, rng: str = "24h", limit: int = 10, settings: Settings = DEFAULT, on_topic: bool = False) -> DataFrame:
+    """:func:`top_bots` by summaries, for names so many that counting them all would be a shuffle of its own."""
+    named = scope(events, rng, as_of, settings, on_topic).where(F.col("is_bot") & F.col("bot_name").isNotNull())
+    return heavy_groups(named.withColumn("name", F.col("bot_name")), ["name"], limit)
+
+
 def geo_heatmap(
     events: DataFrame, as_of, rng: str = "24h", settings: Settings = DEFAULT, on_topic: bool = False
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from visitlens.functions import rules
 from visitlens.functions.labels import funnel_stage, norm_site
 from visitlens.functions.metrics import requests
+from visitlens.operators.bursts import peaks
 from visitlens.operators.filters import in_range
 from visitlens.settings import DEFAULT, Settings
 from visitlens.streaming.scratch import staged
@@ -84,7 +85,7 @@ def _usual_label(parts: DataFrame) -> DataFrame:
 
 def funnel(events: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Journeys per furthest stage."""
-    stages = journeys(events, settings).groupBy("funnel_stage")
+    stages = journeys(events, settings, all_sites=False).groupBy("funnel_stage")
     return stages.agg(requests("journeys"), F.sum("unique_ips").alias("unique_ips")).orderBy("funnel_stage")
 
 
@@ -94,14 +95,15 @@ def pattern_evidence(events: DataFrame) -> DataFrame:
     return rows.groupBy("client_ip", "site", "path").agg(requests())
 
 
-def behavior_patterns(events: DataFrame, settings: Settings = DEFAULT, as_of=None) -> DataFrame:
+def behavior_patterns(events: DataFrame, settings: Settings = DEFAULT, as_of=None, arrays: bool = False) -> DataFrame:
     """Addresses that look automated, one row per address and pattern.
 
-    ``rapid_sequential``: above 0.5 requests per second, or more than 20 requests within 2 minutes.
+    ``rapid_sequential``: above 0.5 requests per second, or more than 20 requests in any 2 minutes of a stay; the most
+    requests in 2 minutes are ``peak_requests``.
     ``data_harvesting``: more than 50 paths, or over 80 % distinct paths in at least 20 requests.
     ``cross_site_journey``: at least two funnel sites.
-    Evidence arrays hold the distinct sites and paths of the flagged addresses only; they are for addresses
-    with few of them, and :func:`pattern_evidence` has them as rows.
+    :func:`pattern_evidence` has the sites and paths as rows. ``arrays`` puts the distinct ones of the flagged
+    addresses into arrays, for addresses with few of them.
     """
     rows = events.withColumn("site", norm_site()).where("client_ip is not null")
     per_path = staged(
@@ -119,10 +121,12 @@ def behavior_patterns(events: DataFrame, settings: Settings = DEFAULT, as_of=Non
         F.count_distinct("path").alias("paths"),
         F.count_distinct(F.when(F.col("site").isin(*settings.funnel_sites), F.col("site"))).alias("stages"),
     )
-    n, seconds = F.col("request_count"), F.col("span")
-    rate = F.coalesce(F.try_divide(n, seconds), F.lit(0.0))
+    bursts = staged(peaks(events, rules.BURST_SECONDS), "peaks").select("client_ip", F.col("peak").alias("peak_requests"))
+    per_ip = per_ip.join(bursts, "client_ip", "left")
+    n = F.col("request_count")
+    rate = F.coalesce(F.try_divide(n, F.col("span")), F.lit(0.0))
     diversity = F.col("paths") / n
-    rapid = (rate > rules.HUMAN_MAX_RATE) | ((seconds < rules.BURST_SECONDS) & (n > rules.BURST_REQUESTS))
+    rapid = (rate > rules.HUMAN_MAX_RATE) | (F.coalesce(F.col("peak_requests"), F.lit(0)) > rules.BURST_REQUESTS)
     harvesting = (F.col("paths") > HARVEST_PATHS) | ((diversity > HARVEST_DIVERSITY) & (n >= rules.BURST_REQUESTS))
 
     def pattern(condition, name: str, confidence, suggested):
@@ -142,30 +146,24 @@ def behavior_patterns(events: DataFrame, settings: Settings = DEFAULT, as_of=Non
         )
     )
     flagged = per_ip.withColumn("_found", found).where(F.size("_found") > 0)
-    evidence = (
-        per_path.join(flagged.select("client_ip"), "client_ip", "left_semi")
-        .groupBy("client_ip")
-        .agg(
-            F.sort_array(F.collect_set("site")).alias("sites_visited"),
-            F.sort_array(F.collect_set("path")).alias("paths_accessed"),
-        )
-    )
+    listed = []
+    if arrays:
+        listed = ["sites_visited", "paths_accessed"]
+        values = [F.sort_array(F.collect_set(c)).alias(name) for c, name in zip(("site", "path"), listed, strict=True)]
+        of_flagged = per_path.join(flagged.select("client_ip"), "client_ip", "left_semi")
+        flagged = flagged.join(of_flagged.groupBy("client_ip").agg(*values), "client_ip")
     detected = F.col("last") if as_of is None else F.lit(as_of).cast("timestamp")
-    return (
-        flagged.join(evidence, "client_ip")
-        .withColumn("_pattern", F.explode("_found"))
-        .select(
-            detected.alias("detected_at"),
-            "client_ip",
-            "subnet",
-            "_pattern.pattern_type",
-            "_pattern.confidence_score",
-            "request_count",
-            F.floor("span").alias("time_span_seconds"),
-            "sites_visited",
-            "paths_accessed",
-            "_pattern.suggested_classification",
-        )
+    return flagged.withColumn("_pattern", F.explode("_found")).select(
+        detected.alias("detected_at"),
+        "client_ip",
+        "subnet",
+        "_pattern.pattern_type",
+        "_pattern.confidence_score",
+        "request_count",
+        "peak_requests",
+        F.floor("span").alias("time_span_seconds"),
+        *listed,
+        "_pattern.suggested_classification",
     )
 
 
