@@ -1288,6 +1288,7 @@ web(
     FOUND_NET,
     BUILT,
 )
+ORACLES["pruned_ingestion"] = ORACLES["late_ingestion"]
 web(
     "compacted_days",
     f"SELECT {DAY} AS event_date, count(*) AS count, CAST(1 AS BIGINT) AS directories FROM kept GROUP BY 1",

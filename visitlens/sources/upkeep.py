@@ -171,7 +171,7 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
-def _names(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+def names(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     """Names in a folder and when they were changed, in milliseconds."""
     place, fs = _place(spark, path)
     return [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(place)] if fs.exists(place) else []
@@ -184,7 +184,7 @@ def _days(names: Iterable[tuple[str, int]]) -> list[dt.date]:
 
 def stored_days(spark: SparkSession, path: str) -> list[dt.date]:
     """Days that have a directory."""
-    return _days(_names(spark, path))
+    return _days(names(spark, path))
 
 
 def loading_days(spark: SparkSession, path: str, stale: dt.timedelta = dt.timedelta(days=1)) -> set[dt.date]:
@@ -194,13 +194,13 @@ def loading_days(spark: SparkSession, path: str, stale: dt.timedelta = dt.timede
     """
     since = (dt.datetime.now(dt.timezone.utc) - stale).timestamp() * 1000
     found: set[dt.date] = set()
-    for name, changed in _names(spark, path):
+    for name, changed in names(spark, path):
         if name.startswith(".spark-staging-") and changed >= since:
             tasks = f"{path}/{name}/_temporary/0"
-            places = [f"{path}/{name}", *[f"{tasks}/{n}" for n, _ in _names(spark, tasks)]]
-            places += [f"{tasks}/_temporary/{n}" for n, _ in _names(spark, f"{tasks}/_temporary")]
+            places = [f"{path}/{name}", *[f"{tasks}/{n}" for n, _ in names(spark, tasks)]]
+            places += [f"{tasks}/_temporary/{n}" for n, _ in names(spark, f"{tasks}/_temporary")]
             for place in places:
-                found.update(_days(_names(spark, place)))
+                found.update(_days(names(spark, place)))
     return found
 
 

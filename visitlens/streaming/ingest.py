@@ -30,6 +30,7 @@ from visitlens.sources.sinks import read_days, to_stored, write_events
 from visitlens.streaming.activity import amend, keep_activity, read_activity, with_activity
 from visitlens.streaming.kept import keep_batch, rebuild
 from visitlens.streaming.scratch import staged
+from visitlens.streaming.times import keep_times, read_candidates
 
 INGEST_INTERVAL = "10 minutes"
 
@@ -78,7 +79,8 @@ class Ingestion:
 
     ``since`` is a time, or ``"mark"`` to take up where the stored progress ends, an hour ago on the
     first run. Unreadable lines go to ``bad_path`` if there is one, and hourly aggregates of what is
-    stored to ``kept_path``. With ``activity_path`` the rate rules apply, see :mod:`visitlens.streaming.activity`.
+    stored to ``kept_path``. With ``activity_path`` the rate rules apply, see :mod:`visitlens.streaming.activity`,
+    and with ``times_path`` a batch reads keys of those directories only that share a second with it.
     """
 
     events_path: str
@@ -94,16 +96,17 @@ class Ingestion:
     bad_path: str | None = None
     kept_path: str | None = None
     activity_path: str | None = None
+    times_path: str | None = None
 
 
-def unstored(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+def unstored(batch: DataFrame, batch_id: int, path: str, times_path: str | None = None) -> DataFrame:
     """The rows of a batch, each once, that no other batch or load has stored, however late they come.
 
     Only the days the batch touches are read, and of those only the keys.
     """
     once = batch.dropDuplicates(list(EVENT_KEYS))
     days = [r[0] for r in batch.select(F.to_date("timestamp")).distinct().collect()]  # one value a day
-    stored = read_days(batch.sparkSession, path, days)
+    stored = read_candidates(batch, path, times_path, days) if times_path else read_days(batch.sparkSession, path, days)
     if stored is None:
         return once
     return once.join(stored.where(F.col("batch_id") != batch_id).select(*EVENT_KEYS), list(EVENT_KEYS), "left_anti")
@@ -118,16 +121,19 @@ def write_batch(batch: DataFrame, batch_id: int, job: Ingestion) -> None:
     spark = batch.sparkSession
     started = dt.datetime.now(dt.timezone.utc)
     bans = read_bans(spark, job.bans_path) if job.bans_path else None
-    fresh = unstored(wanted(batch, job.settings, bans), batch_id, job.events_path).persist()
+    fresh = unstored(wanted(batch, job.settings, bans), batch_id, job.events_path, job.times_path).persist()
     try:
         written = Observation("written")
         rows, days = fresh, []
+        own = fresh.withColumns({"event_date": F.to_date("timestamp"), "batch_id": F.lit(batch_id).cast("bigint")})
+        if job.times_path:
+            # Before the events, so that no directory has a set that lacks rows of it.
+            keep_times(own, job.times_path)
         if job.kept_path or job.activity_path:
             days = [r[0] for r in fresh.select(F.to_date("timestamp")).distinct().collect()]  # one value a day
         if job.activity_path:
-            rows = fresh.withColumns({"event_date": F.to_date("timestamp"), "batch_id": F.lit(batch_id).cast("bigint")})
-            keep_activity(rows, job.activity_path)
-            rows = with_activity(rows, read_activity(spark, job.activity_path, days), batch_id)
+            keep_activity(own, job.activity_path)
+            rows = with_activity(own, read_activity(spark, job.activity_path, days), batch_id)
         events = to_stored(build_events(rows, job.geo, job.networks, job.path_aware)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         metrics = (F.max("timestamp").alias("newest"), F.max_by("cf_ray", "timestamp").alias("ray"), F.count(F.lit(1)).alias("rows"))
         write_events(events.observe(written, *metrics), job.events_path)
