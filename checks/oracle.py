@@ -678,7 +678,7 @@ web(
 )
 ORACLES["suspicious_visitors_listed"] = ORACLES["suspicious_visitors"]
 ORACLES["suspicious_visitors"] = ORACLES["suspicious_visitors"].replace("LIMIT 20", "")
-REVIEWED_IPS = f"client_ip IN {inside(R.REVIEW_IPS)}"
+REVIEWED_IPS = f"client_ip IN {inside(DEFAULT.reviewed_ips)}"
 web("reviewed_profiles", f"SELECT * FROM full_profile WHERE {REVIEWED_IPS}", PROFILE, MODES, FULL)
 ORACLES["reviewed_paths"] = f"SELECT * FROM ({ORACLES['sample_paths']}) WHERE {REVIEWED_IPS}"
 

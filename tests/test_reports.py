@@ -205,3 +205,32 @@ def test_row_jobs_in_place_equal_their_change_sets(web):
         columns = [c for c, kind in web.dtypes if not kind.startswith("map")]
         a, b = changes.apply_changes(web, change_set).select(columns), reclassify.applied(web, job).select(columns)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_visitor_checks_counted_in_one_read(spark):
+    """Visitors of each check, of several and of none; nulls in every key; rows on the edges of both ranges."""
+    import random
+
+    from visitlens.plans import investigate
+
+    rng = random.Random(5)
+    end = dt.datetime(2024, 1, 31)
+    rows = [(None, None, "/", 3), ("edge", "a", "/1", 7 * 86400), ("edge", "a", "/1", 30 * 86400), ("edge", "a", None, 0)]
+    rows += [("fast", "a", "/same", 1000 + i) for i in range(120)]
+    rows += [("paths", "a", f"/{i % 60}", i * 300) for i in range(600)]
+    rows += [(None, "awake", f"/{i % 3}", i * 1800) for i in range(300)]
+    rows += [("awake", f"agent{i % 3}", f"/{i % 4}", i * 1800) for i in range(300)]
+    rows += [("old", "a", "/x", 8 * 86400 + i * 1800) for i in range(300)]
+    rows += [(rng.choice("pqr"), rng.choice(["a", None]), rng.choice(["/a", "/b", None]), rng.randrange(31 * 86400)) for _ in range(400)]
+    events = spark.createDataFrame(
+        [(i, ip, agent, path, end - dt.timedelta(seconds=s), "human", None, None, None, None, None) for i, (ip, agent, path, s) in enumerate(rows)],
+        "id int, client_ip string, user_agent string, path string, timestamp timestamp, bot_classification string, "
+        "datacenter_provider string, has_sec_fetch_headers boolean, has_client_hints boolean, asn_org string, country string",
+    )
+    as_of = "2024-01-31 00:00:00"
+    listed = [f(events, as_of, None).count() for f in (investigate.too_fast_humans, investigate.path_traversal, investigate.sleepless_humans)]
+    assert all(listed)
+    counted = investigate.suspicious_visitors(events, as_of)
+    assert counted.first()[0] == sum(listed)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and "Sort [" not in plan

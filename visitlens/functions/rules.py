@@ -309,20 +309,6 @@ WARP_PREFIX = "2a06:98c0:"
 ORG_CORPORATE_LIKE = "Kaspersky"
 ORG_CORPORATE_EXACT = ("PJSC MegaFon", "Rostelecom")
 
-# --- Fixed values: addresses of the behaviour review ----------------------------------------------
-REVIEW_IPS = (
-    "172.207.9.124",
-    "40.113.19.56",
-    "218.104.149.184",
-    "48.210.57.6",
-    "172.192.8.227",
-    "130.33.64.66",
-    "172.192.26.78",
-    "171.120.26.145",
-    "146.70.76.58",
-    "50.24.28.220",
-)
-
 # --- Fixed values: report topics for free-text routing, as (id, name, keywords) -------------------
 REPORT_TOPICS = (
     (

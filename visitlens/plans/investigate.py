@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +19,11 @@ from visitlens.functions.metrics import (
     seconds_between,
     sorted_values,
 )
-from visitlens.operators.filters import since
+from visitlens.operators.filters import as_timestamp, since
 from visitlens.operators.reclassify import monitoring_candidates
 from visitlens.operators.scoring import legitimacy
 from visitlens.plans.common import evidence, first_values, largest_first, rank_then_detail, top
+from visitlens.settings import DEFAULT
 from visitlens.streaming.scratch import staged
 
 HUMAN = "bot_classification = 'human'"
@@ -145,7 +148,7 @@ def _most_common(rows: DataFrame, value: str, name: str) -> DataFrame:
     return lowest.groupBy("client_ip").agg(F.max_by(value, "n").alias(name))
 
 
-def ip_profile(events: DataFrame, ips=rules.REVIEW_IPS) -> DataFrame:
+def ip_profile(events: DataFrame, ips=DEFAULT.reviewed_ips) -> DataFrame:
     """Fifteen behaviour measures per reviewed address, all addresses in one pass each."""
     rows = events.where(F.col("client_ip").isin(*ips)) if ips is not None else events
     attributes = ("asn_org", "datacenter_provider", "city", "country", "bot_classification", "bot_name")
@@ -176,12 +179,12 @@ def ip_profile(events: DataFrame, ips=rules.REVIEW_IPS) -> DataFrame:
     return profile.withColumn("requests_per_second", req_rate("request_count", "duration_seconds"))
 
 
-def ip_verdicts(events: DataFrame, ips=rules.REVIEW_IPS) -> DataFrame:
+def ip_verdicts(events: DataFrame, ips=DEFAULT.reviewed_ips) -> DataFrame:
     """Profiles with legitimacy score, verdict and indicators."""
     return legitimacy(ip_profile(events, ips))
 
 
-def sample_paths(events: DataFrame, ips=rules.REVIEW_IPS, n: int = 10) -> DataFrame:
+def sample_paths(events: DataFrame, ips=DEFAULT.reviewed_ips, n: int = 10) -> DataFrame:
     """First ``n`` distinct paths per reviewed address."""
     rows = events.where(F.col("client_ip").isin(*ips)) if ips is not None else events
     return first_values(rows, ["client_ip"], "path", n, "paths")
@@ -254,13 +257,43 @@ def residential_humans(events: DataFrame, as_of) -> DataFrame:
 
 
 def suspicious_visitors(events: DataFrame, as_of, limit: int | None = None) -> DataFrame:
-    """Rows of the three visitor checks together; with a ``limit`` each listing is cut there first."""
-    lists = (
-        too_fast_humans(events, as_of, limit).select("client_ip"),
-        path_traversal(events, as_of, limit).select("client_ip"),
-        sleepless_humans(events, as_of, limit).select("client_ip"),
+    """Rows of the three visitor checks together; with a ``limit`` each listing is cut there first.
+
+    Without a limit nothing is listed: requests are counted by visitor and path and by address and hour in one
+    aggregation over one read, the checks hold these counts.
+    """
+    if limit is not None:
+        lists = (
+            too_fast_humans(events, as_of, limit).select("client_ip"),
+            path_traversal(events, as_of, limit).select("client_ip"),
+            sleepless_humans(events, as_of, limit).select("client_ip"),
+        )
+        return lists[0].unionByName(lists[1]).unionByName(lists[2]).agg(requests("suspicious_count"))
+    week = F.col("timestamp") > F.lit(as_timestamp(as_of) - dt.timedelta(days=7))
+    rows = since(events.where(RESIDENTIAL_HUMAN), 30 * 24, as_of).select(
+        *VISITOR, "path", F.hour("timestamp").alias("hour"), "timestamp", week.alias("in_week")
+    )
+    by_path, by_hour = [*VISITOR, "path"], ["client_ip", "hour"]
+    cells = rows.groupingSets([by_path, by_hour], *by_path, "hour").agg(
+        F.grouping("path").alias("hourly"),
+        requests("n"),
+        F.count_if("in_week").alias("n_week"),
+        F.min("timestamp").alias("first_seen"),
+        F.max("timestamp").alias("last_seen"),
+    )
+    groups = cells.groupBy("hourly", *VISITOR).agg(
+        F.sum("n").alias("n"),
+        F.sum("n_week").alias("n_week"),
+        F.count("path").alias("paths"),
+        F.count_if(F.col("n_week") > 0).alias("hours"),
+        seconds_between(F.min("first_seen"), F.max("last_seen")).alias("span"),
     )
-    return lists[0].unionByName(lists[1]).unionByName(lists[2]).agg(requests("suspicious_count"))
+    per_visitor, per_address = F.col("hourly") == 0, F.col("hourly") == 1
+    fast = per_visitor & (F.col("span") > 60) & (F.try_divide("n", "span") > 0.5)
+    wandering = per_visitor & ((F.col("paths") > 50) | (F.try_divide("paths", "n") > 0.8))
+    sleepless = per_address & F.col("client_ip").isNotNull() & (F.col("hours") > 18) & (F.col("n_week") > 50)
+    found = [F.count_if(check) for check in (fast, wandering, sleepless)]
+    return groups.agg((found[0] + found[1] + found[2]).alias("suspicious_count"))
 
 
 def undetermined_patterns(events: DataFrame, cap: int | None = None) -> DataFrame:

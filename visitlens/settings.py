@@ -24,6 +24,19 @@ class Settings:
 
     # Addresses left out of reports and of ingestion.
     excluded_ips: tuple[str, ...] = ("184.82.29.117", "123.25.101.101")
+    # Addresses of the behaviour review.
+    reviewed_ips: tuple[str, ...] = (
+        "172.207.9.124",
+        "40.113.19.56",
+        "218.104.149.184",
+        "48.210.57.6",
+        "172.192.8.227",
+        "130.33.64.66",
+        "172.192.26.78",
+        "171.120.26.145",
+        "146.70.76.58",
+        "50.24.28.220",
+    )
     home_ips: tuple[str, ...] = ("184.82.29.117",)
     home_subnets: tuple[str, ...] = ("2405:9800:b911:2816::/64",)
 
