@@ -114,6 +114,56 @@ def test_trusted_patterns_need_support(docs_of):
     assert {r.n_found for r in pii.personal_data(docs_of(rows)).collect()} == {0}
 
 
+def planted(n=60, seed=3):
+    """Identifiers of each kind in a form that no base pattern takes, in contexts that base ones teach, and traps."""
+    import random
+
+    rng = random.Random(seed)
+    filler = lambda k: " ".join(rng.choice(["stone", "river", "of", "the", "to", "green", "reach", "at", "call", "line 4", "v2"]) for _ in range(k))
+    known = {
+        "email": lambda i: f"user{i}@host{i}.org",
+        "ip": lambda i: f"10.{i % 250}.{i // 250}.7",
+        "phone": lambda i: f"+1 619 555 {1000 + i}",
+    }
+    hidden = {
+        "email": lambda i: f"user{i}.at.host{i}",
+        "ip": lambda i: f"10-{i % 250}-7-9",
+        "phone": lambda i: f"619.555.{1000 + i}",
+    }
+    frames = {"email": "{f} my mailbox is {v} thanks {g}", "ip": "{f}\nclient={v}\n{g}", "phone": "{f}\n{v} rings here {g}"}
+    rows, want = [], {}
+    for kind, frame in frames.items():
+        for i in range(n):
+            rows.append((len(rows), frame.format(f=filler(8), v=known[kind](i), g=filler(8))))
+        for i in range(n // 4):
+            v = hidden[kind](i)
+            text = frame.format(f=filler(8), v=v, g=filler(8))
+            want[len(rows)] = f"{kind}:{text.index(v)}:{text.index(v) + len(v)}"
+            rows.append((len(rows), text))
+    # Words that stand before many plain words as well earn no trust, however often a seed follows them.
+    rows += [(len(rows) + i, f"{filler(5)} beside user{i}@host{i}.org {filler(5)}") for i in range(n)]
+    rows += [(len(rows) + i, f"{filler(5)} beside {chr(97 + i // 26)}{chr(97 + i % 26)}word {filler(5)}") for i in range(n)]
+    rows += [(len(rows) + i, f"{filler(5)} beside part{i} {filler(5)}") for i in range(n // 4)]
+    return rows, want
+
+
+def test_recall_and_precision_of_each_kind(docs_of):
+    rows, want = planted()
+    got = {r.doc_id: r.found.split(",") for r in pii.personal_data(docs_of(rows)).collect() if r.found}
+    for kind in ("email", "ip", "phone"):
+        wanted = {(k, w) for k, w in want.items() if w.startswith(kind)}
+        found = {(k, f) for k, fs in got.items() for f in fs if f.startswith(kind)}
+        assert len(wanted & found) >= 0.9 * len(wanted), (kind, wanted - found)
+        assert len(wanted & found) >= 0.9 * len(found), (kind, found - wanted)
+
+
+def test_plain_words_take_trust_away(docs_of):
+    rows = [(i, f"note from user{i}@host{i}.org today") for i in range(15)] + [(50, "note from x9z today")]
+    assert [r.n_found for r in pii.personal_data(docs_of(rows)).collect() if r.doc_id == 50] == [1]
+    rows += [(100 + i, f"note from {w} today") for i, w in enumerate("anna berta clara dora emil fritz gustav hans ida".split())]
+    assert [r.n_found for r in pii.personal_data(docs_of(rows)).collect() if r.doc_id == 50] == [0]
+
+
 def test_only_built_in_functions(sf_docs):
     plan = pii.personal_data(sf_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
