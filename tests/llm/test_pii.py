@@ -195,3 +195,14 @@ def test_candidates_that_meet_base_spans_are_left_out(spark):
         df = spark.createDataFrame([(some, others)], f"a {kind}, b {kind}")
         got = df.select(pii.unmet(pii.F.col("a"), pii.F.col("b")).alias("x")).first().x
         assert [tuple(x) for x in got] == [s for s in some if not any(s[0] < o[1] and o[0] < s[1] for o in others)]
+
+
+@pytest.mark.parametrize("first_look", [1, 3, 1 << 40])
+def test_plain_words_refute_before_all_texts_are_read(spark, docs_of, monkeypatch, first_look):
+    """What is left is the same however much the first look sees, and its words are counted in all texts."""
+    monkeypatch.setattr(pii, "FIRST_LOOK", first_look)
+    word = lambda i: "w" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10]
+    rows = [(i, f"so the {word(i)} and mail {word(i % 2)} end", "en", "a", 0) for i in range(60)]
+    proposed = pii.stage(spark.createDataFrame([("the", 20), ("mail", 20), ("card", 10)], "pattern string, instances long"), "proposed")
+    got = {r.pattern: r.plain for r in pii.plain_counts(docs_of(rows), proposed).collect()}
+    assert got == {"mail": 2, "card": None}

@@ -39,6 +39,9 @@ ROUNDS, TRUST, SUPPORT = 3, 0.6, 3
 #: A pattern's score is the lower end of the interval of so many standard errors around its share of known instances.
 DOUBT = 1.96
 
+#: One text in so many has the first look at plain words, which refutes most of the patterns that can be refuted.
+FIRST_LOOK = 16
+
 #: Matches that are worked on together.
 BLOCK = 128
 SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -198,6 +201,23 @@ def plain_words(texts: DataFrame, trusted: DataFrame) -> DataFrame:
     return cases.groupBy("pattern").agg(F.count(F.lit(1)).alias("plain"))
 
 
+def plain_counts(texts: DataFrame, proposed: DataFrame) -> DataFrame:
+    """pattern and plain of those staged ``proposed`` patterns that plain words don't refute.
+
+    Plain words refute a pattern if they alone put its score under ``TRUST``, were all of its instances known. More words
+    only lower it, so what the texts of a first look refute is refuted, and all texts are read for the others only: pairs of
+    pattern and word then are as many as the instances allow, not as the words of the texts.
+    """
+    possible = lower_share(F.col("instances"), F.col("instances") + F.coalesce("plain", F.lit(0))) >= TRUST
+
+    def unrefuted(patterns: DataFrame, some: DataFrame) -> DataFrame:
+        return patterns.join(plain_words(some, patterns), "pattern", "left").filter(possible)
+
+    some = texts.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(FIRST_LOOK)), F.lit(FIRST_LOOK)) == 0)
+    left = stage(unrefuted(proposed.select("pattern", "instances"), some).drop("plain"), "unrefuted")
+    return unrefuted(left, texts)
+
+
 def lower_share(known: Column, n: Column, z: float = DOUBT) -> Column:
     """Lower end of the score interval of a share ``known / n``: few instances prove little."""
     share = known / n
@@ -244,8 +264,7 @@ def trusted_patterns(found: DataFrame, texts: DataFrame, rounds: int = ROUNDS) -
     edges = stage(edges.withColumn("seed", (F.col("kind") < len(KINDS)).cast("int")).withColumn("plain", F.lit(0).cast("long")), "edges")
     proposed = stage(scored(edges, rounds), "proposed")
     # Plain words can only lower scores, so no other pattern needs the look at the texts and the second scoring.
-    plain = plain_words(texts, proposed).withColumnRenamed("plain", "words")
-    held = stage(proposed.select("pattern", "instances").join(plain, "pattern", "left"), "held")
+    held = stage(plain_counts(texts, proposed).withColumnRenamed("plain", "words"), "held")
     again = attach(edges, held, "pattern", "instances").filter("instances is not null").drop("instances")
     again = again.withColumn("plain", F.coalesce("words", F.lit(0))).drop("words")
     kept = scored(stage(again, "edges"), rounds)
