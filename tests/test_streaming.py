@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +210,27 @@ def test_open_windows_complete_the_result(spark, tmp_path):
     whole = G.with_open(out, batch, ["time_bucket", "site"])
     assert 0 < out.count() < 5 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, batch.collect()))
     assert all(r["count"] == 3 for r in out.collect())
+
+
+@pytest.mark.parametrize("more", [(), ("times_path",), ("kept_path",), ("activity_path",)])
+def test_a_batch_takes_no_memory_for_its_rows(spark, tmp_path, job, monkeypatch, more):
+    """Rows that are read more than once are staged, not cached, and the staged ones are gone at the end."""
+    cached, staged = [], set()
+
+    def write(stored, path, real=G.write_events):
+        cached.extend(spark.sparkContext._jsc.sc().getRDDStorageInfo())
+        staged.update(p.name.partition("-")[0] for p in scratch(spark) if p.name.startswith(("lines-", "fresh-")))
+        real(stored, path)
+
+    monkeypatch.setattr(G, "write_events", write)
+    before = scratch(spark)
+    job = replace(job, bad_path=f"{tmp_path}/bad", **{name: f"{tmp_path}/{name}" for name in more})
+    put(tmp_path, "1.log", [line(1), line(2), line(2), "http.log.access oops"])
+    assert {r.cf_ray for r in run(spark, tmp_path, job).collect()} == {"r1", "r2"}
+    assert [r.value for r in spark.read.text(job.bad_path).collect()] == ["http.log.access oops"]
+    assert (cached, staged) == ([], {"lines", "fresh"})
+    assert not [p for p in scratch(spark) - before if p.name.startswith(("lines-", "fresh-"))]
+
+
+def scratch(spark):
+    return set(Path(spark.conf.get("spark.checkpoint.dir")).iterdir())
