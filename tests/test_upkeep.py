@@ -116,6 +116,21 @@ def test_compaction_keeps_rows_and_loads(spark, batches):
     assert not os.path.exists(f"{run}/events")
 
 
+def test_a_busy_day_is_merged_by_many_tasks(spark, tmp_path, monkeypatch):
+    path, out = str(tmp_path / "events"), str(tmp_path / "runs")
+    monkeypatch.setattr(upkeep, "MERGED_ROWS", 20, raising=False)
+    # Nearly all rows are of one day.
+    rows = events(spark, 600).where("id % 3 = 0 or id < 9")
+    for n in range(2):
+        batch(rows.where(f"id % 2 = {n}"), path, n)
+    run = upkeep.merge_days(spark, path, out, DAYS)
+    merged = sinks.read_events(spark, f"{run}/events")
+    files = merged.groupBy("event_date", F.input_file_name().alias("file")).count().collect()
+    assert sum(r["count"] for r in files) == rows.count() and max(r["count"] for r in files) <= 60
+    assert {r.event_date for r in files} == set(DAYS) and len([r for r in files if r.event_date != DAYS[0]]) <= 4
+    assert sorted(merged.select("id").collect()) == sorted(sinks.read_events(spark, path).select("id").collect())
+
+
 @pytest.mark.parametrize("broke", ["before", "between", "halfway"])
 def test_compaction_that_broke_off_is_run_again(spark, batches, broke):
     path, out = batches
